@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = [
     "temporal_queries",
+    "contextual_queries",
+    "advanced_queries",
 ]
 
 
