@@ -20,6 +20,7 @@ XG_GATE, EFFICIENCY_GATE, CLUTCH_GATE, STYLE_GATE = 5, 3, 5, 8
 MEAN_EXTRA_SHOTS = 6
 MEAN_EXTRA_CHANCES = 1
 MEAN_EXTRA_ACTIONS = 5
+NO_SPREAD = 1e-20
 
 
 class TeamFrame:
@@ -85,7 +86,7 @@ def xg_state(over) -> dict[str, Column]:
         "xg_f": w(F.avg(p(xg_for()))), "xg_a": w(F.avg(p(xg_against()))),
         "xg_gf": w(F.avg(p(gf))), "xg_ga": w(F.avg(p(ga))),
         "xg_var": w(F.var_pop(p(xg_for()))), "xg_gvar": w(F.var_pop(p(gf))),
-        "xg_corr": w(F.corr(p(gf.cast("double")), p(xg_for()))),
+        "xg_cov": w(F.covar_pop(p(gf.cast("double")), p(xg_for()))),
         "xg_n": w(F.count(p(gf))),
     }
 
@@ -94,7 +95,9 @@ def xg_features() -> dict[str, Feature]:
     s = lambda c: F.col(f"s.xg_{c}")
     n = s("n")
     conceded = F.greatest(s("ga") * n, F.lit(0.1))
-    corr = F.coalesce(F.nanvl(s("corr"), F.lit(0.0)), F.lit(0.0))
+    # a constant series has no correlation: read as 0
+    varied = (s("var") > NO_SPREAD) & (s("gvar") > NO_SPREAD)
+    corr = F.when(varied, s("cov") / F.sqrt(s("var") * s("gvar"))).otherwise(0.0)
     values = {
         "avg_xg_for": (s("f"), 1.5), "avg_xg_against": (s("a"), 1.5),
         "avg_actual_goals_for": (s("gf"), 1.5), "avg_actual_goals_against": (s("ga"), 1.5),
