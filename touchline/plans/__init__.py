@@ -8,6 +8,9 @@ MODULES = [
     "temporal_queries",
     "contextual_queries",
     "advanced_queries",
+    "page_queries",
+    "loader_queries",
+    "name_queries",
 ]
 
 

@@ -53,3 +53,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out rows ahead of CPU-heavy per-row work when the scan has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
