@@ -11,6 +11,7 @@ MODULES = [
     "page_queries",
     "loader_queries",
     "name_queries",
+    "model_queries",
 ]
 
 
