@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.functions.geo import travel_km
 from touchline.operators import advanced, contextual, temporal
@@ -14,6 +15,7 @@ from touchline.operators.asof import (
     with_outcome,
 )
 from touchline.operators.temporal import DECAY_REACH, KEY, Feature
+from touchline.session import stored
 
 # family -> (rows needed per date, prefix of its columns on a match row)
 FAMILIES = {
@@ -60,14 +62,15 @@ _FEATURES = {
 }
 
 
-def gated(feature: Feature) -> Column:
-    return F.when(F.col("n") >= feature.gate, feature.value).otherwise(F.lit(feature.default))
+def gated(features: dict[str, Feature]) -> dict[str, Column]:
+    enough = {g: F.col("n") >= g for g in {f.gate for f in features.values()}}
+    return {name: F.when(enough[f.gate], f.value).otherwise(f.default) for name, f in features.items()}
 
 
 def family_columns(family: str) -> dict[str, Column]:
     if family == "season":
         return contextual.season_features()
-    return {name: gated(f) for name, f in _FEATURES[family]().items()}
+    return gated(_FEATURES[family]())
 
 
 def _prepared(rows: DataFrame, families: Sequence[str]) -> DataFrame:
@@ -167,10 +170,15 @@ def match_features(
     matches: DataFrame, families: Sequence[str], as_of=None, probes: DataFrame | None = None,
     integral_ids: bool = True,
 ) -> DataFrame:
-    """One row per match (or per probe) with every feature of the chosen families."""
+    """One row per match (or per probe) with every feature of the chosen families.
+
+    The snapshot is written once and read by both sides, so its windows run once and the join plan
+    stays small.
+    """
     target = matches if probes is None else probes
-    out = attach_sides(target, team_snapshot(matches, families, probes, integral_ids))
-    out = out.drop("home_matches_before", "away_matches_before")
+    snapshot = stored(
+        team_snapshot(matches, families, probes, integral_ids).drop("matches_before"), "snapshot")
+    out = attach_sides(target, snapshot)
     if "travel" in families:
         out = finish_travel(out)
     if as_of is not None:
@@ -212,7 +220,6 @@ def league_snapshot(matches: DataFrame, families: Sequence[str]) -> DataFrame:
         F.count("age").alias("n"), *[c.alias(k) for k, c in columns.items()])
     state = [k for k in columns]
     if "home" in families:
-        from pyspark.sql.window import Window
         venue = Window.partitionBy(KEY, "date", "is_home").orderBy("age")
         ranked = seen.where("own").where(F.col("age") <= contextual.HOME_LAST).withColumn(
             "venue_rank", F.row_number().over(venue))
@@ -227,7 +234,7 @@ def league_snapshot(matches: DataFrame, families: Sequence[str]) -> DataFrame:
     for family in families:
         if family == "home":
             window = F.least(F.col("n"), F.lit(contextual.HOME_LAST))
-            found = {k: gated(f) for k, f in contextual.home_features(window).items()}
+            found = gated(contextual.home_features(window))
         else:
             found = family_columns(family)
         made |= {FAMILIES[family][1] + k: c for k, c in found.items()}

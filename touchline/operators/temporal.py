@@ -50,10 +50,12 @@ ROLLING_STATS = {
 
 
 def rolling_state() -> dict[str, Column]:
-    return {
-        f"{stat}_{n}g": agg().over(last_n(KEY, n))
-        for n in ROLLING_WINDOWS for stat, (agg, _) in ROLLING_STATS.items()
-    }
+    aggregates = {stat: agg() for stat, (agg, _) in ROLLING_STATS.items()}
+    out = {}
+    for n in ROLLING_WINDOWS:
+        frame = last_n(KEY, n)
+        out |= {f"{stat}_{n}g": a.over(frame) for stat, a in aggregates.items()}
+    return out
 
 
 def rolling_features() -> dict[str, Feature]:
@@ -161,6 +163,10 @@ def form_features() -> dict[str, Feature]:
 
 # --- streaks -----------------------------------------------------------------------------------
 
+# run kind -> flag of a match that ends it
+RUN_BREAKS = {"win": "not_won", "unbeaten": "lost", "loss": "not_lost"}
+
+
 def streak_days(rows: DataFrame, integral_ids: bool = True) -> DataFrame:
     """Per (team, date): where each run last broke, and the longest run reached on that date.
 
@@ -173,29 +179,21 @@ def streak_days(rows: DataFrame, integral_ids: bool = True) -> DataFrame:
         (F.col("gd") < 0).cast("int").alias("lost"),
         (F.col("gd") >= 0).cast("int").alias("not_lost"),
     )
-    numbered = running_totals(flagged, KEY, ["one", "not_won", "lost"], integral_ids)
-    breaks = numbered.groupBy(KEY, "date").agg(
-        F.max(F.when(F.col("not_won") == 1, F.col("run_one"))).alias("win_break"),
-        F.max(F.when(F.col("lost") == 1, F.col("run_one"))).alias("unbeaten_break"),
-        F.max(F.when(F.col("not_lost") == 1, F.col("run_one"))).alias("loss_break"),
-    )
-    runs = numbered.select(KEY, "date", F.explode(F.array(
-        F.struct(F.lit("win").alias("kind"), (F.col("not_won") == 0).alias("inside"),
-                 F.col("run_not_won").alias("island")),
-        F.struct(F.lit("unbeaten").alias("kind"), (F.col("lost") == 0).alias("inside"),
-                 F.col("run_lost").alias("island")),
-    )).alias("r")).where("r.inside")
-    grown = (
-        runs.groupBy(KEY, F.col("r.kind").alias("kind"), F.col("r.island").alias("island"), "date")
-        .agg(F.count("*").alias("len"))
-        .withColumn("len", F.sum("len").over(
-            Window.partitionBy(KEY, "kind", "island").orderBy("date").rowsBetween(UNBOUNDED, 0)))
-    )
-    longest = grown.groupBy(KEY, "date").agg(
-        F.max(F.when(F.col("kind") == "win", F.col("len"))).alias("win_run"),
-        F.max(F.when(F.col("kind") == "unbeaten", F.col("len"))).alias("unbeaten_run"),
-    )
-    return breaks.join(longest, [KEY, "date"], "left")
+    numbered = running_totals(flagged, KEY, ["one", *RUN_BREAKS.values()], integral_ids)
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f"run_{stop}").alias("island"),
+                 (F.col(stop) == 1).alias("broke"))
+        for kind, stop in RUN_BREAKS.items()]))
+    pieces = numbered.select(KEY, "date", "run_one", kinds.alias("r")).groupBy(
+        KEY, F.col("r.kind").alias("kind"), F.col("r.island").alias("island"), "date",
+    ).agg(F.count_if(~F.col("r.broke")).alias("len"),
+          F.max(F.when(F.col("r.broke"), F.col("run_one"))).alias("broke_at"))
+    island = Window.partitionBy(KEY, "kind", "island").orderBy("date").rowsBetween(UNBOUNDED, 0)
+    grown = pieces.withColumn("len", F.sum("len").over(island))
+    return grown.groupBy(KEY, "date").agg(*[
+        a for kind in RUN_BREAKS for a in (
+            F.max(F.when(F.col("kind") == kind, F.col("broke_at"))).alias(f"{kind}_break"),
+            F.max(F.when(F.col("kind") == kind, F.col("len"))).alias(f"{kind}_run"))])
 
 
 def streak_asof() -> dict[str, Column]:

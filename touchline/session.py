@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings the feature plans rely on.
 #  * A state table clustered by team is joined on (team, date); letting a subset of the
 #    join keys count as co-partitioning saves one exchange per join.
+#  * Window and page work is CPU-bound, so small shuffles keep their partitions (one per core at
+#    least) instead of being merged by size alone.
 #  * AQE picks broadcast joins from measured sizes and splits skewed join partitions.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
