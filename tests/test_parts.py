@@ -1,7 +1,10 @@
 """Names, splits, medians, streaming and model files on small inputs."""
 
+import os
 import random
 import statistics
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +104,18 @@ def test_replayed_batch_adds_nothing(spark, matches_of, tmp_path):
     for batch in (m, m, m.unionByName(m.withColumn("match_id", F.col("match_id") + 10))):
         run(batch, 0)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+
+
+def test_registry_loads_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_text_ids_are_ordered_the_same_way(spark, matches_of):
+    from touchline.operators import snapshot
+    rows = [(f"2020-01-{1 + i // 3:02d}", *(("A", "B") if i % 2 else ("B", "A")), i % 3, (i * 2) % 3) for i in range(30)]
+    m = matches_of(rows)
+    text_ids = m.withColumn("match_id", F.format_string("game-%06d", "match_id"))
+    a, b = (sorted(map(str, snapshot.team_snapshot(x, ["streaks", "season"]).collect())) for x in (m, text_ids))
+    assert a == b

@@ -17,9 +17,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ID_BLOCK_BITS = 20
+ID_PREFIX = 8
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -102,19 +104,19 @@ def id_block(match_id: Column, integral: bool = True, bits: int = ID_BLOCK_BITS)
     """
     if integral:
         return F.shiftright(match_id, bits)
-    return F.substring(match_id, 1, 4)
+    return F.substring(match_id, 1, ID_PREFIX)
 
 
 def running_totals(
-    rows: DataFrame, key: str, measures: Sequence[str], integral_ids: bool = True,
-    bits: int = ID_BLOCK_BITS,
+    rows: DataFrame, key: str, measures: Sequence[str], bits: int = ID_BLOCK_BITS,
 ) -> DataFrame:
     """Inclusive running totals ``run_<m>`` per key in (date, match_id) order.
 
     Three levels, so that no task ever holds a whole key: inside a (key, date, block), over the
     blocks of one date, over the dates of one key.
     """
-    rows = rows.withColumn("blk", id_block(F.col("match_id"), integral_ids, bits))
+    integral = isinstance(rows.schema["match_id"].dataType, T.IntegralType)
+    rows = rows.withColumn("blk", id_block(F.col("match_id"), integral, bits))
     inside = (
         Window.partitionBy(key, "date", "blk").orderBy("match_id").rowsBetween(UNBOUNDED, 0)
     )

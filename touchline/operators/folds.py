@@ -48,10 +48,10 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, se
         "is_train", F.col("rank") <= F.round(F.col("group_rows") * share)).drop("rank", "group_rows")
 
 
-def time_index(df: DataFrame, integral_ids: bool = True) -> DataFrame:
+def time_index(df: DataFrame) -> DataFrame:
     """``idx`` 0..n-1 by (date, match_id) and the row count ``rows``."""
     numbered = running_totals(
-        df.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1)), "_all", ["_one"], integral_ids)
+        df.withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1)), "_all", ["_one"])
     total = df.agg(F.count("*").alias("rows"))
     return numbered.withColumn("idx", F.col("run__one") - 1).drop("_all", "_one", "run__one").join(
         F.broadcast(total))

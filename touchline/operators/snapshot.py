@@ -91,7 +91,6 @@ def _prepared(rows: DataFrame, families: Sequence[str]) -> DataFrame:
 
 def team_snapshot(
     matches: DataFrame, families: Sequence[str], probes: DataFrame | None = None,
-    integral_ids: bool = True,
 ) -> DataFrame:
     """Features of every team as it stood strictly before each date it is asked about."""
     sides = match_sides(matches)
@@ -123,7 +122,7 @@ def team_snapshot(
     }
     extra: dict[str, Column] = {}
     if "streaks" in families:
-        days = days.join(temporal.streak_days(rows, integral_ids), [KEY, "date"], "left")
+        days = days.join(temporal.streak_days(rows), [KEY, "date"], "left")
         extra |= temporal.streak_asof()
     if "season" in families:
         extra |= contextual.season_asof()
@@ -136,7 +135,7 @@ def team_snapshot(
     if "season" in families:
         ranked = running_totals(
             rows.select(KEY, "date", "match_id", F.lit(1).alias("one"), "points", "gd"),
-            KEY, ["one", "points", "gd"], integral_ids)
+            KEY, ["one", "points", "gd"])
         asof = contextual.late_half(asof, ranked)
     return asof.select(
         KEY, "date", F.col("n").alias("matches_before"),
@@ -168,7 +167,6 @@ def finish_travel(rows: DataFrame) -> DataFrame:
 
 def match_features(
     matches: DataFrame, families: Sequence[str], as_of=None, probes: DataFrame | None = None,
-    integral_ids: bool = True,
 ) -> DataFrame:
     """One row per match (or per probe) with every feature of the chosen families.
 
@@ -177,7 +175,7 @@ def match_features(
     """
     target = matches if probes is None else probes
     snapshot = stored(
-        team_snapshot(matches, families, probes, integral_ids).drop("matches_before"), "snapshot")
+        team_snapshot(matches, families, probes).drop("matches_before"), "snapshot")
     out = attach_sides(target, snapshot)
     if "travel" in families:
         out = finish_travel(out)

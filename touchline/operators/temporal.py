@@ -167,7 +167,7 @@ def form_features() -> dict[str, Feature]:
 RUN_BREAKS = {"win": "not_won", "unbeaten": "lost", "loss": "not_lost"}
 
 
-def streak_days(rows: DataFrame, integral_ids: bool = True) -> DataFrame:
+def streak_days(rows: DataFrame) -> DataFrame:
     """Per (team, date): where each run last broke, and the longest run reached on that date.
 
     A run is an island between two breaks, so its number is the running count of breaks.  Island
@@ -179,7 +179,7 @@ def streak_days(rows: DataFrame, integral_ids: bool = True) -> DataFrame:
         (F.col("gd") < 0).cast("int").alias("lost"),
         (F.col("gd") >= 0).cast("int").alias("not_lost"),
     )
-    numbered = running_totals(flagged, KEY, ["one", *RUN_BREAKS.values()], integral_ids)
+    numbered = running_totals(flagged, KEY, ["one", *RUN_BREAKS.values()])
     kinds = F.explode(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(f"run_{stop}").alias("island"),
                  (F.col(stop) == 1).alias("broke"))

@@ -477,6 +477,13 @@ def feature_catalogue(spark, sf_dir):
     return rounded(catalogue.feature_catalogue(catalogue.measured_importance(spark, matches(spark, sf_dir))))
 
 
+@query("W17_importance_rank", MEASURED_SQL + (
+    " select feature_name, row_number() over (order by importance_score desc, feature_name)::int as importance_rank from ms"))
+def importance_rank(spark, sf_dir):
+    return catalogue.feature_catalogue(catalogue.measured_importance(spark, matches(spark, sf_dir))).select(
+        "feature_name", "importance_rank")
+
+
 @query("O03_top_features", MEASURED_SQL + f" select feature_name, {r('importance_score')} as importance_score from ms order by ms.importance_score desc, feature_name limit 10")
 def top_features(spark, sf_dir):
     return rounded(catalogue.measured_importance(spark, matches(spark, sf_dir)).orderBy(

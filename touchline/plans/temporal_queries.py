@@ -137,7 +137,7 @@ def form_parts():
 
 
 query("W11_form_windows", snapshot_sql(*form_parts(), 15))(
-    _snap("form", list(temporal.form_features())))
+    _snap("form", [f"{stat}_{n}f" for n in temporal.FORM_WINDOWS for stat in temporal.FORM_DEFAULTS]))
 
 # Streaks: the current run is everything newer than the newest break; the longest run is the widest
 # gap between consecutive breaks (numbered oldest first, with sentinels at both ends).
@@ -222,14 +222,6 @@ def side_attach(spark, sf_dir):
     return rounded(out.select("match_id", *[f"{s}_{k}" for k in names for s in ("home", "away")]))
 
 
-@query("W17_importance_rank")
-def importance_rank(spark, sf_dir):
-    from touchline.plans.catalogue import feature_catalogue, measured_importance
-    measured = measured_importance(spark, matches(spark, sf_dir))
-    return rounded(feature_catalogue(measured).select(
-        "feature_name", "importance_score", "importance_rank"))
-
-
 @query("W18_half_split", (
     history() + ", b as (select *, count(*) over (partition by team, date) as tot from h0"
     " where played >= date - interval 360 day)"
