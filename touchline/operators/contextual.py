@@ -38,21 +38,29 @@ def with_venue_weights(recent: DataFrame) -> DataFrame:
     return recent
 
 
-def _venue_strength(venue: str, here: Column) -> Column:
+def _strength_sums(venue: str, here: Column) -> dict[str, Column]:
+    """Frame sums of weight × value and of weight, apart for even and odd epochs."""
     frame = last_n(KEY, HOME_LAST)
+    v = venue[0]
     value = F.when(F.col("gd") > 0, 1.0).otherwise(0.0) + F.col("gd") * 0.1
     parity = F.floor(F.col(f"{venue}_i") / VENUE_EPOCH) % 2
-    older = F.exp(F.lit(-FORM_DECAY * VENUE_EPOCH))
+    out = {f"{v}_parity": parity}
+    for which in (0, 1):
+        weight = F.when(here & (parity == which), F.col(f"{venue}_w")).otherwise(0.0)
+        out[f"{v}_sum{which}"] = F.sum(weight * value).over(frame)
+        out[f"{v}_weight{which}"] = F.sum(weight).over(frame)
+    return out
 
-    def total(term: Column, which: int) -> Column:
-        w = F.when(here & (parity == which), F.col(f"{venue}_w") * term).otherwise(0.0)
-        return F.sum(w).over(frame)
 
-    def blended(term: Column) -> Column:
-        return F.when(parity == 0, total(term, 0) + total(term, 1) * older).otherwise(
-            total(term, 1) + total(term, 0) * older)
+def _venue_strength(venue: str) -> Column:
+    s = lambda c: F.col(f"s.{venue}_{c}")
+    older = F.exp(F.lit(-FORM_DECAY * VENUE_EPOCH))
 
-    return F.try_divide(blended(value), blended(F.lit(1.0)))
+    def blended(name: str) -> Column:
+        even, odd = s(f"{name}0"), s(f"{name}1")
+        return F.when(s("parity") == 0, even + odd * older).otherwise(odd + even * older)
+
+    return F.try_divide(blended("sum"), blended("weight"))
 
 
 def home_state() -> dict[str, Column]:
@@ -68,9 +76,7 @@ def home_state() -> dict[str, Column]:
             f"{venue}_ga": F.avg(F.when(here, F.col("ga"))).over(frame),
             f"{venue}_gdvar": F.var_samp(F.when(here, F.col("gd"))).over(frame),
         }
-    out["h_str"] = _venue_strength("home", at_home)
-    out["a_str"] = _venue_strength("away", ~at_home)
-    return out
+    return out | _strength_sums("home", at_home) | _strength_sums("away", ~at_home)
 
 
 def home_grouped() -> dict[str, Column]:
@@ -92,18 +98,20 @@ def home_grouped() -> dict[str, Column]:
 
 
 def home_features(in_window: Column | None = None) -> dict[str, Feature]:
-    """``in_window``: matches in the last-50 window (defaults to the team's own)."""
+    """``in_window``: matches in the league's last-50 window; None reads the team's own timeline."""
     s = lambda c: F.col(f"s.{c}")
     both = (s("h_n") > 0) & (s("a_n") > 0)
-    total = s("h_n") + s("a_n") if in_window is None else in_window
+    own = in_window is None
+    total = s("h_n") + s("a_n") if own else in_window
+    strength = {v: _venue_strength(v) if own else s(f"{v}_str") for v in ("h", "a")}
     values = {
         "home_advantage_win_rate": (s("h_win") - s("a_win"), 0.0),
         "home_advantage_goals_for": (s("h_gf") - s("a_gf"), 0.0),
         "home_advantage_goals_against": (s("a_ga") - s("h_ga"), 0.0),
         "home_advantage_goal_diff": ((s("h_gf") - s("h_ga")) - (s("a_gf") - s("a_ga")), 0.0),
         "home_matches_ratio": (s("h_n") / total, 0.5),
-        "home_form_strength": (s("h_str"), 0.0),
-        "away_form_strength": (s("a_str"), 0.0),
+        "home_form_strength": (strength["h"], 0.0),
+        "away_form_strength": (strength["a"], 0.0),
         "venue_consistency": (1.0 / (1.0 + F.abs(s("h_gdvar") - s("a_gdvar"))), 0.5),
     }
     return {k: Feature(F.when(both, v).otherwise(F.lit(d)), HOME_GATE, d)

@@ -42,14 +42,13 @@ def fuzzy_join(spark, sf_dir):
 
 
 _VARIANTS = ("v as (select home_team as team from m union select away_team from m union select 'Real' union"
-             " select distinct substr(home_team, 4) from m where match_id%2=0 union select distinct lower(home_team) from m where match_id%3=0)")
+             " select distinct substr(home_team, 4) from m union select distinct lower(home_team) from m)")
 
 
 def variants(spark, sf_dir):
     m = matches(spark, sf_dir)
     return m.select(F.explode(F.array("home_team", "away_team", F.lit("Real"))).alias("team")).union(
-        m.where("match_id%2=0").selectExpr("substr(home_team, 4)")).union(
-        m.where("match_id%3=0").selectExpr("lower(home_team)")).distinct()
+        m.selectExpr("substr(home_team, 4)")).union(m.selectExpr("lower(home_team)")).distinct()
 
 
 _EXP = ("case when starts_with(n,'Atl ') then 'Atletico '||n[5:] when starts_with(n,'Dep ') then 'Deportes '||n[5:]"
