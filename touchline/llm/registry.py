@@ -13,10 +13,15 @@ ORACLES: dict[str, str] = {}
 
 # In the order of the operators' numbers.
 MODULES = [
+    "line_dedup",
     "chat_format",
+    "near_dedup",
+    "language_id",
     "exact_dedup",
     "token_files",
+    "decontamination",
     "packing",
+    "licenses",
     "token_counts",
 ]
 

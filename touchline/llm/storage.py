@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline.session import fresh_dir, tune
 
-# Rows per Arrow batch: texts can be long, so batches are kept short to bound a worker's memory.
-BATCH_ROWS = 256
+# Rows per Arrow batch, for short texts; long texts make smaller batches (maxBytesPerBatch, 64 MB).
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +27,12 @@ def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns and ``row_no``, which tells repeated rows apart once the result is stored."""
     return docs.select(*columns, F.monotonically_increasing_id().alias("row_no"))
+
+
+# Narrow rows that may be broadcast once they have been counted; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A kept table, marked for broadcast only if its counted rows are few enough."""
+    return F.broadcast(df) if df.count() <= rows else df
