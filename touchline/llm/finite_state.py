@@ -10,8 +10,8 @@ Two transducers in series give exactly the ids of the ``tokenizers`` library:
    more run emits the marks. A text cut into chunks is therefore split as if read in one go.
 2. The *lexicon* annotates the path of a pretoken with the ids, and so the number, of the tokens it
    emits. Paths are compiled on demand from the library, which encodes each pretoken once per
-   worker; they are looked up by a 64-bit hash of the path. The lexicon is emptied when it reaches
-   ``MAX_WORDS``, and pretokens over ``MAX_WORD`` code points are encoded without being kept.
+   worker; they are looked up by a 64-bit hash of the path. The lexicon grows to ``MAX_WORDS``; words
+   beyond those, and pretokens over ``MAX_WORD`` code points, are encoded without being kept.
 
 Token counts and positions of texts follow from prefix sums over the emitted counts.
 """
@@ -29,15 +29,16 @@ import numpy as np
 # Character classes. SUFFIX are letters that end a contraction at once; R, V and L may start one.
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE, SUFFIX, R, V, L, E, END = range(12)
 N_CLASSES = 12
+UNKNOWN = 12           # code points that Python's Unicode tables don't know; the library's may
 LETTERS = (LETTER, SUFFIX, R, V, L, E)
 
 # States: ready for a new pretoken; inside a run; after white space; inside a possible contraction.
 READY, IN_LETTERS, IN_NUMBER, IN_OTHER, SPACE1, SPACES, BLANK1, BLANKS, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L = range(12)
 N_STATES = 12
 
-CHUNK = 128            # characters a chunk advances; a batch is thousands of chunks
-SEGMENT = 400_000      # characters handled at once; longer texts are cut where a word ends
-MAX_WORDS = 600_000
+CHUNK, HEAD = 256, 8   # characters a chunk advances, and those it advances from all states; a batch is thousands of chunks
+SEGMENT = 1_000_000    # characters handled at once; longer texts are cut where a word ends
+MAX_WORDS = 1_000_000
 MAX_WORD = 64
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -109,7 +110,8 @@ def character_classes() -> np.ndarray:
     classes = np.zeros(sys.maxunicode + 1, np.uint8)
     kinds = {"L": LETTER, "N": NUMBER, "Z": BLANK}
     for point in range(sys.maxunicode + 1):
-        classes[point] = kinds.get(unicodedata.category(chr(point))[0], OTHER)
+        category = unicodedata.category(chr(point))
+        classes[point] = UNKNOWN if category == "Cn" else kinds.get(category[0], OTHER)
     classes[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85]] = BLANK
     classes[ord(" ")] = SPACE
     classes[ord("'")] = QUOTE
@@ -118,17 +120,6 @@ def character_classes() -> np.ndarray:
     return classes
 
 
-@functools.cache
-def unassigned_points() -> np.ndarray:
-    """Code points unknown to Python's Unicode tables: the library's newer tables may class them."""
-    return np.array([unicodedata.category(chr(p)) == "Cn" for p in range(sys.maxunicode + 1)])
-
-
-def has_unassigned(text: str) -> bool:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return bool(unassigned_points()[points].any())
-
-
 @functools.cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
@@ -167,15 +158,25 @@ class CompiledTokenizer:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.move, self.emit = splitter(self.kind)
-        self.lexicon: dict[int, np.ndarray] = {}
+        self.lexicon: dict[int, bytes] = {}
+        self.id_type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     # ---- first transducer -------------------------------------------------------------------
 
     def normal(self, text: str) -> str:
-        """The library's normal form ("words" only); ASCII needs no more than lower case."""
+        """The library's normal form ("words" only): composed, lower case character by character."""
         if self.kind == "bytes":
             return text
-        return text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def foreign(self, text: str) -> bool:
+        """Whether only the library can split the text: it holds a special token or an unknown character."""
+        if self.special and self.special.search(text):
+            return True
+        if self.kind == "bytes" or text.isascii():
+            return False
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return bool((character_classes()[points] == UNKNOWN).any())
 
     def starts(self, classes: np.ndarray) -> np.ndarray:
         """Whether a pretoken starts at each character."""
@@ -185,21 +186,39 @@ class CompiledTokenizer:
         columns = np.ascontiguousarray(padded.reshape(lanes, CHUNK).T)
 
         maps = np.tile(np.arange(N_STATES, dtype=np.uint8), (lanes, 1))
-        for column in columns:
+        for column in columns[:HEAD]:
             maps = self.move[maps * np.uint8(N_CLASSES) + column[:, None]]
-        state = np.full(lanes, READY, np.uint8)
-        state[1:] = compose_scan(maps)[:-1, READY]
+        open_lanes = np.flatnonzero((maps != maps[:, :1]).any(axis=1))
 
         marks = np.empty((CHUNK, lanes), np.uint8)
-        for i, column in enumerate(columns):
-            index = state * np.uint8(N_CLASSES) + column
-            marks[i] = self.emit[index]
-            state = self.move[index]
+        state = self.advance(columns[HEAD:], maps[:, 0], marks[HEAD:])
+        exits = np.repeat(state[:, None], N_STATES, axis=1)
+        if len(open_lanes):
+            still = maps[open_lanes]
+            for column in columns[HEAD:, open_lanes]:
+                still = self.move[still * np.uint8(N_CLASSES) + column[:, None]]
+            exits[open_lanes] = still
+
+        entry = np.full(lanes, READY, np.uint8)
+        entry[1:] = compose_scan(exits)[:-1, READY]
+        state = self.advance(columns[:HEAD], entry, marks[:HEAD])
+        if len(open_lanes):
+            rest = np.empty((CHUNK - HEAD, len(open_lanes)), np.uint8)
+            self.advance(columns[HEAD:, open_lanes], state[open_lanes], rest)
+            marks[HEAD:, open_lanes] = rest
         marks = marks.T.ravel()[:len(classes)]
         begins = (marks & 1).astype(bool)
         begins[:-1] |= (marks[1:] & 2).astype(bool)
         return begins
 
+    def advance(self, columns: np.ndarray, state: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """State after the columns; fills in the emissions on the way."""
+        for i, column in enumerate(columns):
+            index = state * np.uint8(N_CLASSES) + column
+            marks[i] = self.emit[index]
+            state = self.move[index]
+        return state
+
     def pieces(self, text: str):
         """A text in segments, cut before white space that follows a word, so each splits alone."""
         while len(text) > SEGMENT:
@@ -212,16 +231,17 @@ class CompiledTokenizer:
 
     # ---- second transducer ------------------------------------------------------------------
 
-    def compile(self, words: list[str]) -> list[np.ndarray]:
+    def compile(self, words: list[str]) -> list[bytes]:
         # A word's characters have their normal form already and hold no special token.
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        return [np.array(e.ids, self.id_type).tobytes() for e in found]
 
-    def words_of(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    def words_of(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """(index of a word per pretoken, ids of each word, first pretoken of each text and the end)."""
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         classes = character_classes()[points]
+        classes[classes == UNKNOWN] = OTHER
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         classes[ends] = END
 
@@ -241,15 +261,13 @@ class CompiledTokenizer:
         keys ^= length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         keys, example, index = np.unique(keys, return_index=True, return_inverse=True)
 
-        if len(self.lexicon) > MAX_WORDS:
-            self.lexicon.clear()
         ids = list(map(self.lexicon.get, keys.tolist()))
         missing = [i for i, found in enumerate(ids) if found is None]
         begin, size = at[example].tolist(), length[example].tolist()
         fresh = self.compile([joined[begin[i]:begin[i] + size[i]] for i in missing])
         for i, found in zip(missing, fresh, strict=True):
             ids[i] = found
-            if size[i] <= MAX_WORD:
+            if size[i] <= MAX_WORD and len(self.lexicon) < MAX_WORDS:
                 self.lexicon[int(keys[i])] = found
         return index, ids, first
 
@@ -257,10 +275,10 @@ class CompiledTokenizer:
 
     def _groups(self, texts: list[str]):
         """Groups of bounded size: (positions of the texts, segments). None in place of segments: one
-        text with a special token or an unassigned code point, which the library handles itself."""
+        text that the library handles itself."""
         places, parts, size = [], [], 0
         for i, text in enumerate(texts):
-            if self.special and self.special.search(text) or not text.isascii() and has_unassigned(text):
+            if self.foreign(text):
                 yield [i], None
                 continue
             for piece in self.pieces(self.normal(text)):
@@ -273,39 +291,46 @@ class CompiledTokenizer:
         if parts:
             yield places, parts
 
+    def _encoded(self, texts: list[str]):
+        """(place of a text, its next ids, how many) for every text, in order of its parts; the ids of a
+        group of texts are made only when asked for."""
+        for places, parts in self._groups(texts):
+            if parts is None:
+                whole = np.array(self.library.encode(texts[places[0]], add_special_tokens=False).ids, self.id_type)
+                yield places[0], whole.__getitem__, 0, len(whole)
+            else:
+                yield from self._emitted(places, *self.words_of(parts))
+
+    def _emitted(self, places: list[int], index: np.ndarray, ids: list[bytes], first: np.ndarray):
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.id_type.itemsize
+        emitted = sizes[index]
+        before = np.concatenate([[0], np.cumsum(emitted)])
+        made: list[np.ndarray] = []
+
+        def flat(part: slice) -> np.ndarray:
+            if not made:
+                words = np.frombuffer(b"".join(ids), self.id_type)
+                offsets = np.cumsum(sizes) - sizes
+                made.append(words[np.repeat(offsets[index] - before[:-1], emitted) + np.arange(before[-1])])
+            return made[0][part]
+
+        for k, place in enumerate(places):
+            yield place, flat, int(before[first[k]]), int(before[first[k + 1]])
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text, without added special tokens."""
         out = np.zeros(len(texts), np.int64)
-        for places, parts in self._groups(texts):
-            if parts is None:
-                out[places[0]] = len(self.library.encode(texts[places[0]], add_special_tokens=False).ids)
-                continue
-            index, ids, first = self.words_of(parts)
-            emitted = np.fromiter(map(len, ids), np.int64, len(ids))[index]
-            before = np.concatenate([[0], np.cumsum(emitted)])
-            np.add.at(out, places, before[first[1:]] - before[first[:-1]])
+        for place, _, begin, end in self._encoded(texts):
+            out[place] += end - begin
         return out
 
     def encode(self, texts: list[str], last: int | None = None) -> list[np.ndarray]:
-        """Ids of each text as uint32, ``last`` appended."""
-        tail = [] if last is None else [np.array([last], np.uint32)]
+        """Ids of each text, ``last`` appended, two bytes each if the vocabulary allows, else four."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for places, parts in self._groups(texts):
-            if parts is None:
-                found = self.library.encode(texts[places[0]], add_special_tokens=False).ids
-                out[places[0]].append(np.array(found, np.uint32))
-                continue
-            index, ids, first = self.words_of(parts)
-            if not len(index):
-                continue
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            offsets = np.cumsum(sizes) - sizes
-            emitted = sizes[index]
-            before = np.concatenate([[0], np.cumsum(emitted)])
-            flat = np.concatenate(ids)[np.repeat(offsets[index] - before[:-1], emitted) + np.arange(before[-1])]
-            for k, place in enumerate(places):
-                out[place].append(flat[before[first[k]]:before[first[k + 1]]])
-        return [np.concatenate([*parts, *tail]) if parts or tail else np.zeros(0, np.uint32) for parts in out]
+        for place, flat, begin, end in self._encoded(texts):
+            out[place].append(flat(slice(begin, end)))
+        tail = [] if last is None else [np.array([last])]
+        return [np.concatenate([np.zeros(0, self.id_type), *parts, *tail]).astype(self.id_type) for parts in out]
 
 
 @functools.cache

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.finite_state import compiled
 from touchline.llm.registry import query
-from touchline.llm.storage import keep, table
+from touchline.llm.storage import bounded, keep, table
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -32,10 +32,6 @@ def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def id_type(tokenizer) -> str:
-    return "<u2" if tokenizer.library.get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int = MAX_LENGTH,
            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
@@ -51,14 +47,14 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int =
 
     def cut(batches):
         machine = compiled(tokenizer)
-        kind, part, nth = id_type(machine), TaskContext.get().partitionId(), Counter()
+        part, nth = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), machine.encode(texts, last=end_id), strict=True):
-                raw, start = ids.astype(kind), 0
+                start = 0
                 for length in piece_lengths(len(ids), longest):
-                    rows.append((doc_id, start, length, len(ids), raw[start:start + length].tobytes(), part, nth[length]))
+                    rows.append((doc_id, start, length, len(ids), ids[start:start + length].tobytes(), part, nth[length]))
                     nth[length] += 1
                     start += length
             columns = zip(*rows, strict=True) if rows else [[]] * 7
@@ -70,16 +66,14 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, longest: int =
                   .mapInArrow(cut, COLUMNS), "pieces", compression="zstd")
     buckets = pieces.groupBy("length", "part").count()
     before = F.sum("count").over(Window.orderBy("length", "part")) - F.col("count")  # a few rows per task
-    numbers = buckets.select("length", "part", before.alias("base"))
+    numbers = bounded(keep(buckets.select("length", "part", before.alias("base")), "buckets"))
     return pieces.join(numbers, ["length", "part"]).select(
         "doc_id", "start", "length", "doc_tokens", "ids",
         (F.col("base") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 
-def piece_digests(pieces: DataFrame, wide: bool) -> DataFrame:
-    """The pieces with ids_crc32, over four-byte ids, in place of the ids. ``wide``: ids are stored in four bytes."""
-    kind = "<u4" if wide else "<u2"
-
+def piece_digests(pieces: DataFrame, kind: np.dtype) -> DataFrame:
+    """The pieces with ids_crc32, over four-byte ids, in place of the ids, which are of the given type."""
     @F.udf("bigint", useArrow=True)
     def crc(ids):
         return zlib.crc32(np.frombuffer(ids, kind).astype("<u4").tobytes())
@@ -92,4 +86,4 @@ def piece_digests(pieces: DataFrame, wide: bool) -> DataFrame:
 def op8_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packed(table(spark, sf_dir, "documents"), path)
-    return piece_digests(pieces, wide=id_type(compiled(path)) == "<u4")
+    return piece_digests(pieces, compiled(path).id_type)

@@ -124,13 +124,12 @@ def encoded_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
     """doc_id, row_no, n_ids, ids (four bytes each, compressed) of every row, kept in the shared folder."""
     def encode(batches):
         machine, squeeze = compiled(tokenizer), zstandard.ZstdCompressor(level=3)
-        small = np.dtype("<u2") if machine.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             ids = machine.encode([t or "" for t in batch.column(1).to_pylist()], last=end_id)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([small.itemsize] * len(ids), pa.int32()),
-                 pa.array([squeeze.compress(x.astype(small).tobytes()) for x in ids], pa.binary())],
+                 pa.array([machine.id_type.itemsize] * len(ids), pa.int32()),
+                 pa.array([squeeze.compress(x.tobytes()) for x in ids], pa.binary())],
                 ["doc_id", "row_no", "n_ids", "width", "ids"])
 
     return keep(numbered(docs, "doc_id", "text").mapInArrow(
