@@ -11,7 +11,7 @@ deletion or substitution of a code point). Earlier means by document, then by pl
 3. Keys met by one text only are dropped from counts that are combined before the shuffle. Where many
    texts share a key, the rest of each line, without the segment, must still be within the threshold;
    it is cut and keyed again, up to ``LEVELS`` times, so a frequent segment does not pair all its lines.
-4. Pairs that remain are verified by a banded bit-parallel edit distance: one integer holds the band of
+4. Pairs that remain, and whose counts of some characters differ little enough, are verified by a banded bit-parallel edit distance: one integer holds the band of
    2 * THRESHOLD + 1 cells around the diagonal, and a fold over the characters advances it.
 """
 
@@ -27,6 +27,7 @@ THRESHOLD = 2
 MIN_CHARS = 30       # shorter lines are left alone: headings, signs, list marks
 HOT = 16             # texts on a key from which it is cut again
 LEVELS = 4
+COUNTED = "etaoinsr"  # characters whose counts are compared before the edit distance
 
 
 # ---- keys -----------------------------------------------------------------------------------------
@@ -108,16 +109,32 @@ def candidate_pairs(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT
 
 # ---- verification ---------------------------------------------------------------------------------
 
+def alike(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
+    """A cheap necessary condition: an edit changes the counts of at most two characters by one."""
+    def count(text: Column, char: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+    differences = [F.abs(count(x, c) - count(y, c)) for c in COUNTED]
+    total = differences[0]
+    for d in differences[1:]:
+        total = total + d
+    return total <= 2 * threshold
+
+
+def bound_to(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
     """Whether two texts are within ``threshold`` edits.
 
-    At column j, counted from 0, bit k of the band stands for the row j + k - threshold. Per column, matches of the character
-    with the rows of the band give the diagonal zeros; the vertical differences of the band follow
-    with the usual additions and shifts. The score is followed down the band's lowest diagonal, then
-    along the last column to the last row.
+    At column j, counted from 0, bit k of the band stands for the row j + k - threshold. Per column, matches
+    of the character with the rows of the band give the diagonal zeros; the vertical differences of the
+    band follow with the usual additions and shifts. The score is followed down the band's lowest
+    diagonal, then along the last column to the last row.
     """
     width = 2 * threshold + 1
-    mask = (1 << width) - 1
     n, m = F.length(x), F.length(y)                  # rows, columns
     padding = F.array_repeat(F.lit(""), threshold)   # never equal to a character
     rows = F.concat(padding, F.split(x, ""), F.array_repeat(F.lit(""), width + threshold))
@@ -125,31 +142,34 @@ def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
     def number(value: int) -> Column:
         return F.lit(value).cast("bigint")
 
-    def matched(char: Column, j: Column) -> Column:
-        """Bits of the band's rows that hold the character; j counts columns from 0."""
-        bits = number(0)
-        for k in range(width):
-            bits = bits.bitwiseOR(F.when(F.get(rows, j + k) == char, number(1 << k)).otherwise(number(0)))
+    mask = number((1 << width) - 1)
+
+    def matches(rows: Column):
+        """Bits of the band's rows that hold the character of column j."""
+        def bits(char: Column, j: Column) -> Column:
+            out = number(0)
+            for k in range(width):
+                out = out + F.when(F.get(rows, j + k) == char, number(1 << k)).otherwise(number(0))
+            return out
         return bits
 
-    def step(state: Column, char: Column, j: Column) -> Column:
+    def step(state: Column, eq: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
-        eq = matched(char, j)
+
+        def advanced(d0: Column) -> Column:
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)))
+            down = F.shiftright(d0, 1)
+            return F.struct(
+                d0.bitwiseAND(vp).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(mask).alias("vp"),
+                down.bitwiseAND(hp).alias("vn"),
+                (state["score"] + F.when(d0 >= 1 << (width - 1), 0).otherwise(1)).alias("score"))
+
         # Diagonal zeros: a match, or a vertical decrease carried down the column.
         carried = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)
-        d0 = carried.bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(number(mask))
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(number(mask))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(number(mask)).alias("vp"),
-            down.bitwiseAND(hp).alias("vn"),
-            (state["score"] + F.when(d0.bitwiseAND(number(1 << (width - 1))) != 0, 0).otherwise(1)).cast("int").alias("score"))
-
-    # Above the first row the band counts the columns: rows 1..threshold below it start increasing.
-    start = F.struct(number(mask & ~((1 << threshold) - 1)).alias("vp"), number(0).alias("vn"), F.lit(threshold).alias("score"))
-    chars = F.transform(F.split(y, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
-    last = F.aggregate(chars, start, lambda s, item: step(s, item["c"], item["j"]))
+        return bound_to(carried.bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(mask), advanced)
+
+    # Above the first row the band counts the columns: the rows below it start increasing.
+    start = F.struct(number((1 << width) - (1 << threshold)).alias("vp"), number(0).alias("vn"), F.lit(threshold).alias("score"))
 
     def finished(state: Column) -> Column:
         """From the band's lowest row, m + threshold, up to row n; bit k is now of row m + k - threshold + 1."""
@@ -161,8 +181,9 @@ def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
             score = score - F.when(below, drop).otherwise(0)
         return score
 
-    done = F.element_at(F.transform(F.array(last), finished), 1)
-    return F.when(F.abs(n - m) > threshold, False).when((n == 0) | (m == 0), True).otherwise(done <= threshold)
+    bits = bound_to(rows, lambda r: F.transform(F.split(y, ""), matches(r)))
+    distance = bound_to(F.aggregate(bits, start, step), finished)
+    return F.when(F.abs(n - m) > threshold, False).when((n == 0) | (m == 0), True).otherwise(distance <= threshold)
 
 
 # ---- lines ----------------------------------------------------------------------------------------
@@ -192,7 +213,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     firsts = narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies"))
 
     pairs = candidate_pairs(lines.select("node", "text"), threshold)
-    links = keep(pairs.where(within(F.col("x_text"), F.col("y_text"), threshold)).select("x", "y"), "line-links")
+    possible = keep(pairs.where(alike(F.col("x_text"), F.col("y_text"), threshold)), "line-pairs")
+    links = keep(possible.where(within(F.col("x_text"), F.col("y_text"), threshold)).select("x", "y"), "line-links")
     both = links.union(links.select("y", "x")).toDF("node", "other")
     linked = both.join(firsts.select(F.col("node").alias("other"), F.col("first").alias("there")), "other")
     near = linked.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"), F.min("there").alias("near"))
@@ -209,19 +231,22 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         ((F.col("here") == first) & (F.col("near").isNull() | (F.col("near") > first))).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` (row_no, text and any columns) without the lines that ``line_classes`` does not keep.
+def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` (doc_id, text, a unique row number and any columns) without the lines that ``line_classes`` does
+    not keep, and with ``__lines_gone``, how many those are.
 
     A document that loses all its lines goes; one that lost none, also an empty or null text, is as before.
     """
-    dropped = (line_classes(docs.select("row_no", "doc_id", "text"), threshold, min_chars)
-               .where(~F.col("kept")).groupBy("row_no").agg(F.collect_list("line_no").alias("gone_lines")))
-    split = F.split("text", "\n")
-    left = F.filter(split, lambda line, i: ~F.array_contains("gone_lines", i))
-    marked = docs.join(bounded(keep(dropped, "dropped-lines"), 100_000), "row_no", "left")
-    return (marked.where(F.col("gone_lines").isNull() | (F.size(left) > 0))
-            .withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-            .select(*docs.columns))
+    rows = docs.select(F.col(row_column).alias("row_no"), "doc_id", "text")
+    dropped = (line_classes(rows, threshold, min_chars).where(~F.col("kept"))
+               .groupBy(F.col("row_no").alias("__row")).agg(F.collect_list("line_no").alias("__gone")))
+    dropped = bounded(keep(dropped, "dropped-lines"), 100_000)
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
+    marked = docs.join(dropped, F.col(row_column) == F.col("__row"), "left")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return (marked.where(F.col("__gone").isNull() | (F.size(left) > 0))
+            .select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+                    F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__lines_gone")))
 
 
 SQL = """
@@ -241,7 +266,7 @@ select doc_id, cast(line_no as integer) as line_no, first.d as class_doc_id, cas
 from l join firsts using (text) left join near using (text)"""
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", SQL)
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
