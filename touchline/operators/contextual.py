@@ -290,7 +290,7 @@ H2H_DEFAULTS = {
 
 def with_pair(matches: DataFrame) -> DataFrame:
     lo = F.least("home_team", "away_team")
-    return matches.withColumn("pair", F.concat_ws("|", lo, F.greatest("home_team", "away_team"))) \
+    return matches.withColumn("pair", F.struct(lo.alias("lo"), F.greatest("home_team", "away_team").alias("hi"))) \
         .withColumn("home_is_lo", F.col("home_team") == lo)
 
 

@@ -29,9 +29,12 @@ MODEL_FEATURES = (
         "goals_per_game", "goals_conceded_per_game", "win_rate", "points_per_game", "clean_sheet_rate")]
     + ["diff_momentum_points", "diff_consistency", "h2h_home_team_win_rate", "h2h_away_team_win_rate",
        "rivalry_intensity"])
-QUICK = {"forest": {"numTrees": 10, "maxDepth": 5}, "boosted_a": {"maxIter": 3, "maxDepth": 3},
-         "boosted_b": {"maxIter": 3, "maxDepth": 3}}
+# Forests run with the defaults of ``models``. Boosting fits one chain of trees per class, so the
+# registered queries bound its rounds; ``models.DEFAULTS`` holds the full numbers.
+ROUNDS = {"forest": {}, "boosted_a": {"maxIter": 3, "maxDepth": 4}, "boosted_b": {"maxIter": 3, "maxDepth": 4}}
+FOLDS = 5
 _TABLES: dict[tuple[str, str], object] = {}
+_MODELS: dict[tuple[str, str, str], models.OutcomeModel] = {}
 
 
 def feature_rows(spark, sf_dir):
@@ -50,6 +53,14 @@ def labelled(spark, sf_dir):
     return feature_rows(spark, sf_dir).where(F.col("label").isNotNull())
 
 
+def trained(spark, sf_dir, kind):
+    """The model of a kind on all labelled rows, fitted once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _MODELS:
+        _MODELS[key] = models.fit(kind, labelled(spark, sf_dir), MODEL_FEATURES, ROUNDS[kind])
+    return _MODELS[key]
+
+
 # --- two deterministic probability sources, so that metrics have an oracle ------------------------
 
 PRED_SQL = (
@@ -119,7 +130,7 @@ def label_encoding(spark, sf_dir):
 def _fitted(kind):
     def run(spark, sf_dir):
         split = folds.stratified_split(labelled(spark, sf_dir), "label", "match_id")
-        model = models.fit(kind, split.where("is_train"), MODEL_FEATURES, QUICK[kind])
+        model = models.fit(kind, split.where("is_train"), MODEL_FEATURES, ROUNDS[kind])
         out = model.transform(split.where(~F.col("is_train")))
         return rounded(out.select("match_id", "label", "predicted", "confidence", "p_H", "p_D", "p_A"))
     return run
@@ -132,7 +143,7 @@ for _name, _kind in {"M02_forest": "forest", "M03_boosted_a": "boosted_a", "M04_
 @query("M05_predict_batch")
 def predict_batch(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
-    model = models.fit("forest", rows.where("label is not null"), MODEL_FEATURES, QUICK["forest"])
+    model = trained(spark, sf_dir, "forest")
     return rounded(model.transform(rows).select("match_id", "predicted", "confidence", "p_H", "p_D", "p_A"))
 
 
@@ -239,12 +250,20 @@ def soft_voting(spark, sf_dir):
 
 @query("M14_stacking")
 def stacking(spark, sf_dir):
-    folded = stored(folds.stratified_folds(labelled(spark, sf_dir), "label", "match_id", 2), "folds")
+    """Predictions for held-out rows: the combiner learns from out-of-fold predictions on the training rows,
+    the base models are then fitted on all of those."""
+    split = stored(folds.stratified_split(labelled(spark, sf_dir), "label", "match_id"), "split")
+    train, test = split.where("is_train"), split.where("not is_train")
+    folded = stored(folds.stratified_folds(train, "label", "match_id", FOLDS), "folds")
     kinds = ["forest", "boosted_a"]
-    oof = stored(models.out_of_fold("forest", folded, MODEL_FEATURES, 2, QUICK["forest"]).unionByName(
-        models.out_of_fold("boosted_a", folded, MODEL_FEATURES, 2, QUICK["boosted_a"])), "oof")
-    stacked = ensemble.Stacked(kinds).fit(oof)
-    return rounded(stacked.transform(oof).select("match_id", "label", "predicted", "p_H", "p_D", "p_A"))
+    learned, asked = [], []
+    for kind in kinds:
+        learned.append(models.out_of_fold(kind, folded, MODEL_FEATURES, FOLDS, ROUNDS[kind]))
+        base = models.fit(kind, train, MODEL_FEATURES, ROUNDS[kind])
+        asked.append(base.transform(test).select("match_id", "label", F.lit(0).alias("fold"), *learned[-1].columns[3:]))
+    stacked = ensemble.Stacked(kinds).fit(stored(learned[0].unionByName(learned[1]), "oof"))
+    answers = stored(asked[0].unionByName(asked[1]), "asked")
+    return rounded(stacked.transform(answers).select("match_id", "label", "predicted", "p_H", "p_D", "p_A"))
 
 
 @query("M15_model_weights", PRED_SQL + (
@@ -285,9 +304,7 @@ def _asked(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return {"forest": models.fit("forest", rows, MODEL_FEATURES, QUICK["forest"]),
-            "boosted_a": models.fit("boosted_a", rows, MODEL_FEATURES, QUICK["boosted_a"])}
+    return {kind: trained(spark, sf_dir, kind) for kind in ("forest", "boosted_a")}
 
 
 def _predicted(spark, sf_dir):
@@ -543,7 +560,7 @@ def batch_prediction_files(spark, sf_dir):
 @query("S18_model_files")
 def model_files(spark, sf_dir):
     path = fresh_dir(spark, "model")
-    fitted = models.fit("forest", labelled(spark, sf_dir), MODEL_FEATURES, QUICK["forest"])
+    fitted = trained(spark, sf_dir, "forest")
     fitted.save(path, spark)
     again = models.load_model(path, spark).transform(feature_rows(spark, sf_dir))
     return rounded(again.select("match_id", "predicted", "p_H", "p_D", "p_A"))

@@ -24,6 +24,21 @@ def read_documents(
     return df if season is None else df.where(F.col("season") == season)
 
 
+def read_match_files(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a plain store: one file per match, indented or not, in folders of any depth.
+
+    A document without a season takes the name of its folder. A file that is no JSON gives a row with its
+    content in the corrupt field, so ``split_corrupt`` can set it aside; nothing turns into nulls unseen.
+    """
+    schema = T.StructType([*MATCH_SCHEMA.fields, *([] if "season" in MATCH_SCHEMA.names else [SEASON_FIELD]), CORRUPT_FIELD])
+    documents = (spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+                 .option("multiLine", True).option("mode", "PERMISSIVE")
+                 .option("columnNameOfCorruptRecord", CORRUPT_FIELD.name).json(path))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:season=)?([^/]+)/[^/]+$", 1)
+    return documents.select(*[F.coalesce("season", folder).alias("season") if c == "season" else F.col(c)
+                              for c in documents.columns])
+
+
 def split_corrupt(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable, quarantined) documents."""
     bad = F.col(CORRUPT_FIELD.name).isNotNull()

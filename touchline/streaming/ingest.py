@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +25,16 @@ def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
             checked.where(F.size("reasons") > 0))
 
 
+def one_per_match(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Of repeated ids the greatest row: by the columns of ``order``, then by all others."""
+    rank = [*order, *(c for c in batch.columns if c not in order)]
+    rows = batch.groupBy("match_id").agg(F.max_by(F.struct(*batch.columns), F.struct(*rank)).alias("row"))
+    return rows.select("row.*")
+
+
 def new_matches(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows whose id is not stored yet, one per id."""
-    return batch.dropDuplicates(["match_id"]).join(store.select("match_id"), "match_id", "left_anti")
+    """Rows whose id is not stored yet, under any season."""
+    return batch.join(store.select("match_id"), "match_id", "left_anti")
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -39,16 +46,22 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
         raise
 
 
-def ingest_batch(store: str, quarantine: str, refresh: Callable[[DataFrame], None] | None = None):
-    """``foreachBatch`` body.  Idempotent: a replayed batch finds its ids stored and adds nothing."""
+def ingest_batch(store: str, quarantine: str, refresh: Callable[[DataFrame], None] | None = None,
+                 order: Sequence[str] = ()):
+    """``foreachBatch`` body. Idempotent: a replayed batch finds its ids stored and adds nothing, its bad
+    rows replace those of the same batch, and the refresh sees all its valid rows again, so a batch that
+    failed between the append and the end of the refresh is completed.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid, bad = split_valid(batch)
+        valid = stored(one_per_match(valid, order), "valid")
         fresh = stored(new_matches(valid, _read(spark, store, batch.schema)), "fresh")
         fresh.write.mode("append").partitionBy("season").parquet(store)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+        (bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(quarantine))
         if refresh is not None:
-            refresh(fresh)
+            refresh(valid)
     return run
 
 
@@ -63,7 +76,7 @@ def start_ingest(source: DataFrame, store: str, quarantine: str, checkpoint: str
     if event_time is not None:
         source = source.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["match_id"])
     return (
-        source.writeStream.foreachBatch(ingest_batch(store, quarantine, refresh))
+        source.writeStream.foreachBatch(ingest_batch(store, quarantine, refresh, (event_time,) if event_time else ()))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
