@@ -6,7 +6,7 @@ fingerprint, which selects one of the declared mappings (``LAYOUTS``) into canon
 conversation, in turn order, are its formatted text. A conversation is never held in one place, so
 its length has no bound.
 
-The template is ``<|role|>``, newline, text, ``<|end|>``, newline. Backslashes, ``<|`` and ``|>`` inside roles
+The template is ``<| role |>``, newline, text, ``<|end|>``, newline. Backslashes, ``<|`` and ``|>`` inside roles
 and texts get a backslash, so control strings appear only where the template puts them, and
 removing one backslash before each escaped character restores the text.
 """
@@ -143,7 +143,7 @@ def formatted_pieces(turns: DataFrame) -> DataFrame:
     The loss span covers an assistant's text inside the piece in code points, end excluded, and is
     empty elsewhere. ``seq`` orders turns that share a number: by role, then text.
     """
-    head = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit("<| "), escaped(F.col("role")), F.lit(" |>\n"))
     body = escaped(F.col("text"))
     start = F.length(head)
     return turns.select(
@@ -159,8 +159,8 @@ def parsed_pieces(pieces: DataFrame) -> DataFrame:
     piece = F.col("piece")
     return pieces.select(
         "conv_id", "turn",
-        unescaped(F.regexp_extract(piece, r"(?s)^<\|(.*?)\|>\n", 1)).alias("role"),
-        unescaped(F.regexp_extract(piece, r"(?s)^<\|.*?\|>\n(.*)<\|end\|>\n$", 1)).alias("text"),
+        unescaped(F.regexp_extract(piece, r"(?s)^<\| (.*?) \|>\n", 1)).alias("role"),
+        unescaped(F.regexp_extract(piece, r"(?s)^<\| .*? \|>\n(.*)<\|end\|>\n$", 1)).alias("text"),
         unescaped(F.substring(piece, F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))).alias("loss"),
         F.length(piece).cast("bigint").alias("chars"))
 
@@ -228,7 +228,7 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10))) as bigint) as formatted_chars
+  cast(sum(length('<| ' || r || ' |>' || chr(10) || x || '<|end|>' || chr(10))) as bigint) as formatted_chars
 from e group by conv_id"""
 
 
