@@ -14,8 +14,10 @@ Not all pairs of a bucket are compared, yet no link that could join two classes
 
 1. Texts with the same words are one node. Each bucket compares its members with one of them, picked
    by hash, so a text in many buckets meets many different partners. Verified links form classes.
-2. Where a bucket still holds members of several classes, the members outside its largest class are
-   compared with every member of another class.
+2. Members of buckets that still hold several classes are joined by prefix filtering, which is exact:
+   ordered from rare to frequent shingles, two similar texts share one of the first shingles that make
+   up more than 1 - THRESHOLD of a text's weight, and from there on enough weight is left in both.
+   Variants of one text differ in just the rare shingles, so few pairs of different classes meet.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 BUCKETS_LOG2 = 16
+ORDER_LOG2 = 18             # counters that order shingles by frequency; any order gives right results
 FAN = 256                   # partners that one copy of a text is compared with
 BLOCK = 8192                # shingles sampled at once
 
@@ -178,6 +181,47 @@ def ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """shingle, node, root, weight, rest: the rarest shingles of each text (node, root, text), up to more
+    than 1 - threshold of its weight; ``rest`` is what a shingle and all later ones weigh."""
+    def slots(shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> np.uint64(64 - ORDER_LOG2)).astype(np.int64)
+
+    def count(batches):
+        total = np.zeros(1 << ORDER_LOG2, np.int64)
+        for batch in batches:
+            for words in word_hashes(batch.column(0).to_pylist()):
+                total += np.bincount(slots(weighted_shingles(words, idf)[0]), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    found = (texts.select("text").mapInArrow(count, "slot bigint, n bigint")
+             .groupBy("slot").agg(F.sum("n").alias("n")).toArrow())      # at most one row per counter
+    frequency = np.zeros(1 << ORDER_LOG2, np.int64)
+    frequency[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+
+    def rarest(batches):
+        for batch in batches:
+            nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts, totals, rests = [], [], [np.zeros(0)]
+            for words in word_hashes(batch.column(2).to_pylist()):
+                shingles, weights = weighted_shingles(words, idf)
+                order = np.lexsort((shingles, frequency[slots(shingles)]))
+                sums = np.cumsum(weights[order], dtype=np.float64)
+                n = int(np.searchsorted(sums, (1 - threshold + 1e-4) * sums[-1], "right")) + 1
+                parts.append(shingles[order[:n]].view(np.int64))
+                totals.append(sums[-1])
+                rests.append(sums[-1] - sums[:n] + weights[order[:n]])
+            sizes = [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(np.repeat(nodes, sizes)),
+                 pa.array(np.repeat(roots, sizes)), pa.array(np.repeat(np.array(totals, float), sizes)),
+                 pa.array(np.concatenate(rests))], ["shingle", "node", "root", "weight", "rest"])
+
+    return texts.select("node", "root", "text").mapInArrow(
+        rarest, "shingle bigint, node bigint, root bigint, weight double, rest double")
+
+
 def text_links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """node, root for every text (row_no, bands) that is similar to another."""
     spread = nodes.select(F.col("row_no").alias("node"), F.explode("bands").alias("key"))
@@ -190,13 +234,16 @@ def text_links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: fl
 
     classes = connected_components(links)
     placed = keep(members.join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    largest = (placed.groupBy("key", "root").count()
-               .groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("n_roots"))
-               .where("n_roots > 1"))
-    open_members = keep(placed.join(largest, "key").select("key", "node", "root", "main"), "open")
-    others = open_members.where("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    untried = (others.join(open_members, "key").where("x_root != root")
-               .select(*ordered("x", "node")).distinct().join(tried, ["a", "b"], "left_anti"))
+    several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    undecided = keep(placed.join(several.select("key"), "key", "left_semi").select("node", "root").distinct(), "open")
+    texts = keep(rows.select(F.col("row_no").alias("node"), "text").join(bounded(undecided), "node"), "open-texts")
+    first = keep(prefixes(texts, idf, threshold), "prefixes")
+    other = first.toDF(*[f"x_{c}" for c in first.columns])
+    # The first shared shingle and what follows must weigh what the similarity needs, in both texts.
+    needed = (F.col("weight") + F.col("x_weight")) * (threshold / (1 + threshold) - 1e-4)
+    meet = ((F.col("shingle") == F.col("x_shingle")) & (F.col("x_node") < F.col("node")) & (F.col("x_root") != F.col("root"))
+            & (F.least("rest", "x_rest") >= needed))
+    untried = (first.join(other, meet).withColumnRenamed("x_node", "x").select(*ordered("x", "node")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = verified(keep(untried, "pairs"), rows, idf, threshold)
     return connected_components(links.union(more))
 
