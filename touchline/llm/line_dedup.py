@@ -32,35 +32,46 @@ COUNTED = "etaoinsr"  # characters whose counts are compared before the edit dis
 
 # ---- keys -----------------------------------------------------------------------------------------
 
-def segments(length: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the even segments of a text; the last ones are longer by one."""
+def bound_to(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def segments(length: Column, small: Column, threshold: int) -> list[tuple[Column, Column]]:
+    """(start from 1, size) of the even segments of a text; ``small`` is the size of the first ones, the last
+    are longer by one."""
     n = threshold + 1
-    small = F.floor(length / n).cast("int")
     longer = length - small * n
-    out = []
-    for i in range(n):
-        extra = F.greatest(F.lit(0), longer - (n - i))
-        out.append((F.lit(1) + small * i + extra, small + F.when(longer >= n - i, 1).otherwise(0)))
-    return out
+    return [(small * i + 1 + F.greatest(F.lit(0), longer - (n - i)), small + F.when(longer >= n - i, 1).otherwise(0))
+            for i in range(n)]
+
+
+def bound_to(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def keys_of(text: Column, base: Column, threshold: int = THRESHOLD) -> Column:
-    """array<struct<key, is_index, start, size>>: the index keys of a text, which also probe its own
-    length, and its further probes, under the key of the level before."""
+    """array<struct<key, is_index, start, size, fits>>: the index keys of a text, which also probe its own
+    length, and its further probes, under the key of the level before. A key whose segment would not
+    lie inside the text does not fit."""
+    def keys(v: Column) -> Column:
+        found = []
+        for shorter in range(threshold + 1):             # how much shorter the other text is
+            for i, (start, size) in enumerate(segments(v["n"] - shorter, v[f"small{shorter}"], threshold)):
+                first = max(-i, shorter - (threshold - i))
+                last = min(i, shorter + (threshold - i))
+                for shift in range(first, last + 1):
+                    at = start + shift
+                    found.append(F.struct(
+                        F.xxhash64(v["base"], v["n"] - shorter, F.lit(i), F.substring(v["text"], at, size)).alias("key"),
+                        F.lit(shorter == 0 and shift == 0).alias("is_index"), at.alias("start"), size.alias("size"),
+                        ((v["n"] >= shorter) & (at >= 1) & (at + size - 1 <= v["n"])).alias("fits")))
+        return F.array(*found)
+
     length = F.length(text)
-    found = []
-    for shorter in range(threshold + 1):             # how much shorter the other text is
-        for i, (start, size) in enumerate(segments(length - shorter, threshold)):
-            first = max(-i, shorter - (threshold - i))
-            last = min(i, shorter + (threshold - i))
-            for shift in range(first, last + 1):
-                at = start + shift
-                usable = (length >= shorter) & (at >= 1) & (at + size - 1 <= length)
-                found.append(F.when(usable, F.struct(
-                    F.xxhash64(base, length - shorter, F.lit(i), F.substring(text, at, size)).alias("key"),
-                    F.lit(shorter == 0 and shift == 0).alias("is_index"),
-                    at.cast("int").alias("start"), size.cast("int").alias("size"))))
-    return F.filter(F.array(*found), lambda k: k.isNotNull())
+    smalls = [F.floor((length - d) / (threshold + 1)).cast("int").alias(f"small{d}") for d in range(threshold + 1)]
+    return bound_to(F.struct(text.alias("text"), base.alias("base"), length.alias("n"), *smalls), keys)
 
 
 def live_keys(keyed: DataFrame) -> DataFrame:
@@ -79,7 +90,8 @@ def candidate_pairs(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT
     rows = lines.select("node", "text", F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("base"))
     pairs = None
     for level in range(levels):
-        keyed = rows.select("node", "text", "rest", F.inline(keys_of(F.col("rest"), F.col("base"), threshold)))
+        keyed = (rows.select("node", "text", "rest", F.inline(keys_of(F.col("rest"), F.col("base"), threshold)))
+                 .where("fits").drop("fits"))
         live = bounded(keep(live_keys(keyed), "live"))
         met = keyed.join(live, "key")
         # Copies of one text give the same rows; of texts repeated across tasks one is taken.
@@ -121,11 +133,6 @@ def alike(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
     return total <= 2 * threshold
 
 
-def bound_to(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
     """Whether two texts are within ``threshold`` edits.
 
