@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from check_oracles import compare, duck
 from touchline.llm import components, exact_dedup, line_dedup, near_dedup
 from touchline.llm.registry import ORACLES
@@ -167,3 +168,15 @@ def test_lines_of_odd_rows(spark, docs_of):
     assert sorted((r.doc_id, r.text, r.gone) for r in left) == sorted(
         [(1, f"x\n{line[:-1]}!", "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x"), (6, "short", "x")], key=lambda r: r[0])
     assert line_dedup.line_classes(docs.limit(0)).count() == 0
+
+
+def test_short_lines_lose_their_copies(spark, docs_of):
+    random.seed(12)
+    line = "".join(random.choices("abcdefgh", k=29))
+    docs = docs_of([(1, f"{line}\n}}\n\n{line[:-1]}"), (2, f"{line}xy\n}}\n\nown"), (3, "}\nowm"), (4, "}")])
+    rows = line_dedup.line_classes(docs, shortest=line_dedup.EVERY_LINE).collect()
+    got = sorted((r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in rows)
+    assert got == [(1, 0, 1, 0, 1, True), (1, 1, 1, 1, 0, True), (1, 3, 1, 3, 0, True), (2, 0, 2, 0, 1, False), (2, 1, 1, 1, 0, False),
+                   (2, 3, 2, 3, 0, True), (3, 0, 1, 1, 0, False), (3, 1, 3, 1, 0, True), (4, 0, 1, 1, 0, False)]
+    left = corpus_pipeline.dedup_lines(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, f"{line}\n}}\n\n{line[:-1]}"), (2, "\nown"), (3, "owm")]

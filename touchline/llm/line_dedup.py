@@ -24,7 +24,8 @@ from touchline.llm.registry import query
 from touchline.llm.storage import bounded, keep, table
 
 THRESHOLD = 2
-MIN_CHARS = 30       # shorter lines are left alone: headings, signs, list marks
+MIN_CHARS = 30       # code points from which the longer of two lines allows edits; shorter lines meet by digest only
+EVERY_LINE = 1       # ``shortest`` for all lines but empty ones
 HOT = 16             # texts on a key from which it is cut again
 LEVELS = 4
 COUNTED = "etaoinsr"  # characters whose counts are compared before the edit distance
@@ -195,10 +196,10 @@ def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
 
 # ---- lines ----------------------------------------------------------------------------------------
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """row_no, doc_id, line_no (from 0), text, node (digest) of the lines long enough to be compared."""
+def lines_of(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
+    """row_no, doc_id, line_no (from 0), text, node (digest) of the lines of at least ``shortest`` code points."""
     return (docs.select("row_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-            .where(F.length("text") >= min_chars)
+            .where(F.length("text") >= shortest)
             .withColumn("node", F.unhex(F.md5("text"))))
 
 
@@ -207,19 +208,26 @@ def place() -> Column:
                     F.col("row_no").alias("row_no"), F.col("line_no").cast("bigint").alias("line_no"))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line of at least ``min_chars`` code points: row_no, doc_id, line_no, the place where its
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
+    """One row per line of at least ``shortest`` code points (``min_chars`` if none is given): row_no, doc_id, line_no, the place where its
     text first stood (class_doc_id, class_line_no), n_links (other texts within the threshold),
     the earliest place of those (near_doc_id, near_line_no, null without links), kept.
 
+    Equal lines of any reported length are one class. Edits are allowed between two lines of which the
+    longer has ``min_chars`` code points.
+
     ``docs`` holds row_no (unique, the same on every read), doc_id and text. Null and empty texts have no
     such lines. Rows are in the order of doc_id, null ids last, then row_no.
     """
-    lines = lines_of(docs, min_chars)
+    shortest = min_chars if shortest is None else shortest
+    lines = lines_of(docs, shortest)
     narrow = keep(lines.select("row_no", "doc_id", "line_no", "node"), "lines")
     firsts = narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies"))
 
-    pairs = candidate_pairs(lines.select("node", "text"), threshold)
+    compared = lines.where(F.length("text") >= max(shortest, min_chars - threshold))
+    pairs = candidate_pairs(compared.select("node", "text"), threshold)
+    if shortest < min_chars:
+        pairs = pairs.where(F.greatest(F.length("x_text"), F.length("y_text")) >= min_chars)
     possible = keep(pairs.where(alike(F.col("x_text"), F.col("y_text"), threshold)), "line-pairs")
     links = keep(possible.where(within(F.col("x_text"), F.col("y_text"), threshold)).select("x", "y"), "line-links")
     both = links.union(links.select("y", "x")).toDF("node", "other")
@@ -238,14 +246,15 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         ((F.col("here") == first) & (F.col("near").isNull() | (F.col("near") > first))).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
+                           shortest: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, a unique row number and any columns) without the lines that ``line_classes`` does
     not keep, and with ``__lines_gone``, how many those are.
 
     A document that loses all its lines goes; one that lost none, also an empty or null text, is as before.
     """
     rows = docs.select(F.col(row_column).alias("row_no"), "doc_id", "text")
-    dropped = (line_classes(rows, threshold, min_chars).where(~F.col("kept"))
+    dropped = (line_classes(rows, threshold, min_chars, shortest).where(~F.col("kept"))
                .groupBy(F.col("row_no").alias("__row")).agg(F.collect_list("line_no").alias("__gone")))
     dropped = bounded(keep(dropped, "dropped-lines"), 100_000)
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
