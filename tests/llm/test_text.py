@@ -124,6 +124,77 @@ def test_license_rules(text, expected):
     assert [s[0] for s in licenses.scan(text)] == expected
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize("text, name", [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (GPL, "GPL-3.0"),
+                                        (GPL.replace("General", "Affero General"), "AGPL-3.0"), (APACHE, "Apache-2.0")])
+def test_wrapped_notices(text, name, mark):
+    text = "\n".join(mark + line for line in text.split("\n"))
+    for before in ("", "Copyright (c) 2020 Some One\n", "no full stop\n"):
+        found = licenses.scan(before + text + "\n")
+        assert [f[0] for f in found] == [name]
+        assert found[0][1] <= len(before) + len(mark) and (name == "Apache-2.0" or found[0][2] >= len(before + text) - 1)
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Licensed under the GPL v3.", ["GPL-3.0"]), ("Licensed under GPLv3", ["GPL-3.0"]), ("License: x\nLicensed under LGPLv2.1", ["LGPL-2.1"]),
+    ("Licensed under the Apache License v2.0.", ["Apache-2.0"]), ("Licensed under the Mozilla Public License v2.0.", ["MPL-2.0"]),
+    ("This work is licensed under the GNU General\nPublic License, version\n3.", ["GPL-3.0"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software" + " and more" * 500 + ".", ["MIT"])])
+def test_license_versions_and_lengths(text, expected):
+    assert [s[0] for s in licenses.scan(text)] == expected
+
+
 def test_license_query(spark, sf, query):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
              "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}

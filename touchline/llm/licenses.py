@@ -1,14 +1,16 @@
 """License scans by sentence and rule recognition.
 
-Texts that name no licence term are passed over at once. Other texts are cut into sentences, which are
-normalised (lower case, words only) and mapped to identifiers of known licence sentences. The sequence of
-identifiers is then matched against ordered rules, most specific first: a rule holds where its
+Texts that name no licence term are passed over at once. Other texts are cut into sentences at signs that
+end one, blank lines and list marks; a wrapped sentence stays whole. Sentences are normalised (lower case, words
+only) and mapped to identifiers of known licence sentences, which may begin and end at any line of a sentence, so a
+notice without a full stop before or after it is found too. The sequence of identifiers is then matched against ordered rules, most specific first: a rule holds where its
 identifiers stand in consecutive sentences, and the sentences it explains take part in no later rule.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,18 +24,18 @@ TERMS = ("licen", "copyright", "spdx", "permission", "redistribut", "warrant", "
 
 # Licence names as they stand in normalised sentences.
 NAMES = {
-    "AGPL-3.0": r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: as published by the free software foundation)?(?: (?:version |v )?3(?: 0)?)?",
-    "LGPL-3.0": r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: (?:version |v )?3(?: 0)?)",
-    "LGPL-2.1": r"(?:gnu )?(?:lesser general public licen[sc]e|library general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: (?:version |v )?2(?: [01])?)",
-    "GPL-3.0": r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: (?:version |v )?3(?: 0)?)",
-    "GPL-2.0": r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: (?:version |v )?2(?: 0)?)",
+    "AGPL-3.0": r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?3(?: 0)?)?",
+    "LGPL-3.0": r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?3(?: 0)?)",
+    "LGPL-2.1": r"(?:gnu )?(?:lesser general public licen[sc]e|library general public licen[sc]e|lgpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?2(?: [01])?)",
+    "GPL-3.0": r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?3(?: 0)?)",
+    "GPL-2.0": r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?2(?: 0)?)",
     "GPL": r"(?:gnu )?(?:general public licen[sc]e|gpl)",
-    "Apache-2.0": r"apache(?: software)?(?: licen[sc]e)?(?: (?:version |v )?2(?: 0)?)?(?: the licen[sc]e)?",
+    "Apache-2.0": r"apache(?: software)?(?: licen[sc]e)?(?: ?(?:version |v ?)?2(?: 0)?)?(?: the licen[sc]e)?",
     "MIT": r"(?:mit|expat)(?: licen[sc]e)?",
     "BSD-2-Clause": r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?",
     "BSD-3-Clause": r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|bsd)(?: licen[sc]e)?",
-    "MPL-2.0": r"mozilla public licen[sc]e(?: (?:version |v )?2(?: 0)?)?|mpl 2 0",
-    "EPL-2.0": r"eclipse public licen[sc]e(?: (?:version |v )?2(?: 0)?)?|epl 2 0",
+    "MPL-2.0": r"mozilla public licen[sc]e(?: ?(?:version |v ?)?2(?: 0)?)?|mpl ?(?:v ?)?2 0",
+    "EPL-2.0": r"eclipse public licen[sc]e(?: ?(?:version |v ?)?2(?: 0)?)?|epl ?(?:v ?)?2 0",
     "ISC": r"isc(?: licen[sc]e)?",
     "CC-BY-NC-SA-4.0": r"(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
     "CC-BY-NC-ND-4.0": r"(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderiv(?:ative)?s)(?: 4 0)?(?: international)?(?: licen[sc]e)?",
@@ -44,17 +46,17 @@ NAMES = {
     "Unlicense": r"unlicense",
 }
 
-_GRANT = (r"(?:(?:this|the|it) (?:\w+ ){0,3}(?:is|are) |this program is free software you can redistribute it and or modify it )?"
+_GRANT = (r"(?:(?:this|the|it) (?:\w+ ){0,3}(?:is|are) |(?:\w+ ){1,4}is free software you can redistribute it and or modify it )?"
           r"(?:(?:also )?(?:dual )?(?:licen[sc]ed|released|distributed|available|published|provided|redistributed)(?: to you)? )?"
           r"under (?:the terms of )?(?:an? |the )?")
 _LATER = r"(?: of the licen[sc]e)?(?: only)?(?: or at your option any later version| or later| or any later version)?"
 
-# Sentences of licence texts and notices, normalised, by identifier.
+# Sentences of licence texts and notices, normalised, by identifier. ".*" at the end takes the rest.
 SENTENCES = {
-    "copyright": r"(?:portions )?copyright(?: c)?(?: \d{4}.*| .{1,80})",
+    "copyright": r"(?:portions )?copyright(?: c)?(?: \d{4}[^\n]*| [^\n]{1,80})",
     "all-rights": r"all rights reserved",
     "apache-may-not-use": r"you may not use this (?:file|work|software) except in compliance with the licen[sc]e",
-    "apache-obtain": r"you may obtain a copy of the licen[sc]e at(?: .*)?",
+    "apache-obtain": r"you may obtain a copy of the licen[sc]e at.*",
     "apache-as-is": r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis.*",
     "apache-see": r"see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e",
     "mit-permission": r"permission is hereby granted free of charge to any person obtaining a copy of this software.*",
@@ -63,11 +65,11 @@ SENTENCES = {
     "mit-liable": r"in no event shall the authors or copyright holders be liable for any claim.*",
     "isc-permission": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*",
     "bsd-redistribution": r"redistribution and use in source and binary forms with or without modification are permitted.*",
-    "bsd-source": r"(?:\d )?redistributions of source code must retain the above copyright notice.*",
-    "bsd-binary": r"(?:\d )?redistributions in binary form must reproduce the above copyright notice.*",
-    "bsd-endorse": r"(?:\d )?neither the name of .{1,120} may be used to endorse or promote products.*",
+    "bsd-source": r"(?:\w )?redistributions of source code must retain the above copyright notice.*",
+    "bsd-binary": r"(?:\w )?redistributions in binary form must reproduce the above copyright notice.*",
+    "bsd-endorse": r"(?:\w )?neither the name of .{1,120} may be used to endorse or promote products.*",
     "bsd-as-is": r"this software is provided by .{1,120} as is and any express or implied warranties.*",
-    "gpl-warranty": r"(?:this program|it) is distributed in the hope that it will be useful.*",
+    "gpl-warranty": r"(?:this \w+|it) is distributed in the hope that it will be useful.*",
     "gpl-see": r"see the gnu (?:lesser |affero )?general public licen[sc]e for more details",
     "gpl-received": r"you should have received a copy of the gnu (?:lesser |affero )?general public licen[sc]e.*",
     "mpl-form": r"this source code form is subject to the terms of the mozilla public licen[sc]e(?: v 2 0)?",
@@ -75,11 +77,19 @@ SENTENCES = {
     "no-warranty": r"(?:this software|it) is provided without (?:any )?warranty.*",
 }
 
-MATCHERS = (
-    [(f"spdx:{name}", re.compile(rf"spdx licen[sc]e identifier (?:{pattern}|{re.escape(re.sub(r'[^a-z0-9]+', ' ', name.lower()))}){_LATER}"))
+def matcher(pattern: str) -> tuple[re.Pattern, bool]:
+    """(pattern for a place in a normalised sentence, whether the rest of the sentence belongs to it). Words may be
+    parted by a line's end, and a sentence that is not open ends with a line."""
+    is_open = pattern.endswith(".*")
+    words = pattern.removesuffix(".*").replace("[^\\n]", "\0").replace(" ", "[ \n]").replace("\0", "[^\\n]")
+    return re.compile(words + (r"(?!\w)" if is_open else r"(?=\n|\Z)"), re.DOTALL), is_open
+
+
+MATCHERS = [(name, *matcher(pattern)) for name, pattern in
+    [(f"spdx:{name}", rf"spdx licen[sc]e identifier (?:{pattern}|{re.sub(r'[^a-z0-9]+', ' ', name.lower())}){_LATER}")
      for name, pattern in NAMES.items()]
-    + [(f"grant:{name}", re.compile(rf"{_GRANT}(?:{pattern}){_LATER}")) for name, pattern in NAMES.items()]
-    + [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()])
+    + [(f"grant:{name}", rf"{_GRANT}(?:{pattern}){_LATER}") for name, pattern in NAMES.items()]
+    + list(SENTENCES.items())]
 
 # Rules in the order in which they are tried: identifiers of consecutive sentences, and the licence they mean.
 RULES = (
@@ -96,32 +106,69 @@ RULES = (
     + [(name, (f"spdx:{name}",)) for name in NAMES]
     + [(name, (f"grant:{name}",)) for name in NAMES])
 
-BREAK = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
+# A sign that ends a sentence, a line without words, or a list mark at the start of a line.
+BREAK = re.compile(r"(?<=[.!?])\s+|[^\S\r\n]*(?:\r\n?|\n)(?:[^\w\r\n]*(?:\r\n?|\n))+[^\S\r\n]*"
+                   r"|(?<!version)(?:\r\n?|\n)[^\S\r\n]*(?=(?:[-–•]|\(?(?:\d{1,2}|[a-z])[.)])[^\S\r\n])", re.IGNORECASE)
+LINE = re.compile(r"[\r\n;]+")       # where a known sentence may begin or end inside a sentence
 GAP = re.compile(r"[\W_]+")
-LONGEST = 2_000      # characters of a sentence that are compared; all known sentences are shorter
 
 
 def sentences(text: str):
-    """(start, end) of sentences: up to a line's end or to white space after a sign that ends one."""
+    """(start, end) of sentences; wrapped lines stay together."""
     start = 0
     for gap in BREAK.finditer(text):
         if gap.start() > start:
             yield start, gap.start()
-        start = gap.end()
+        start = max(start, gap.end())
     if start < len(text):
         yield start, len(text)
 
 
+def lines_of(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(normalised words, start, end) of the lines of a sentence that hold words."""
+    out = []
+    for gap in LINE.finditer(text, start, end):
+        out.append((start, gap.start()))
+        start = gap.end()
+    out.append((start, end))
+    return [(words, a, b) for a, b in out if (words := normalised(text[a:b]))]
+
+
 def normalised(sentence: str) -> str:
     return GAP.sub(" ", sentence.lower()).strip()
 
 
-def identifier(sentence: str) -> str | None:
-    """First known sentence that the normalised one is; None for any other."""
-    if not any(c in sentence for c in ("licen", "copyright", "redistribut", "permission", "warrant", "liable", "reserved", "domain",
-                                       "mit", "bsd", "gpl", "apache", "cc", "mpl", "epl", "isc", "useful", "notice")):
-        return None
-    return next((name for name, pattern in MATCHERS if pattern.fullmatch(sentence)), None)
+def known_parts(lines: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
+    """(identifier, start, end) of the known sentences among the lines of a sentence, in order; what lies between
+    them is one part without an identifier."""
+    whole = "\n".join(words for words, _, _ in lines)
+    if not any(c in whole for c in ("licen", "copyright", "redistribut", "permission", "warrant", "liable", "reserved", "domain",
+                                    "mit", "bsd", "gpl", "apache", "cc", "mpl", "epl", "isc", "useful", "notice")):
+        return [(None, lines[0][1], lines[-1][2])]
+    ends, at = [], -1
+    for words, _, _ in lines:
+        at += len(words) + 1
+        ends.append(at)
+
+    def found(line: int) -> tuple[str, int, bool] | None:
+        """(identifier, last line, open) of the longest known sentence that begins with a line."""
+        start = ends[line] - len(lines[line][0])
+        best = None
+        for name, pattern, is_open in MATCHERS:
+            hit = pattern.match(whole, start)
+            if hit and (best is None or hit.end() > best[1]):
+                best = name, hit.end(), is_open
+        return best and (best[0], bisect_left(ends, best[1]), best[2])
+
+    out: list[tuple[str | None, int, int]] = []
+    line, hit = 0, found(0)
+    while line < len(lines):
+        last, following = hit[1] if hit else line, None
+        while last + 1 < len(lines) and not (following := found(last + 1)) and (hit is None or hit[2]):
+            last += 1
+        out.append((hit and hit[0], lines[line][1], lines[last][2]))
+        line, hit = last + 1, following
+    return out
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -132,11 +179,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     known = []
     number = 0
     for start, end in sentences(text):
-        words = normalised(text[start:end]) if end - start <= LONGEST else "-"
-        found = identifier(words)
-        if found:
-            known.append((number, found, start, end))
-        number += not words.isdigit() and bool(words)      # list numbers and signs alone don't part sentences
+        lines = lines_of(text, start, end)
+        if len(lines) == 1 and (lines[0][0].isdigit() or len(lines[0][0]) == 1):
+            continue                                       # list numbers and signs alone don't part sentences
+        for found, first, last in known_parts(lines) if lines else ():
+            if found:
+                known.append((number, found, first, last))
+            number += 1
     taken, out = [False] * len(known), []
     by_first: dict[str, list[int]] = {}
     for i, (_, name, _, _) in enumerate(known):
