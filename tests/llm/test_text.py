@@ -195,6 +195,37 @@ def test_license_versions_and_lengths(text, expected):
     assert [s[0] for s in licenses.scan(text)] == expected
 
 
+@pytest.mark.parametrize("words, name", [
+    ("AGPL 3.0", "AGPL-3.0"), ("LGPL 3.0", "LGPL-3.0"), ("LGPL 2.1", "LGPL-2.1"), ("GPL 3", "GPL-3.0"), ("GPL 2.0", "GPL-2.0"), ("GPL", "GPL"),
+    ("Apache 2.0", "Apache-2.0"), ("MIT", "MIT"), ("Expat", "MIT"), ("BSD 2-Clause", "BSD-2-Clause"), ("new BSD", "BSD-3-Clause"),
+    ("MPL 2.0", "MPL-2.0"), ("EPL 2.0", "EPL-2.0"), ("ISC", "ISC"), ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Creative Commons Attribution ShareAlike 4.0", "CC-BY-SA-4.0"),
+    ("Creative Commons Attribution 4.0", "CC-BY-4.0"), ("CC0 1.0", "CC0-1.0"), ("Unlicense", "Unlicense")])
+def test_grants_without_other_terms(words, name):
+    for verb in ("Released", "Distributed", "Available"):
+        assert [s[0] for s in licenses.scan(f"A tool.\n{verb} under {words}.\nMore.")] == [name]
+
+
+def test_every_matcher_has_a_stem():
+    samples = {
+        "copyright": "Copyright 2020 X", "all-rights": "All rights reserved", "apache-may-not-use": "You may not use this file except in compliance with the License",
+        "apache-obtain": "You may obtain a copy of the License at x", "apache-see": APACHE.split(".\n")[-1][:-1],
+        "apache-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis",
+        "mit-permission": MIT.split("\n\n")[0], "mit-notice": MIT.split("\n\n")[1], "mit-as-is": "The software is provided as is without warranty of any kind",
+        "mit-liable": "In no event shall the authors or copyright holders be liable for any claim",
+        "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "bsd-redistribution": BSD.split("\n\n")[0], "bsd-source": "Redistributions of source code must retain the above copyright notice",
+        "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+        "bsd-endorse": "Neither the name of X may be used to endorse or promote products",
+        "bsd-as-is": "This software is provided by X as is and any express or implied warranties", "gpl-warranty": "It is distributed in the hope that it will be useful",
+        "gpl-see": "See the GNU General Public License for more details", "gpl-received": "You should have received a copy of the GNU General Public License",
+        "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License v. 2.0",
+        "public-domain": "This work is dedicated to the public domain", "no-warranty": "It is provided without warranty"}
+    assert set(samples) == set(licenses.SENTENCES)
+    for name, text in samples.items():
+        assert [k[0] for k in licenses.known_parts(licenses.lines_of(text, 0, len(text)))] == [name]
+
+
 def test_license_query(spark, sf, query):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
              "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}

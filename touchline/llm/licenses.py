@@ -1,6 +1,6 @@
 """License scans by sentence and rule recognition.
 
-Texts that name no licence term are passed over at once. Other texts are cut into sentences at signs that
+Texts are cut into sentences at signs that
 end one, blank lines and list marks; a wrapped sentence stays whole. Sentences are normalised (lower case, words
 only) and mapped to identifiers of known licence sentences, which may begin and end at any line of a sentence, so a
 notice without a full stop before or after it is found too. The sequence of identifiers is then matched against ordered rules, most specific first: a rule holds where its
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 from touchline.llm.registry import query
 from touchline.llm.storage import table
 
-# A text with a known licence sentence holds one of these.
-TERMS = ("licen", "copyright", "spdx", "permission", "redistribut", "warrant", "public domain", "rights reserved", "liab")
-
 # Licence names as they stand in normalised sentences.
 NAMES = {
     "AGPL-3.0": r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: as published by the free software foundation)?(?: either)?(?: ?(?:version |v ?)?3(?: 0)?)?",
@@ -85,11 +82,20 @@ def matcher(pattern: str) -> tuple[re.Pattern, bool]:
     return re.compile(words + (r"(?!\w)" if is_open else r"(?=\n|\Z)"), re.DOTALL), is_open
 
 
-MATCHERS = [(name, *matcher(pattern)) for name, pattern in
-    [(f"spdx:{name}", rf"spdx licen[sc]e identifier (?:{pattern}|{re.sub(r'[^a-z0-9]+', ' ', name.lower())}){_LATER}")
-     for name, pattern in NAMES.items()]
-    + [(f"grant:{name}", rf"{_GRANT}(?:{pattern}){_LATER}") for name, pattern in NAMES.items()]
-    + list(SENTENCES.items())]
+def matchers(patterns) -> list[tuple[str, re.Pattern, bool]]:
+    return [(name, *matcher(pattern)) for name, pattern in patterns]
+
+
+# Known sentences by what they begin with, tried in order.
+MATCHERS = [
+    (re.compile("spdx"), matchers(
+        (f"spdx:{name}", rf"spdx licen[sc]e identifier (?:{pattern}|{re.sub(r'[^a-z0-9]+', ' ', name.lower())}){_LATER}")
+        for name, pattern in NAMES.items())),
+    (re.compile(_GRANT.replace(" ", "[ \n]")), matchers((f"grant:{name}", rf"{_GRANT}(?:{pattern}){_LATER}") for name, pattern in NAMES.items())),
+    (re.compile("(?:[a-z0-9] )?(?:portions|copyright|all|you|unless|see|permission|the|in|redistributions?|neither|this|it)[ \n]"), matchers(SENTENCES.items()))]
+
+# Every matcher needs one of these words or parts: each grant "under", each identifier "spdx", each other sentence its own.
+STEMS = re.compile("under|spdx|licen|copyright|reserved|permission|warrant|liab|redistribut|endorse|useful|domain|provided|basis")
 
 # Rules in the order in which they are tried: identifiers of consecutive sentences, and the licence they mean.
 RULES = (
@@ -111,6 +117,7 @@ BREAK = re.compile(r"(?<=[.!?])\s+|[^\S\r\n]*(?:\r\n?|\n)(?:[^\w\r\n]*(?:\r\n?|\
                    r"|(?<!version)(?:\r\n?|\n)[^\S\r\n]*(?=(?:[-–•]|\(?(?:\d{1,2}|[a-z])[.)])[^\S\r\n])", re.IGNORECASE)
 LINE = re.compile(r"[\r\n;]+")       # where a known sentence may begin or end inside a sentence
 GAP = re.compile(r"[\W_]+")
+WORD = re.compile(r"[^\W\d_]")
 
 
 def sentences(text: str):
@@ -142,9 +149,6 @@ def known_parts(lines: list[tuple[str, int, int]]) -> list[tuple[str | None, int
     """(identifier, start, end) of the known sentences among the lines of a sentence, in order; what lies between
     them is one part without an identifier."""
     whole = "\n".join(words for words, _, _ in lines)
-    if not any(c in whole for c in ("licen", "copyright", "redistribut", "permission", "warrant", "liable", "reserved", "domain",
-                                    "mit", "bsd", "gpl", "apache", "cc", "mpl", "epl", "isc", "useful", "notice")):
-        return [(None, lines[0][1], lines[-1][2])]
     ends, at = [], -1
     for words, _, _ in lines:
         at += len(words) + 1
@@ -154,7 +158,7 @@ def known_parts(lines: list[tuple[str, int, int]]) -> list[tuple[str | None, int
         """(identifier, last line, open) of the longest known sentence that begins with a line."""
         start = ends[line] - len(lines[line][0])
         best = None
-        for name, pattern, is_open in MATCHERS:
+        for name, pattern, is_open in (m for head, group in MATCHERS if head.match(whole, start) for m in group):
             hit = pattern.match(whole, start)
             if hit and (best is None or hit.end() > best[1]):
                 best = name, hit.end(), is_open
@@ -173,12 +177,12 @@ def known_parts(lines: list[tuple[str, int, int]]) -> list[tuple[str | None, int
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(licence, start, end) of every statement found, in order; offsets count code points."""
-    lowered = text.lower()
-    if not any(term in lowered for term in TERMS):
-        return []
     known = []
     number = 0
     for start, end in sentences(text):
+        if end - start > 3 and not STEMS.search(text[start:end].lower()):
+            number += bool(WORD.search(text, start, end))
+            continue
         lines = lines_of(text, start, end)
         if len(lines) == 1 and (lines[0][0].isdigit() or len(lines[0][0]) == 1):
             continue                                       # list numbers and signs alone don't part sentences
