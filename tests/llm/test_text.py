@@ -105,6 +105,22 @@ def test_paraphrases_and_odd_rows(spark, docs_of):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_copies_in_long_windows(spark, docs_of):
+    """Copies of short items, with a benchmark of many others; the second word of an item of two is everywhere."""
+    prepare(spark)
+    random.seed(8)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    items = [random.choices(vocabulary[:300], k=n) for n in (2, 5, 9, 12, 15, 19, 30)] + [random.choices(vocabulary, k=40) for _ in range(4500)]
+    texts = []
+    for item in items[:7]:
+        for before in (0, 13, 190):
+            texts.append(" ".join(random.choices(vocabulary, k=before) + item + random.choices(vocabulary, k=200 - before)))
+    docs = docs_of(list(enumerate(texts + ["", None, items[2][0]])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).where("shared = 1").collect()}
+    assert found >= {(i, i // 3) for i in range(21)}
+
+
 def test_common_subsequence():
     mask = {}
     for i, w in enumerate([1, 2, 3, 2, 4]):
