@@ -1,5 +1,6 @@
 """Names, splits, medians, streaming and model files on small inputs."""
 
+import json
 import os
 import random
 import statistics
@@ -119,3 +120,36 @@ def test_text_ids_are_ordered_the_same_way(spark, matches_of):
     text_ids = m.withColumn("match_id", F.format_string("game-%06d", "match_id"))
     a, b = (sorted(map(str, snapshot.team_snapshot(x, ["streaks", "season"]).collect())) for x in (m, text_ids))
     assert a == b
+
+
+def test_registered_models_run_with_the_defaults(spark, monkeypatch):
+    """What the queries ask of fit and search; nothing is fitted."""
+    from touchline.plans import model_queries
+
+    asked = []
+    monkeypatch.setattr(model_queries, "labelled", lambda *a: spark.createDataFrame([(1, "H"), (2, "D"), (3, "A")], "match_id bigint, label string"))
+    monkeypatch.setattr(models, "fit", lambda kind, df, features, params=None, **k: asked.append((kind, {**models.DEFAULTS[kind], **(params or {})})))
+    monkeypatch.setattr(model_queries, "_MODELS", {})
+    for kind in models.DEFAULTS:
+        model_queries.trained(spark, "", kind)
+        with pytest.raises(AttributeError):
+            model_queries._fitted(kind)(spark, "")
+    assert asked == [(kind, models.DEFAULTS[kind]) for kind in models.DEFAULTS for _ in range(2)]
+
+    monkeypatch.setattr(models, "search", lambda *a, **k: asked.append((a, k)) or ({}, spark.range(1)))
+    model_queries.parameter_search(spark, "")
+    assert asked[-1][1] == {} and len(asked[-1][0]) == 3
+
+
+def test_search_tries_what_it_drew(spark, monkeypatch):
+    tried = []
+    def predictions(kind, folded, features, k, params):
+        tried.append(params)
+        return folded.withColumn("predicted", F.lit("H" if params["maxDepth"] > 9 else "D"))
+    monkeypatch.setattr(models, "out_of_fold", predictions)
+    df = spark.createDataFrame([(i, "HHD"[i % 3]) for i in range(30)], "match_id bigint, label string")
+    best, trials = models.search("forest", df, [], trials=6, k=2)
+    rng = random.Random(models.SEED)
+    drawn = [models.draw_params("forest", rng) for _ in range(6)]
+    assert [json.loads(r.params) for r in trials.orderBy("trial").collect()] == drawn and len(tried) == 6
+    assert best == next(p for p in drawn if p["maxDepth"] > 9)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (
@@ -21,6 +22,7 @@ from touchline.operators.metrics import macro_scores
 
 CLASSES = ("A", "D", "H")  # label order of an alphabetical encoder
 SEED = 42
+SEARCH_THREADS = 4  # trials of a search that are fitted at a time
 # Search ranges (low, high) or choices per model type.
 SEARCH_SPACE = {
     "boosted_a": {"maxIter": (50, 300), "maxDepth": (3, 10), "stepSize": (0.01, 0.3),
@@ -168,13 +170,16 @@ def search(kind: str, df: DataFrame, features: Sequence[str], key: str = "match_
     """Seeded random search with stratified k-fold accuracy; returns (best params, trial table)."""
     rng = random.Random(seed)
     spark = df.sparkSession
+    drawn = [{**draw_params(kind, rng), **(narrow or {})} for _ in range(trials)]
     folded = stratified_folds(df, "label", key, k, seed).persist()
-    rows = []
-    for t in range(trials):
-        params = {**draw_params(kind, rng), **(narrow or {})}
+    folded.count()
+
+    def accuracy(params: dict) -> float:
         scores = macro_scores(out_of_fold(kind, folded, features, k, params), ["fold"])
-        accuracy = scores.agg(F.avg("accuracy")).first()[0]
-        rows.append((t, json.dumps(params), float(accuracy)))
+        return float(scores.agg(F.avg("accuracy")).first()[0])
+
+    with ThreadPoolExecutor(SEARCH_THREADS) as pool:
+        rows = [(t, json.dumps(p), a) for t, (p, a) in enumerate(zip(drawn, pool.map(accuracy, drawn), strict=True))]
     folded.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))
     return json.loads(best[1]), spark.createDataFrame(rows, "trial int, params string, accuracy double")

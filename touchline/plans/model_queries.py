@@ -29,9 +29,6 @@ MODEL_FEATURES = (
         "goals_per_game", "goals_conceded_per_game", "win_rate", "points_per_game", "clean_sheet_rate")]
     + ["diff_momentum_points", "diff_consistency", "h2h_home_team_win_rate", "h2h_away_team_win_rate",
        "rivalry_intensity"])
-# Forests run with the defaults of ``models``. Boosting fits one chain of trees per class, so the
-# registered queries bound its rounds; ``models.DEFAULTS`` holds the full numbers.
-ROUNDS = {"forest": {}, "boosted_a": {"maxIter": 3, "maxDepth": 4}, "boosted_b": {"maxIter": 3, "maxDepth": 4}}
 FOLDS = 5
 _TABLES: dict[tuple[str, str], object] = {}
 _MODELS: dict[tuple[str, str, str], models.OutcomeModel] = {}
@@ -57,7 +54,7 @@ def trained(spark, sf_dir, kind):
     """The model of a kind on all labelled rows, fitted once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
-        _MODELS[key] = models.fit(kind, labelled(spark, sf_dir), MODEL_FEATURES, ROUNDS[kind])
+        _MODELS[key] = models.fit(kind, labelled(spark, sf_dir), MODEL_FEATURES)
     return _MODELS[key]
 
 
@@ -130,7 +127,7 @@ def label_encoding(spark, sf_dir):
 def _fitted(kind):
     def run(spark, sf_dir):
         split = folds.stratified_split(labelled(spark, sf_dir), "label", "match_id")
-        model = models.fit(kind, split.where("is_train"), MODEL_FEATURES, ROUNDS[kind])
+        model = models.fit(kind, split.where("is_train"), MODEL_FEATURES)
         out = model.transform(split.where(~F.col("is_train")))
         return rounded(out.select("match_id", "label", "predicted", "confidence", "p_H", "p_D", "p_A"))
     return run
@@ -149,8 +146,7 @@ def predict_batch(spark, sf_dir):
 
 @query("M06_parameter_search")
 def parameter_search(spark, sf_dir):
-    _, trials = models.search("forest", labelled(spark, sf_dir), MODEL_FEATURES, trials=2, k=2,
-                              narrow={"numTrees": 5, "maxDepth": 4})
+    _, trials = models.search("forest", labelled(spark, sf_dir), MODEL_FEATURES)
     return rounded(trials)
 
 
@@ -258,8 +254,8 @@ def stacking(spark, sf_dir):
     kinds = ["forest", "boosted_a"]
     learned, asked = [], []
     for kind in kinds:
-        learned.append(models.out_of_fold(kind, folded, MODEL_FEATURES, FOLDS, ROUNDS[kind]))
-        base = models.fit(kind, train, MODEL_FEATURES, ROUNDS[kind])
+        learned.append(models.out_of_fold(kind, folded, MODEL_FEATURES, FOLDS))
+        base = models.fit(kind, train, MODEL_FEATURES)
         asked.append(base.transform(test).select("match_id", "label", F.lit(0).alias("fold"), *learned[-1].columns[3:]))
     stacked = ensemble.Stacked(kinds).fit(stored(learned[0].unionByName(learned[1]), "oof"))
     answers = stored(asked[0].unionByName(asked[1]), "asked")
