@@ -153,3 +153,13 @@ def test_search_tries_what_it_drew(spark, monkeypatch):
     drawn = [models.draw_params("forest", rng) for _ in range(6)]
     assert [json.loads(r.params) for r in trials.orderBy("trial").collect()] == drawn and len(tried) == 6
     assert best == next(p for p in drawn if p["maxDepth"] > 9)
+
+
+def test_similar_takes_any_number_of_queries(spark):
+    vectors = spark.range(10_001).select(F.format_string("t%05d", "id").alias("name"),
+                                         F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    few = vectors.limit(7)
+    found = names.similar(vectors, few, 1)
+    assert found.count() == found.select("query").distinct().count() > 9_000
+    best = [sorted((r.query, r.name, r.rank) for r in names.similar(few, vectors.limit(40), 3, block).collect()) for block in (7, 2)]
+    assert best[0] == best[1] and best[0]
