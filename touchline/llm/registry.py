@@ -23,6 +23,7 @@ MODULES = [
     "packing",
     "licenses",
     "token_counts",
+    "divergence",
     "merkle",
 ]
 
