@@ -25,6 +25,7 @@ MODULES = [
     "token_counts",
     "divergence",
     "merkle",
+    "quality",
 ]
 
 
