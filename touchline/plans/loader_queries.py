@@ -10,10 +10,19 @@ from touchline.functions import text
 from touchline.operators import aggregates, clean, weights
 from touchline.operators.asof import match_sides
 from touchline.plans.registry import query, r, rounded
-from touchline.schemas import STATISTICS
+from touchline.schemas import ODDS_SCHEMA, STATISTICS
 from touchline.session import fresh_dir
-from touchline.sources import documents
-from touchline.sources.match_documents import document_store, match_documents, stat_sql
+from touchline.sources import documents, quotes
+from touchline.sources.match_documents import (
+    OTHER_MARKETS,
+    PERIOD_SQL,
+    TOTAL_SQL,
+    document_store,
+    market_quotes,
+    match_documents,
+    quote_store,
+    stat_sql,
+)
 from touchline.sources.views import MATCHES_SQL, ODDS_SQL, matches, odds_quotes, table
 
 M = f"with {MATCHES_SQL}"
@@ -26,8 +35,12 @@ def docs(spark, sf_dir, **kw):
     return documents.read_documents(spark, document_store(spark, sf_dir), **kw)
 
 
+def quotes_of(spark, sf_dir, **kw):
+    return quotes.read_quotes(spark, quote_store(spark, sf_dir), **kw)
+
+
 def flat(spark, sf_dir):
-    return documents.flatten(docs(spark, sf_dir))
+    return documents.flatten(docs(spark, sf_dir), quotes.flat_odds(quotes_of(spark, sf_dir)))
 
 
 # --- scans and sinks ---------------------------------------------------------------------------
@@ -56,10 +69,15 @@ def nested_scan(spark, sf_dir):
         F.col("first_half_stats.possession.away").alias("possession_1h_away"))
 
 
-_LATEST = (
-    f"{ODDS_SQL}, lq as (select match_id, bookmaker, arg_max(struct_pack(h := home_win, d := draw, a := away_win),"
-    " struct_pack(ts := ts, h := home_win, d := draw, a := away_win)) as v from q group by match_id, bookmaker),"
-    " lo as (select match_id, avg(v.h) as h, avg(v.d) as d, avg(v.a) as a, avg(v.h*0.5+1) as o, avg(v.a*0.5+1) as u from lq group by match_id)")
+# Mean odds of a match over every quote.
+_MEAN = f"""
+w as (
+  select l_orderkey as match_id, 1.2::double + l_quantity/10 as h, 2.0::double + l_discount*10 as d, 1.5::double + l_tax*50 as a,
+    {TOTAL_SQL} = 2.5 and {PERIOD_SQL} = 'Full Time' as asked
+  from lineitem),
+lo as (
+  select match_id, avg(h) as h, avg(d) as d, avg(a) as a, avg(h*0.5+1) filter (asked) as o, avg(a*0.5+1) filter (asked) as u
+  from w group by match_id)"""
 
 
 def flat_sql() -> str:
@@ -81,7 +99,7 @@ def flat_sql() -> str:
         cols.append(f"{r('lo.' + e)} as odds_{n}")
     for n, e in (("home", "h"), ("draw", "d"), ("away", "a")):
         cols.append(f"{r('1/lo.' + e)} as implied_prob_{n}")
-    return (f"{M}, {_LATEST} select " + ", ".join(cols)
+    return (f"{M}, {_MEAN} select " + ", ".join(cols)
             + ", season as year from m left join lo on lo.match_id=m.match_id")
 
 
@@ -313,7 +331,7 @@ def clean_report(spark, sf_dir):
     return rounded(clean.clean_report(dirty(spark, sf_dir)))
 
 
-@query("P09_feature_columns", f"{M}, {_LATEST} select " + ", ".join(
+@query("P09_feature_columns", f"{M}, {_MEAN} select " + ", ".join(
     [f"coalesce({e.replace('match_id', 'm.match_id')}, {d}) as {n}_{s}" for n, st, d in documents.FULL_TIME_COLUMNS
      for s, e in zip(("home", "away"), stat_sql(st), strict=True)]) + " from m left join lo on lo.match_id=m.match_id")
 def feature_columns(spark, sf_dir):
@@ -641,20 +659,47 @@ def weight_quartiles(spark, sf_dir):
 
 # --- document serialisation --------------------------------------------------------------------
 
+def _quotes_sql() -> str:
+    """All quotes of all markets: match_id, market, bookmaker, ts, period and every value."""
+    winner = {"home_win": "1.2+l_quantity/10", "draw": "2.0+l_discount*10", "away_win": "1.5+l_tax*50"}
+    totals = {"total": TOTAL_SQL, "over": "(1.2+l_quantity/10)*0.5+1", "under": "(1.5+l_tax*50)*0.5+1"}
+    parts = [("match_winner", "'Full Time'", winner, "true"), ("over_under", PERIOD_SQL, totals, "true")]
+    parts += [(m, PERIOD_SQL, v, f"(l_orderkey+l_linenumber)%7={i}") for i, (m, v) in enumerate(OTHER_MARKETS.items())]
+    selects = []
+    for market, period, values, where in parts:
+        cols = ", ".join(f"cast({values.get(n, 'null')} as {'varchar' if n in quotes.LABELS else 'double'}) as {n}" for n in quotes.VALUES)
+        selects.append(f"select l_orderkey as match_id, '{market}' as market, 'BOOK_' || (l_suppkey%8)::varchar as bookmaker,"
+                       f" cast(l_shipdate as timestamp) as ts, {period} as period, {cols} from lineitem where {where}")
+    return "aq as (" + " union all ".join(selects) + ")"
+
+
 @query("F22_serialise_odds", (
-    f"with {ODDS_SQL} select match_id, count(distinct bookmaker) as bookmakers from q group by match_id"))
+    f"with {_quotes_sql()} select match_id, market, bookmaker, strftime(ts, '%Y-%m-%dT%H:%M:%S') as timestamp, period, "
+    + ", ".join(n if n in quotes.LABELS else f"{r(n)} as {n}" for n in quotes.VALUES) + " from aq"))
 def serialise_odds(spark, sf_dir):
-    nested = docs(spark, sf_dir).select(F.col("match_id").cast("bigint").alias("match_id"), F.to_json("odds").alias("j"))
-    back = F.from_json("j", "match_winner array<struct<bookmaker:string,home_win:double>>")
-    return nested.where(F.get_json_object("j", "$.match_winner").isNotNull()).select(
-        "match_id", F.size(back["match_winner"]).cast("bigint").alias("bookmakers"))
+    """Every quote, read back from the JSON text of the nested market lists."""
+    texts = quotes.exported(quotes_of(spark, sf_dir)).select("match_id", F.to_json("odds").alias("odds"))
+    nested = texts.select("match_id", F.from_json("odds", ODDS_SCHEMA).alias("odds"))
+    back = quotes.unnested(nested)
+    return rounded(back.select(F.col("match_id").cast("bigint").alias("match_id"), "market", "bookmaker",
+                               F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "period", *quotes.VALUES))
+
+
+_ALL_PRICES = "+".join(f"coalesce({p}, 0)" for p in quotes.PRICES)
 
 
 @query("F23_dispatch_odds", (
-    f"{M}, {_LATEST} select match_id, market, count(*) as quotes from (select match_id, unnest(['match_winner','over_under']) as market from lq) group by all"))
+    f"with {_quotes_sql()} select match_id, market, count(*) as quotes, count(distinct bookmaker) as bookmakers,"
+    f" {r('sum(' + _ALL_PRICES + ')')} as prices, max(ts) as newest, {r('sum(coalesce(total, handicap))')} as lines,"
+    " max(coalesce(score, result_combination)) as last_label from aq group by match_id, market"))
 def dispatch_odds(spark, sf_dir):
-    from touchline.sources.match_documents import quotes_with_totals
-    nested = documents.nest_quotes(documents.latest_quotes(quotes_with_totals(spark, sf_dir)))
-    return nested.select("match_id", F.explode(F.create_map(
-        F.lit("match_winner"), F.size("match_winner"), F.lit("over_under"), F.size("over_under"))).alias("market", "quotes")
-    ).withColumn("quotes", F.col("quotes").cast("bigint"))
+    """Raw quote records to the lists of the nine markets, described by their counts and sums."""
+    found = market_quotes(spark, sf_dir)
+    totals = quotes.summary(found, ["match_id", "market"])
+    labels = found.groupBy("match_id", "market").agg(
+        F.countDistinct("bookmaker").alias("bookmakers"), F.sum(F.coalesce("total", "handicap")).alias("lines"),
+        F.max(F.coalesce("score", "result_combination")).alias("last_label"))
+    prices = sum((F.coalesce(f"{p}_sum", F.lit(0.0)) for p in quotes.PRICES), F.lit(0.0))
+    return rounded(totals.join(labels, ["match_id", "market"]).select(
+        F.col("match_id").cast("bigint").alias("match_id"), "market", "quotes", "bookmakers", prices.alias("prices"),
+        F.col("newest.ts").cast("timestamp_ntz").alias("newest"), "lines", "last_label"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from touchline.schemas import CORRUPT_FIELD, MATCH_SCHEMA, SEASON_FIELD, STATISTICS
 from touchline.session import stored
+from touchline.sources.quotes import FLAT_ODDS, flat_odds, unnested
 
 
 def read_documents(
@@ -102,15 +103,12 @@ FULL_TIME_COLUMNS = [
 HALF_COLUMNS = [("possession", "possession"), ("shots_on_target", "shots_on_goal")]
 
 
-def mean_quote(quotes: Column, field: str) -> Column:
-    """Mean of the positive prices of one document's quotes."""
-    prices = F.filter(F.transform(quotes, lambda q: q[field]), lambda p: p.isNotNull() & (p != 0))
-    total = F.aggregate(prices, F.lit(0.0), lambda a, p: a + p)
-    return F.when(F.size(prices) > 0, total / F.size(prices))
+def flatten(documents: DataFrame, odds: DataFrame | None = None) -> DataFrame:
+    """Nested document to the flat 54-column match row, with the loader's defaults.
 
-
-def flatten(documents: DataFrame) -> DataFrame:
-    """Nested document to the flat 54-column match row, with the loader's defaults."""
+    ``odds``: match_id and mean odds of every match (``quotes.flat_odds``); without it they are taken over all
+    quotes nested in the documents.
+    """
     home, away = F.col("home_score"), F.col("away_score")
     stats = []
     for name, stat, default in FULL_TIME_COLUMNS:
@@ -121,18 +119,10 @@ def flatten(documents: DataFrame) -> DataFrame:
         for name, stat in HALF_COLUMNS:
             for side in ("home", "away"):
                 stats.append(safe_extract(f"{block}.{stat}.{side}").alias(f"{name}_{half}_{side}"))
-    winner = F.col("odds.match_winner")
-    fixed_line = F.coalesce(
-        F.transform("odds.over_under_2_5", lambda q: F.struct(
-            q["over"].alias("over"), q["under"].alias("under"))),
-        F.transform(
-            F.filter("odds.over_under", lambda q: (q["total"] == 2.5) & (q["period"] == "Full Time")),
-            lambda q: F.struct(q["over"].alias("over"), q["under"].alias("under"))))
-    quotes = {
-        "home_win": mean_quote(winner, "home_win"), "draw": mean_quote(winner, "draw"),
-        "away_win": mean_quote(winner, "away_win"), "over_2_5": mean_quote(fixed_line, "over"),
-        "under_2_5": mean_quote(fixed_line, "under"),
-    }
+    documents = documents.withColumn("file_path", F.col("_metadata.file_path"))
+    if odds is None:
+        odds = flat_odds(unnested(documents))
+    documents = documents.join(odds, "match_id", "left")
     flat = documents.select(
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("match_id", "date", "home_team", "away_team")],
         "home_score", "away_score",
@@ -142,9 +132,8 @@ def flatten(documents: DataFrame) -> DataFrame:
         ((home > 0) & (away > 0)).alias("both_teams_scored"),
         (home - away).alias("goal_difference"),
         *stats,
-        *[c.alias(f"odds_{k}") for k, c in quotes.items()],
-        F.col("_metadata.file_path").alias("file_path"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"season=([^/]+)", 1).alias("year"),
+        *[f"odds_{k}" for k in FLAT_ODDS],
+        "file_path", F.regexp_extract("file_path", r"season=([^/]+)", 1).alias("year"),
     )
     implied = {"home": "home_win", "draw": "draw", "away": "away_win"}
     made = [F.try_divide(F.lit(1.0), F.col(f"odds_{v}")).alias(f"implied_prob_{k}")
@@ -202,22 +191,3 @@ def statistics_struct(exprs: dict[str, tuple[str, str]]) -> Column:
             pair = F.lit(None).cast(f"struct<home:{kind},away:{kind}>")
         out.append(pair.alias(stat))
     return F.struct(*out)
-
-
-def latest_quotes(quotes: DataFrame) -> DataFrame:
-    """Newest quote per (match, period, bookmaker): bounds a match's list by the bookmakers' number."""
-    newest = F.max(F.struct("ts", *[c for c in quotes.columns
-                                    if c not in ("match_id", "period", "bookmaker", "ts")]))
-    return quotes.groupBy("match_id", "period", "bookmaker").agg(newest.alias("q")).select(
-        "match_id", "period", "bookmaker", "q.*")
-
-
-def nest_quotes(latest: DataFrame) -> DataFrame:
-    """Latest quotes to one row per match holding its market lists."""
-    def entry(*fields: str) -> Column:
-        return F.struct("bookmaker", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
-                        "period", *fields)
-
-    return latest.groupBy("match_id").agg(
-        F.sort_array(F.collect_list(entry("home_win", "draw", "away_win"))).alias("match_winner"),
-        F.sort_array(F.collect_list(entry("total", "over", "under"))).alias("over_under"))
