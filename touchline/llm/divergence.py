@@ -1,7 +1,7 @@
 """Source divergence audit by iceberg prefix refinement.
 
 Which terms of a language stand in enough of its documents is found without counting every term. Terms are
-byte strings; the first level counts, per language, the documents that hold a prefix of two bytes. Prefixes
+byte strings; the first level counts, per language, the documents that hold a prefix of four bytes. Prefixes
 below the threshold cannot begin a term at or above it and are discarded; the others are extended to twice
 their length and counted again, until only complete terms remain. What survives a level reaches the next as a
 bitmap of bounded size: a prefix let through by a clash of bits falls at the next count, as a complete term does.
@@ -11,8 +11,9 @@ Term frequencies of each source are then compared with those of its language and
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,14 @@ from touchline.llm.registry import query
 from touchline.llm.storage import keep, prepare, table
 
 LEAST_DOCS = 30
-FIRST_PREFIX = 2              # bytes; doubled from level to level
+FIRST_PREFIX = 4              # bytes; doubled from level to level
 SMOOTH = 5                    # added to every count
 UNIT = 1_000_000_000          # frequencies are parts of this
 TOP_TERMS = 50
 BITMAP_LOG2 = 27              # bits of a level's bitmap at most (16 MB); a fuller one only prunes less
 BLOCK_LOG2 = 15               # bits of a block in which bitmaps are merged
-HELD = 400_000                # distinct keys counted in a task before they are handed on
+CHUNK_BYTES = 8 << 20         # text whose terms are numbered together
+HELD = 400_000                # tests of a bitmap that a task remembers
 TERM_BLOCK = 2_048            # terms compared at once
 SOURCE_BLOCK = 32             # sources compared at once
 
@@ -46,24 +48,55 @@ def terms_of(text: bytes) -> list[bytes]:
 
 # --- documents as their distinct terms ------------------------------------------------------------
 
+CHUNK = pa.schema([("lang", pa.string()), ("terms", pa.binary()), ("sources", pa.list_(pa.string())),
+                   ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def term_lists(docs: DataFrame) -> DataFrame:
-    """lang, source, terms (distinct, each closed by ``END``) and counts per document; nulls are ''."""
+    """Documents as the distinct terms they hold, in chunks of one language: about ``CHUNK_BYTES`` of text, or one
+    longer document.
+
+    ``terms``: the chunk's distinct terms, each closed by ``END``; per document its source, the number of its distinct
+    terms, their places in ``terms`` (ascending) and how often each occurs (32-bit integers). Nulls are ''.
+    """
+    def chunk(lang: str, sources: list[str], texts: list[bytes]) -> pa.RecordBatch:
+        places: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        ids, counts = [], []
+        for text in texts:
+            found = terms_of(text)
+            one, n = np.unique(np.fromiter(map(places.__getitem__, found), np.int32, len(found)), return_counts=True)
+            ids.append(one)
+            counts.append(n.astype(np.int32))
+        row = [lang, b"".join(t + END for t in places), sources, np.array([len(x) for x in ids], np.int32).tobytes(),
+               np.concatenate(ids).tobytes(), np.concatenate(counts).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, CHUNK, strict=True)], schema=CHUNK)
+
     def split(batches):
+        held: dict[str, tuple[list[str], list[bytes]]] = {}
+        size = 0
         for batch in batches:
-            found = [Counter(terms_of(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([b"".join(t + END for t in c) for c in found], pa.binary()),
-                 pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
-                ["lang", "source", "terms", "counts"])
+            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                sources, texts = held.setdefault(lang, ([], []))
+                sources.append(source)
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield from (chunk(k, *v) for k, v in held.items())
+                    held, size = {}, 0
+        yield from (chunk(k, *v) for k, v in held.items())
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
     return docs.select(*text).select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
-        split, "lang string, source string, terms binary, counts array<bigint>")
+        split, "lang string, terms binary, sources array<string>, sizes binary, ids binary, counts binary")
 
 
-def closed_terms(terms: bytes) -> list[bytes]:
-    return [t + END for t in terms.split(END)[:-1]]
+def integers(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int32).astype(np.int64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
 # --- bitmaps of bounded size ----------------------------------------------------------------------
@@ -128,31 +161,26 @@ def counted_prefixes(lists: DataFrame, length: int, marks: tuple[bytes, int] | N
 
     def count(batches):
         test = alive_in(*marks) if marks else None
-        seen: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for lang, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = closed_terms(terms)
-                if test is None:
-                    keys = {t[:length] for t in found}
-                else:   # shorter terms were complete at an earlier level
-                    keys = {t[:length] for t in found if len(t) > half and test(lang, t[:half])}
-                seen[lang].update(keys)
-            if sum(map(len, seen.values())) >= HELD:
-                yield from flushed(seen)
-        yield from flushed(seen)
-
-    return (lists.select("lang", "terms").mapInArrow(count, "lang string, key binary, n_docs bigint")
+            for lang, terms, sizes, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                prefixes: dict[bytes, int] = defaultdict(itertools.count().__next__)
+                of_term = np.array([
+                    prefixes[(t + END)[:length]] if test is None or len(t) >= half and test(lang, t[:half]) else -1
+                    for t in terms.split(END)[:-1]], np.int64)      # shorter terms were complete at an earlier level
+                if not prefixes:
+                    continue
+                sizes = integers(sizes)
+                found = of_term[integers(ids)]
+                keys = np.repeat(np.arange(len(sizes)) * len(prefixes), sizes) + found
+                n_docs = np.bincount(distinct(keys[found >= 0]) % len(prefixes), minlength=len(prefixes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(prefixes)), pa.array(list(prefixes), pa.binary()), pa.array(n_docs)],
+                    ["lang", "key", "n_docs"])
+
+    return (lists.select("lang", "terms", "sizes", "ids").mapInArrow(count, "lang string, key binary, n_docs bigint")
             .groupBy("lang", "key").agg(F.sum("n_docs").alias("n_docs")))
 
 
-def flushed(seen: dict[str, Counter]):
-    for lang, counts in seen.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()),
-             pa.array(list(counts.values()), pa.int64())], ["lang", "key", "n_docs"])
-    seen.clear()
-
-
 def kept_terms(lists: DataFrame, least_docs: int = LEAST_DOCS, first: int = FIRST_PREFIX) -> DataFrame:
     """lang, term of every term that stands in at least ``least_docs`` documents of its language."""
     complete = F.substring("key", -1, 1) == F.lit(END)
@@ -173,24 +201,26 @@ def term_counts(lists: DataFrame, kept: DataFrame) -> DataFrame:
 
     def count(batches):
         test = alive_in(*marks)
-        seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for batch in batches:
-            for lang, source, terms, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mine = seen[lang, source]
-                for term, n in zip(terms.split(END)[:-1], counts, strict=True):
-                    if test(lang, term):
-                        mine[term] += n
-            if sum(map(len, seen.values())) >= HELD:
-                yield from handed(seen)
-        yield from handed(seen)
-
-    def handed(seen):
-        for (lang, source), counts in seen.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array([source] * len(counts), pa.string()),
-                 pa.array([t.decode() for t in counts], pa.string()), pa.array(list(counts.values()), pa.int64())],
-                ["lang", "source", "term", "n"])
-        seen.clear()
+            for lang, terms, sources, sizes, ids, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = sorted(set(sources))
+                number = {name: i for i, name in enumerate(names)}
+                of_term = terms.split(END)[:-1]
+                alive = np.array([test(lang, t) for t in of_term], bool)
+                ids = integers(ids)
+                keep_it = alive[ids]
+                source = np.repeat(np.array([number[x] for x in sources], np.int64), integers(sizes))
+                keys = source[keep_it] * len(of_term) + ids[keep_it]
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], integers(counts)[keep_it][order]
+                if not len(keys):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                keys, n = keys[first], np.add.reduceat(n, first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(keys)), pa.array(names).take(pa.array(keys // len(of_term))),
+                     pa.array(of_term, pa.binary()).take(pa.array(keys % len(of_term))).cast(pa.string()), pa.array(n)],
+                    ["lang", "source", "term", "n"])
 
     return (lists.mapInArrow(count, "lang string, source string, term string, n bigint")
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi"))
@@ -307,7 +337,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, most: int = TOP_TE
     counts = keep(term_counts(lists, kept), "term_counts")
     n_terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = lists.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    groups = lists.select("lang", F.explode(F.array_distinct("sources")).alias("source")).distinct()
     groups = groups.join(totals, ["lang", "source"], "left").join(n_terms, "lang", "left").na.fill(0)
     groups = keep(source_numbers(groups), "groups")
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
