@@ -155,6 +155,7 @@ def test_divergence_in_small_blocks_and_with_a_full_bitmap(spark, monkeypatch):
     rows = divergence_rows(5)
     monkeypatch.setattr(divergence, "bitmap", lambda keys: (b"\xff" * 4096, 15))   # lets every prefix through
     monkeypatch.setattr(divergence, "HELD", 7)
+    monkeypatch.setattr(divergence, "CHUNK_BYTES", 100)
     monkeypatch.setattr(divergence.distances, "__defaults__", (2, 2))
     assert found_divergence(spark, rows, least_docs=10) == plain_divergence(rows, 10, 50)
 
