@@ -1,8 +1,8 @@
 """Advanced families: expected goals, efficiency, clutch and style over a team's last matches.
 
 Every family is a set of aggregates over the last N rows, written against a small interface so the
-same definition serves both scopes: window frames on a team's timeline (``TeamFrame``) and grouped
-league history (``AgeGroup``).  Random terms of the estimates are replaced by their means.
+same definition serves both scopes: window frames on a team's timeline (``TeamFrame``) and sums over
+league history (``Moments``).  Random terms of the estimates are replaced by their means.
 """
 
 from __future__ import annotations
@@ -29,24 +29,66 @@ class TeamFrame:
     def __init__(self, n: int):
         self.frame = last_n(KEY, n)
 
-    def __call__(self, aggregate: Column) -> Column:
-        return aggregate.over(self.frame)
+    def mean(self, value: Column) -> Column:
+        return F.avg(value).over(self.frame)
 
-    def pick(self, value: Column) -> Column:
-        return value
+    def total(self, value: Column) -> Column:
+        return F.sum(value).over(self.frame)
 
+    def count(self, value: Column) -> Column:
+        return F.count(value).over(self.frame)
 
-class AgeGroup:
-    """The same aggregates inside groupBy(team, date) over rows numbered by ``age``."""
+    def variance(self, value: Column) -> Column:
+        return F.var_pop(value).over(self.frame)
 
-    def __init__(self, n: int):
+    def deviation(self, value: Column) -> Column:
+        return F.stddev_pop(value).over(self.frame)
+
+    def covariance(self, x: Column, y: Column) -> Column:
+        return F.covar_pop(x, y).over(self.frame)
+
+
+class Moments:
+    """The same aggregates as expressions over sums of row terms, which add up over any parts of the rows.
+
+    ``Moments()(n)`` looks at rows of ``age`` up to n. ``terms`` holds what must be summed per row; the aggregates
+    then read the summed columns of the same names.
+    """
+
+    LEAST = 1e-12      # a smaller variance of values that are tenths at the finest is rounding noise
+
+    def __init__(self, terms: dict[str, Column] | None = None, n: int = 0):
+        self.terms = {} if terms is None else terms
         self.n = n
 
-    def __call__(self, aggregate: Column) -> Column:
-        return aggregate
+    def __call__(self, n: int) -> Moments:
+        return Moments(self.terms, n)
+
+    def _sum(self, value: Column) -> Column:
+        name = f"t{len(self.terms)}"
+        self.terms[name] = F.when(F.col("age") <= self.n, value)
+        return F.col(name)
+
+    def total(self, value: Column) -> Column:
+        return self._sum(value.cast("double"))
+
+    def count(self, value: Column) -> Column:
+        return self._sum(F.when(value.isNotNull(), 1.0))
+
+    def mean(self, value: Column) -> Column:
+        return F.try_divide(self.total(value), self.count(value))
+
+    def covariance(self, x: Column, y: Column) -> Column:
+        x, y = x.cast("double"), y.cast("double")
+        n = self.count(x + y)
+        spread = F.try_divide(self.total(x * y) - F.try_divide(self.total(x) * self.total(y), n), n)
+        return F.when(F.abs(spread) < self.LEAST, 0.0).otherwise(spread)
+
+    def variance(self, value: Column) -> Column:
+        return F.greatest(self.covariance(value, value), F.lit(0.0))
 
-    def pick(self, value: Column) -> Column:
-        return F.when(F.col("age") <= self.n, value)
+    def deviation(self, value: Column) -> Column:
+        return F.sqrt(self.variance(value))
 
 
 def row_columns() -> tuple[Column, Column, Column, Column]:
@@ -81,13 +123,12 @@ def xg_against() -> Column:
 def xg_state(over) -> dict[str, Column]:
     gf, ga, _, _ = row_columns()
     w = over(XG_LAST)
-    p = w.pick
     return {
-        "xg_f": w(F.avg(p(xg_for()))), "xg_a": w(F.avg(p(xg_against()))),
-        "xg_gf": w(F.avg(p(gf))), "xg_ga": w(F.avg(p(ga))),
-        "xg_var": w(F.var_pop(p(xg_for()))), "xg_gvar": w(F.var_pop(p(gf))),
-        "xg_cov": w(F.covar_pop(p(gf.cast("double")), p(xg_for()))),
-        "xg_n": w(F.count(p(gf))),
+        "xg_f": w.mean(xg_for()), "xg_a": w.mean(xg_against()),
+        "xg_gf": w.mean(gf), "xg_ga": w.mean(ga),
+        "xg_var": w.variance(xg_for()), "xg_gvar": w.variance(gf),
+        "xg_cov": w.covariance(gf.cast("double"), xg_for()),
+        "xg_n": w.count(gf),
     }
 
 
@@ -116,17 +157,16 @@ def xg_features() -> dict[str, Feature]:
 def efficiency_state(over) -> dict[str, Column]:
     gf, ga, gd, _ = row_columns()
     w = over(EFFICIENCY_LAST)
-    p = w.pick
     possession = 50.0 + choose((gd > 0, 10.0), (gd < 0, -10.0), otherwise=0.0)
     return {
-        "ef_n": w(F.count(p(gf))), "ef_gf": w(F.sum(p(gf))), "ef_ga": w(F.sum(p(ga))),
-        "ef_att": w(F.avg(p(F.least(gf / 3.0, F.lit(1.0))))),
-        "ef_def": w(F.avg(p(F.greatest(1.0 - ga / 3.0, F.lit(0.0))))),
-        "ef_cs": w(F.avg(p(F.when(ga == 0, 1.0).otherwise(0.0)))),
-        "ef_press": w(F.avg(p(choose((ga == 0, 1.0), (ga == 1, 0.7), (ga == 2, 0.4), otherwise=0.1)))),
-        "ef_poss": w(F.avg(p(possession))),
-        "ef_gd": w(F.avg(p(gd))),
-        "ef_mgmt": w(F.avg(p(choose((gd > 0, 0.8), (gd == 0, 0.6), otherwise=0.4)))),
+        "ef_n": w.count(gf), "ef_gf": w.total(gf), "ef_ga": w.total(ga),
+        "ef_att": w.mean(F.least(gf / 3.0, F.lit(1.0))),
+        "ef_def": w.mean(F.greatest(1.0 - ga / 3.0, F.lit(0.0))),
+        "ef_cs": w.mean(F.when(ga == 0, 1.0).otherwise(0.0)),
+        "ef_press": w.mean(choose((ga == 0, 1.0), (ga == 1, 0.7), (ga == 2, 0.4), otherwise=0.1)),
+        "ef_poss": w.mean(possession),
+        "ef_gd": w.mean(gd),
+        "ef_mgmt": w.mean(choose((gd > 0, 0.8), (gd == 0, 0.6), otherwise=0.4)),
     }
 
 
@@ -157,7 +197,6 @@ def efficiency_features() -> dict[str, Feature]:
 def clutch_state(over) -> dict[str, Column]:
     gf, ga, gd, points = row_columns()
     w = over(CLUTCH_LAST)
-    p = w.pick
     close = F.abs(gd) <= 1
     one_goal = F.abs(gd) == 1
     response = choose((gd >= 0, 0.7 + gd * 0.1), otherwise=0.3 + gd * 0.1)
@@ -166,16 +205,16 @@ def clutch_state(over) -> dict[str, Column]:
     resilience = choose((comeback & (gd > 0), 1.0), (comeback, 0.5), (ga > 0, 0.2), otherwise=0.8)
     led = gf > 0
     return {
-        "cl_n": w(F.count(p(gf))), "cl_gf": w(F.avg(p(gf))), "cl_ga": w(F.avg(p(ga))),
-        "cl_close_win": w(F.avg(p(F.when(close, F.when(gd > 0, 1.0).otherwise(0.0))))),
-        "cl_close_pts": w(F.avg(p(F.when(close, points)))),
-        "cl_one_win": w(F.avg(p(F.when(one_goal, F.when(gd > 0, 1.0).otherwise(0.0))))),
-        "cl_resp": w(F.avg(p(response))), "cl_resp_sd": w(F.stddev_pop(p(response))),
-        "cl_stakes": w(F.avg(p(stakes))),
-        "cl_back": w(F.avg(p(F.when(comeback, 1.0).otherwise(0.0)))),
-        "cl_back_win": w(F.avg(p(F.when(comeback, F.when(gd > 0, 1.0).otherwise(0.0))))),
-        "cl_resil": w(F.avg(p(resilience))),
-        "cl_lead": w(F.avg(p(F.when(led, F.when(gd >= 0, 1.0).otherwise(0.0))))),
+        "cl_n": w.count(gf), "cl_gf": w.mean(gf), "cl_ga": w.mean(ga),
+        "cl_close_win": w.mean(F.when(close, F.when(gd > 0, 1.0).otherwise(0.0))),
+        "cl_close_pts": w.mean(F.when(close, points)),
+        "cl_one_win": w.mean(F.when(one_goal, F.when(gd > 0, 1.0).otherwise(0.0))),
+        "cl_resp": w.mean(response), "cl_resp_sd": w.deviation(response),
+        "cl_stakes": w.mean(stakes),
+        "cl_back": w.mean(F.when(comeback, 1.0).otherwise(0.0)),
+        "cl_back_win": w.mean(F.when(comeback, F.when(gd > 0, 1.0).otherwise(0.0))),
+        "cl_resil": w.mean(resilience),
+        "cl_lead": w.mean(F.when(led, F.when(gd >= 0, 1.0).otherwise(0.0))),
     }
 
 
@@ -205,24 +244,23 @@ def clutch_features() -> dict[str, Feature]:
 def style_state(over) -> dict[str, Column]:
     gf, ga, gd, points = row_columns()
     w = over(STYLE_LAST)
-    p = w.pick
-    share = lambda c: w(F.avg(p(F.when(c, 1.0).otherwise(0.0))))
+    share = lambda c: w.mean(F.when(c, 1.0).otherwise(0.0))
     tg = gf + ga
     aggression = choose((gd >= 0, 0.7 + gf * 0.1), otherwise=0.3 + gd * 0.1)
     rhythm = choose((gd >= 0, 0.7 + gf * 0.1), otherwise=0.3)
     return {
-        "st_gf": w(F.avg(p(gf))), "st_ga": w(F.avg(p(ga))),
+        "st_gf": w.mean(gf), "st_ga": w.mean(ga),
         "st_threat": share(gf >= 2),
-        "st_variety": w(F.avg(p(F.when(gf > 0, F.least(gf / 3.0, F.lit(1.0)))))),
+        "st_variety": w.mean(F.when(gf > 0, F.least(gf / 3.0, F.lit(1.0)))),
         "st_counter": share((gd > 0) & (ga == 0)),
         "st_cs": share(ga == 0),
-        "st_aggr": w(F.avg(p(clip(aggression, 0.0, 1.0)))),
-        "st_pts": w(F.avg(p(points))), "st_pts_sd": w(F.stddev_pop(p(points))),
-        "st_gf_sd": w(F.stddev_pop(p(gf))),
+        "st_aggr": w.mean(clip(aggression, 0.0, 1.0)),
+        "st_pts": w.mean(points), "st_pts_sd": w.deviation(points),
+        "st_gf_sd": w.deviation(gf),
         "st_many": share(gf > 2),
-        "st_tempo": w(F.avg(p(choose((tg >= 3, 0.8), (tg == 2, 0.6), otherwise=0.3)))),
-        "st_rhythm": w(F.avg(p(clip(rhythm, 0.0, 1.0)))),
-        "st_moment": w(F.avg(p(clip(0.5 + gd * 0.1, 0.0, 1.0)))),
+        "st_tempo": w.mean(choose((tg >= 3, 0.8), (tg == 2, 0.6), otherwise=0.3)),
+        "st_rhythm": w.mean(clip(rhythm, 0.0, 1.0)),
+        "st_moment": w.mean(clip(0.5 + gd * 0.1, 0.0, 1.0)),
     }
 
 

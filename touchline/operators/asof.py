@@ -107,6 +107,10 @@ def id_block(match_id: Column, integral: bool = True, bits: int = ID_BLOCK_BITS)
     return F.substring(match_id, 1, ID_PREFIX)
 
 
+def id_block_of(rows: DataFrame, bits: int = ID_BLOCK_BITS) -> Column:
+    return id_block(F.col("match_id"), isinstance(rows.schema["match_id"].dataType, T.IntegralType), bits)
+
+
 def running_totals(
     rows: DataFrame, key: str, measures: Sequence[str], bits: int = ID_BLOCK_BITS,
 ) -> DataFrame:
@@ -115,8 +119,7 @@ def running_totals(
     Three levels, so that no task ever holds a whole key: inside a (key, date, block), over the
     blocks of one date, over the dates of one key.
     """
-    integral = isinstance(rows.schema["match_id"].dataType, T.IntegralType)
-    rows = rows.withColumn("blk", id_block(F.col("match_id"), integral, bits))
+    rows = rows.withColumn("blk", id_block_of(rows, bits))
     inside = (
         Window.partitionBy(key, "date", "blk").orderBy("match_id").rowsBetween(UNBOUNDED, 0)
     )

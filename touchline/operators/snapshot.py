@@ -14,13 +14,13 @@ from touchline.operators.asof import (
     before, day_state, league_recent, match_sides, recent_rows, running_totals, timeline,
     with_outcome,
 )
-from touchline.operators.temporal import DECAY_REACH, KEY, Feature
+from touchline.operators.temporal import KEY, Feature
 from touchline.session import stored
 
 # family -> (rows needed per date, prefix of its columns on a match row)
 FAMILIES = {
     "rolling": (max(temporal.ROLLING_WINDOWS), ""),
-    "momentum": (DECAY_REACH, ""),
+    "momentum": (10, ""),
     "form": (max(temporal.FORM_WINDOWS), ""),
     "streaks": (5, ""),
     "home": (contextual.HOME_LAST, ""),
@@ -82,8 +82,6 @@ def _prepared(rows: DataFrame, families: Sequence[str]) -> DataFrame:
         recent = recent.withColumn("form", temporal.form_score())
     if {"form", "momentum"} & set(families):
         recent = recent.withColumn("pos", F.row_number().over(timeline(KEY)))
-    if "momentum" in families:
-        recent = temporal.with_decayed_points(recent)
     if "home" in families:
         recent = contextual.with_venue_weights(recent)
     return recent
@@ -121,6 +119,9 @@ def team_snapshot(
         "h_wins": "wins_day", "h_draws": "draws_day", "h_gd": "gd_day",
     }
     extra: dict[str, Column] = {}
+    if "momentum" in families:
+        days = temporal.with_decayed_history(days.join(temporal.decayed_days(rows), [KEY, "date"], "left"))
+        extra["h_decayed"] = F.coalesce(F.lag("decayed").over(Window.partitionBy(KEY).orderBy("date")), F.lit(0.0))
     if "streaks" in families:
         days = days.join(temporal.streak_days(rows), [KEY, "date"], "left")
         extra |= temporal.streak_asof()
@@ -188,46 +189,63 @@ def match_features(
     return out
 
 
+_LEAGUE_STATES = {"xg": advanced.xg_state, "efficiency": advanced.efficiency_state,
+                  "clutch": advanced.clutch_state, "style": advanced.style_state}
+
+
+def _seen_from(recent: DataFrame, hosted: bool, *keep: str | Column) -> DataFrame:
+    """League rows as the host sees them, or as everybody else does: from the away side."""
+    gf, ga = ("home_score", "away_score") if hosted else ("away_score", "home_score")
+    gd = F.col(gf) - F.col(ga)
+    return recent.select(
+        "date", "age", *keep, F.lit(hosted).alias("is_home"), F.col(gf).alias("gf"), F.col(ga).alias("ga"),
+        gd.alias("gd"), F.when(gd > 0, 3).when(gd == 0, 1).otherwise(0).alias("points"))
+
+
+def _league_sums(recent: DataFrame, terms: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Sums of the terms per date as a team that hosted nothing sees them, and per (team, date) what a host adds."""
+    away = _seen_from(recent, False, "home_team")
+    base = away.groupBy("date").agg(F.count("age").alias("n"), *[F.sum(c).alias(k) for k, c in terms.items()])
+    gone = away.select(F.col("home_team").alias(KEY), "date", *[(-c).alias(k) for k, c in terms.items()])
+    own = _seen_from(recent, True, "home_team").select(
+        F.col("home_team").alias(KEY), "date", *[c.alias(k) for k, c in terms.items()])
+    changes = [F.count(F.lit(1)).alias("hosted"), *[F.sum(k).alias(f"own_{k}") for k in terms]]
+    return base, own.unionByName(gone).groupBy(KEY, "date").agg(*changes)
+
+
 def league_snapshot(matches: DataFrame, families: Sequence[str]) -> DataFrame:
     """League-wide scope: the last N matches of everybody before the date, seen by each team.
 
-    A match the team did not host is read from the away side, as the league-wide rule has it.
+    A match the team did not host is read from the away side, as the league-wide rule has it. Rows are summed once
+    per date for a team that hosted none of them, and a host's own matches correct that sum; so rows grow with
+    dates times N and with the (team, date) keys, not with their product.
     """
-    sides = match_sides(matches)
-    keys = sides.select(KEY, "date").distinct()
+    keys = match_sides(matches).select(KEY, "date").distinct()
     n = max(FAMILIES[f][0] for f in families)
-    recent = league_recent(matches, keys, n)
-    hosted = F.col("home_team") == F.col("team")
-    own = hosted | (F.col("away_team") == F.col("team"))
-    gf = F.when(hosted, F.col("home_score")).otherwise(F.col("away_score"))
-    ga = F.when(hosted, F.col("away_score")).otherwise(F.col("home_score"))
-    gd = gf - ga
-    seen = keys.join(recent, "date", "left").select(
-        KEY, "date", "age", hosted.alias("is_home"), own.alias("own"),
-        gf.alias("gf"), ga.alias("ga"), gd.alias("gd"),
-        F.when(gd > 0, 3).when(gd == 0, 1).otherwise(0).alias("points"))
-    grouped = {
-        "xg": advanced.xg_state, "efficiency": advanced.efficiency_state,
-        "clutch": advanced.clutch_state, "style": advanced.style_state,
-    }
+    recent = stored(league_recent(matches, keys, n).select(
+        "date", "age", "home_team", "away_team", "home_score", "away_score"), "league")
+    moments = advanced.Moments()
     columns = {}
     for family in families:
         if family != "home":
-            columns |= grouped[family](advanced.AgeGroup)
-    out = seen.where(F.col("age").isNotNull()).groupBy(KEY, "date").agg(
-        F.count("age").alias("n"), *[c.alias(k) for k, c in columns.items()])
-    state = [k for k in columns]
+            columns |= _LEAGUE_STATES[family](moments)
+    base, own = _league_sums(recent, moments.terms)
+    out = keys.join(base, "date", "left").join(own, [KEY, "date"], "left").select(
+        KEY, "date", F.coalesce("n", F.lit(0)).alias("n"),
+        *[(F.coalesce(t, F.lit(0.0)) + F.coalesce(f"own_{t}", F.lit(0.0))).alias(t) for t in moments.terms])
+    out = out.select(KEY, "date", "n", *[c.alias(k) for k, c in columns.items()])
+    state = list(columns)
     if "home" in families:
+        sides = _seen_from(recent, True, F.col("home_team").alias(KEY)).unionByName(
+            _seen_from(recent, False, F.col("away_team").alias(KEY)))
         venue = Window.partitionBy(KEY, "date", "is_home").orderBy("age")
-        ranked = seen.where("own").where(F.col("age") <= contextual.HOME_LAST).withColumn(
-            "venue_rank", F.row_number().over(venue))
+        ranked = sides.where(F.col("age") <= contextual.HOME_LAST).withColumn("venue_rank", F.row_number().over(venue))
         home = contextual.home_grouped()
         out = out.join(
             ranked.groupBy(KEY, "date").agg(*[c.alias(k) for k, c in home.items()]),
             [KEY, "date"], "left").na.fill(0, ["h_n", "a_n"])
         state += list(home)
-    out = keys.join(out.select(KEY, "date", "n", F.struct(*state).alias("s")), [KEY, "date"], "left")
-    out = out.withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.select(KEY, "date", "n", F.struct(*state).alias("s"))
     made = {}
     for family in families:
         if family == "home":

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.operators.asof import UNBOUNDED, before, last_n, running_totals, timeline
+from touchline.operators.asof import UNBOUNDED, before, id_block_of, last_n, running_totals, timeline
 
 KEY = "team"
 ROLLING_WINDOWS = (3, 5, 10, 20)
@@ -17,9 +16,6 @@ FORM_WINDOWS = (5, 10, 15)
 MOMENTUM_DECAY = 0.95
 # Weights of the last five results, oldest first.
 RECENT_WEIGHTS = (0.5, 0.7, 0.9, 1.0, 1.2)
-# Rows beyond this age weigh less than double precision can hold next to the newest ones.
-DECAY_REACH = math.ceil(math.log(1e-18) / math.log(MOMENTUM_DECAY))
-DECAY_EPOCH = 1000
 
 
 class Feature(NamedTuple):
@@ -67,26 +63,40 @@ def rolling_features() -> dict[str, Feature]:
 
 # --- momentum ----------------------------------------------------------------------------------
 
-def with_decayed_points(recent: DataFrame) -> DataFrame:
-    """``decayed``: sum of points * q**age over the whole timeline, in O(1) per row.
+def decayed_days(rows: DataFrame) -> DataFrame:
+    """``day_decayed``: sum of points * q**age over the matches of one (team, date), age 0 being its last match.
 
-    Rows are cut into epochs.  Inside an epoch a running sum of points * q**-k stays far from
-    overflow; the previous epoch enters through its closing value, and anything older than that is
-    at least DECAY_EPOCH rows back, below double precision.
+    Ages are counted inside blocks of ids, and a block's sum is then aged by the matches of the date's later
+    blocks, so a date with any number of matches is never one window.
     """
     q = F.lit(MOMENTUM_DECAY)
-    line = timeline(KEY)
-    recent = recent.withColumn("rn", F.row_number().over(line))
-    recent = recent.withColumn("epoch", F.floor((F.col("rn") - 1) / DECAY_EPOCH))
-    recent = recent.withColumn("k", F.col("rn") - F.col("epoch") * DECAY_EPOCH)
-    in_epoch = Window.partitionBy(KEY, "epoch").orderBy("rn").rowsBetween(UNBOUNDED, 0)
-    recent = recent.withColumn(
-        "local", F.sum(F.col("points") * F.pow(q, -F.col("k"))).over(in_epoch) * F.pow(q, F.col("k")))
-    closing = F.last(F.when(F.col("k") == DECAY_EPOCH, F.col("local")), ignorenulls=True).over(
-        line.rowsBetween(UNBOUNDED, -1))
-    return recent.withColumn(
-        "decayed", F.col("local") + F.coalesce(closing, F.lit(0.0)) * F.pow(q, F.col("k"))
-    ).drop("rn", "epoch", "k", "local")
+    rows = rows.select(KEY, "date", "match_id", "points").withColumn("blk", id_block_of(rows))
+    newest = Window.partitionBy(KEY, "date", "blk").orderBy(F.col("match_id").desc())
+    blocks = rows.withColumn("age", F.row_number().over(newest) - 1).groupBy(KEY, "date", "blk").agg(
+        F.sum(F.col("points") * F.pow(q, F.col("age"))).alias("decayed"), F.count(F.lit(1)).alias("n"))
+    later = F.coalesce(F.sum("n").over(
+        Window.partitionBy(KEY, "date").orderBy(F.col("blk").desc()).rowsBetween(UNBOUNDED, -1)), F.lit(0))
+    return blocks.withColumn("later", later).groupBy(KEY, "date").agg(
+        F.sum(F.col("decayed") * F.pow(q, F.col("later"))).alias("day_decayed"))
+
+
+def with_decayed_history(days: DataFrame) -> DataFrame:
+    """``decayed``: the decayed sum over a team's whole history up to and with each date.
+
+    A stretch of dates is summarised by its decayed sum and its number of matches; two neighbouring stretches make
+    one: (older * q**matches of the newer + newer, matches added). Doubling the stretch each step, a date
+    reaches back over all dates in as many steps as the calendar has binary digits. No match is left out.
+    """
+    span = days.agg(F.datediff(F.max("date"), F.min("date")).alias("d")).first()["d"] or 0
+    line = Window.partitionBy(KEY).orderBy("date")
+    out = days.withColumns({"decayed": F.coalesce("day_decayed", F.lit(0.0)), "reach": F.col("n_day").cast("double")})
+    for step in range(span.bit_length()):
+        older, length = F.lag("decayed", 1 << step).over(line), F.lag("reach", 1 << step).over(line)
+        out = out.select(*days.columns, "decayed", "reach", older.alias("older"), length.alias("length")).select(
+            *days.columns,
+            (F.col("decayed") + F.coalesce(F.col("older") * F.pow(F.lit(MOMENTUM_DECAY), F.col("reach")), F.lit(0.0))).alias("decayed"),
+            (F.col("reach") + F.coalesce("length", F.lit(0.0))).alias("reach"))
+    return out.drop("reach", "day_decayed")
 
 
 def momentum_state() -> dict[str, Column]:
@@ -99,7 +109,6 @@ def momentum_state() -> dict[str, Column]:
         (F.when(v.isNotNull(), w).otherwise(0.0) for v, w in zip(lagged, newest_first, strict=True)),
         F.lit(0.0))
     return {
-        "decayed": F.col("decayed"),
         "trend": _slope(F.col("points").cast("double"), 10),
         "strength": weighted / weights / 3.0,
         "spread10": F.stddev_pop("points").over(last_n(KEY, 10)),
@@ -116,7 +125,7 @@ def momentum_features() -> dict[str, Feature]:
     weight = (1 - F.pow(F.lit(MOMENTUM_DECAY), n)) / (1 - MOMENTUM_DECAY)
     variance = (n * F.col("h_points2") - F.col("h_points") * F.col("h_points")) / (n * n)
     return {
-        "momentum_points": Feature(F.col("s.decayed") / weight, 3, 1.0),
+        "momentum_points": Feature(F.col("h_decayed") / weight, 3, 1.0),
         "momentum_trend": Feature(F.col("s.trend"), 3, 0.0),
         "recent_form_strength": Feature(F.col("s.strength"), 3, 0.5),
         "consistency": Feature(1.0 / (1.0 + variance), 3, 0.5),
