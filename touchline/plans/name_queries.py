@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text
 from touchline.operators import aggregates, names
+from touchline.operators.similarity import similar
 from touchline.operators.asof import match_sides
 from touchline.plans.loader_queries import TEAM_TABLE_SQL, TEAMS_SQL, registry_rows
 from touchline.plans.registry import query, r, rounded
@@ -41,6 +42,30 @@ def fuzzy_join(spark, sf_dir):
                             3).drop("rank")
 
 
+# asked names with one to three letters changed, lost or added
+_TYPO_SQL = (
+    "a as (select distinct case match_id%4 when 0 then replace(home_team, 'a', 'e') when 1 then substr(home_team, 2) when 2 then home_team||'x'"
+    " else substr(home_team, 1, 4)||'z'||substr(home_team, 6) end as asked from m union select c_name from customer)")
+
+
+def mistyped(spark, sf_dir):
+    m = matches(spark, sf_dir).selectExpr(
+        "case match_id%4 when 0 then replace(home_team, 'a', 'e') when 1 then substr(home_team, 2) when 2 then home_team||'x'"
+        " else substr(home_team, 1, 4)||'z'||substr(home_team, 6) end as asked")
+    return m.union(table(spark, sf_dir, "customer").select("c_name")).distinct()
+
+
+_EDIT = "round((1 - levenshtein(lower(asked), lower(team)) / greatest(length(asked), length(team), 1)::double) * 100, 0)::int"
+
+
+@query("J05_edit_distance_join", (
+    f"{M}, {TEAMS_SQL}, {_TYPO_SQL} select asked, team as choice, {_EDIT} as score from a, t where {_EDIT} >= 80"
+    " qualify row_number() over (partition by asked order by score desc, length(team), team) <= 3"))
+def edit_distance_join(spark, sf_dir):
+    return names.fuzzy_join(mistyped(spark, sf_dir), teams(spark, sf_dir).withColumnRenamed("team", "choice"),
+                            3, "levenshtein").drop("rank")
+
+
 _VARIANTS = ("v as (select home_team as team from m union select away_team from m union select 'Real' union"
              " select distinct substr(home_team, 4) from m union select distinct lower(home_team) from m)")
 
@@ -133,7 +158,7 @@ def _similar_sql(n):
 def _similar(n):
     def run(spark, sf_dir):
         e = embedded(spark, sf_dir)
-        return rounded(names.similar(e, e, n).select("query", "name", "similarity"))
+        return rounded(similar(e, e, n).select("query", "name", "similarity"))
     return run
 
 
