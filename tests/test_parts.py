@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import text
 from touchline.operators import clean, folds, metrics, models, names, selection
+from touchline.operators.similarity import similar
 
 
 def test_registry_equals_the_sequential_rule(spark):
@@ -136,9 +137,9 @@ def test_registered_models_run_with_the_defaults(spark, monkeypatch):
             model_queries._fitted(kind)(spark, "")
     assert asked == [(kind, models.DEFAULTS[kind]) for kind in models.DEFAULTS for _ in range(2)]
 
-    monkeypatch.setattr(models, "search", lambda *a, **k: asked.append((a, k)) or ({}, spark.range(1)))
+    monkeypatch.setattr(model_queries.search, "search_forests", lambda *a, **k: asked.append((a, k)) or ({}, spark.range(1)))
     model_queries.parameter_search(spark, "")
-    assert asked[-1][1] == {} and len(asked[-1][0]) == 3
+    assert asked[-1][1] == {} and len(asked[-1][0]) == 2
 
 
 def test_search_tries_what_it_drew(spark, monkeypatch):
@@ -158,8 +159,5 @@ def test_search_tries_what_it_drew(spark, monkeypatch):
 def test_similar_takes_any_number_of_queries(spark):
     vectors = spark.range(10_001).select(F.format_string("t%05d", "id").alias("name"),
                                          F.array(F.cos("id"), F.sin("id")).alias("vector"))
-    few = vectors.limit(7)
-    found = names.similar(vectors, few, 1)
+    found = similar(vectors, vectors.limit(7), 1)
     assert found.count() == found.select("query").distinct().count() > 9_000
-    best = [sorted((r.query, r.name, r.rank) for r in names.similar(few, vectors.limit(40), 3, block).collect()) for block in (7, 2)]
-    assert best[0] == best[1] and best[0]

@@ -22,7 +22,8 @@ from touchline.operators.metrics import macro_scores
 
 CLASSES = ("A", "D", "H")  # label order of an alphabetical encoder
 SEED = 42
-SEARCH_THREADS = 4  # trials of a search that are fitted at a time
+FIT_THREADS = 8          # fits that wait for their many small jobs side by side
+FIT_PARTITION = 20_000   # rows of a partition that is fitted on, at least; a smaller table has fewer partitions
 # Search ranges (low, high) or choices per model type.
 SEARCH_SPACE = {
     "boosted_a": {"maxIter": (50, 300), "maxDepth": (3, 10), "stepSize": (0.01, 0.3),
@@ -30,7 +31,7 @@ SEARCH_SPACE = {
     "boosted_b": {"maxIter": (50, 300), "maxDepth": (3, 10), "stepSize": (0.01, 0.3),
                   "subsamplingRate": (0.6, 1.0), "colsample": (0.6, 1.0),
                   "minInstancesPerNode": (5, 100)},
-    "forest": {"numTrees": (50, 300), "maxDepth": (3, 20), "minInstancesPerNode": (1, 20),
+    "forest": {"numTrees": (50, 300), "maxDepth": (3, 20), "minSplit": (2, 20), "minInstancesPerNode": (1, 20),
                "featureSubsetStrategy": ["sqrt", "log2", "all"], "bootstrap": [True, False]},
 }
 DEFAULTS = {
@@ -119,24 +120,39 @@ def load_model(path: str, spark: SparkSession) -> OutcomeModel:
 
 def fit(kind: str, df: DataFrame, features: Sequence[str], params: dict | None = None,
         seed: int = SEED) -> OutcomeModel:
-    """Fit on rows with a label H/D/A.  Boosting is binary in MLlib, so one model per class."""
+    """Fit on rows with a label H/D/A.  Boosting is binary in MLlib, so one model per class, side by side.
+
+    Trees take one small job per level, so a small table is kept in few partitions. ``minSplit`` of a search has no
+    counterpart in MLlib and is left out.
+    """
     features = list(features)
     params = {**DEFAULTS[kind], **(params or {})}
-    data = assemble(df, features).select("_x", label_index().alias("_label"), "label").persist()
+    options = {k: v for k, v in params.items() if k != "minSplit"}
+    data = assemble(df, features).select("_x", label_index().alias("_label"), "label")
+    whole = data.persist()
     try:
+        parts = max(1, -(-whole.count() // FIT_PARTITION))
+        data = whole.coalesce(parts) if parts < whole.rdd.getNumPartitions() else whole
         if kind == "forest":
-            forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", seed=seed, **params)
+            forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", seed=seed, **options)
             return OutcomeModel(kind, features, {"all": forest.fit(data)}, params)
-        options = dict(params)
         if "colsample" in options:
             options["featureSubsetStrategy"] = str(options.pop("colsample"))
-        parts = {}
-        for c in CLASSES:
+
+        def binary(c: str):
             one = data.withColumn("_is", F.when(F.col("label") == c, 1.0).otherwise(0.0))
-            parts[c] = GBTClassifier(featuresCol="_x", labelCol="_is", seed=seed, **options).fit(one)
-        return OutcomeModel(kind, features, parts, params)
+            return GBTClassifier(featuresCol="_x", labelCol="_is", seed=seed, **options).fit(one)
+
+        with ThreadPoolExecutor(len(CLASSES)) as pool:
+            return OutcomeModel(kind, features, dict(zip(CLASSES, pool.map(binary, CLASSES), strict=True)), params)
     finally:
-        data.unpersist()
+        whole.unpersist()
+
+
+def fit_all(wanted: Sequence[tuple], threads: int = FIT_THREADS) -> list[OutcomeModel]:
+    """Models of several (kind, rows, features, params), fitted side by side."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda w: fit(*w), wanted))
 
 
 def draw_params(kind: str, rng: random.Random) -> dict:
@@ -154,11 +170,9 @@ def draw_params(kind: str, rng: random.Random) -> dict:
 def out_of_fold(kind: str, folded: DataFrame, features: Sequence[str], k: int,
                 params: dict | None = None, keep: Sequence[str] = ("match_id", "label", "fold")) -> DataFrame:
     """Predictions for every row by a model that did not see its fold."""
-    parts = []
-    for i in range(k):
-        model = fit(kind, folded.where(F.col("fold") != i), features, params)
-        part = model.transform(folded.where(F.col("fold") == i))
-        parts.append(part.select(*keep, "model", "predicted", "confidence", "p_H", "p_D", "p_A"))
+    fitted = fit_all([(kind, folded.where(F.col("fold") != i), features, params) for i in range(k)])
+    parts = [model.transform(folded.where(F.col("fold") == i)).select(
+        *keep, "model", "predicted", "confidence", "p_H", "p_D", "p_A") for i, model in enumerate(fitted)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -167,19 +181,17 @@ def out_of_fold(kind: str, folded: DataFrame, features: Sequence[str], k: int,
 
 def search(kind: str, df: DataFrame, features: Sequence[str], key: str = "match_id", trials: int = 50,
            k: int = 5, seed: int = SEED, narrow: dict | None = None) -> tuple[dict, DataFrame]:
-    """Seeded random search with stratified k-fold accuracy; returns (best params, trial table)."""
+    """Seeded random search with stratified k-fold accuracy by fitting every trial on all rows; returns (best params,
+    trial table). ``search.search_forests`` is the quicker way for forests."""
     rng = random.Random(seed)
     spark = df.sparkSession
     drawn = [{**draw_params(kind, rng), **(narrow or {})} for _ in range(trials)]
     folded = stratified_folds(df, "label", key, k, seed).persist()
     folded.count()
-
-    def accuracy(params: dict) -> float:
+    rows = []
+    for t, params in enumerate(drawn):
         scores = macro_scores(out_of_fold(kind, folded, features, k, params), ["fold"])
-        return float(scores.agg(F.avg("accuracy")).first()[0])
-
-    with ThreadPoolExecutor(SEARCH_THREADS) as pool:
-        rows = [(t, json.dumps(p), a) for t, (p, a) in enumerate(zip(drawn, pool.map(accuracy, drawn), strict=True))]
+        rows.append((t, json.dumps(params), float(scores.agg(F.avg("accuracy")).first()[0])))
     folded.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))
     return json.loads(best[1]), spark.createDataFrame(rows, "trial int, params string, accuracy double")

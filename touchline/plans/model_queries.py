@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import probability
 from touchline.operators import (
-    aggregates, betting, clean, ensemble, folds, metrics, models, predict, selection, snapshot,
+    aggregates, betting, clean, ensemble, folds, metrics, models, predict, search, selection, snapshot,
 )
 from touchline.operators.asof import match_sides
 from touchline.plans import catalogue
@@ -146,7 +146,7 @@ def predict_batch(spark, sf_dir):
 
 @query("M06_parameter_search")
 def parameter_search(spark, sf_dir):
-    _, trials = models.search("forest", labelled(spark, sf_dir), MODEL_FEATURES)
+    _, trials = search.search_forests(labelled(spark, sf_dir), MODEL_FEATURES)
     return rounded(trials)
 
 
@@ -252,11 +252,9 @@ def stacking(spark, sf_dir):
     train, test = split.where("is_train"), split.where("not is_train")
     folded = stored(folds.stratified_folds(train, "label", "match_id", FOLDS), "folds")
     kinds = ["forest", "boosted_a"]
-    learned, asked = [], []
-    for kind in kinds:
-        learned.append(models.out_of_fold(kind, folded, MODEL_FEATURES, FOLDS))
-        base = models.fit(kind, train, MODEL_FEATURES)
-        asked.append(base.transform(test).select("match_id", "label", F.lit(0).alias("fold"), *learned[-1].columns[3:]))
+    bases = models.fit_all([(kind, train, MODEL_FEATURES) for kind in kinds])
+    learned = [models.out_of_fold(kind, folded, MODEL_FEATURES, FOLDS) for kind in kinds]
+    asked = [base.transform(test).select("match_id", "label", "model", "predicted", "confidence", "p_H", "p_D", "p_A") for base in bases]
     stacked = ensemble.Stacked(kinds).fit(stored(learned[0].unionByName(learned[1]), "oof"))
     answers = stored(asked[0].unionByName(asked[1]), "asked")
     return rounded(stacked.transform(answers).select("match_id", "label", "predicted", "p_H", "p_D", "p_A"))
