@@ -32,7 +32,7 @@ UNIT = 1_000_000_000          # frequencies are parts of this
 TOP_TERMS = 50
 BITMAP_LOG2 = 27              # bits of a level's bitmap at most (16 MB); a fuller one only prunes less
 BLOCK_LOG2 = 15               # bits of a block in which bitmaps are merged
-CHUNK_BYTES = 8 << 20         # text whose terms are numbered together
+CHUNK_BYTES = 32 << 20        # text whose terms are numbered together
 HELD = 400_000                # tests of a bitmap that a task remembers
 TERM_BLOCK = 2_048            # terms compared at once
 SOURCE_BLOCK = 32             # sources compared at once
