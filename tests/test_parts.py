@@ -37,7 +37,7 @@ def test_containment_join_equals_comparing_all_pairs(spark):
     words = ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 7))) for _ in range(60)]
     words = sorted({w for w in words if w.strip()})
     df = spark.createDataFrame([(w,) for w in words], "name string")
-    got = {(r["inner"], r["outer"]) for r in names.contained_pairs(df, df).collect()}
+    got = {(r["name"], r["outer"]) for r in names.containing(df, df.withColumnRenamed("name", "outer"), [F.col("outer")], 100).collect()}
     assert got == {(a, b) for a in words for b in words if a in b}
 
 
