@@ -147,36 +147,76 @@ def test_edit_distance(spark):
             assert r.w == real and (r.p or not real), (r.a, r.b)
 
 
-@pytest.mark.parametrize("hot", [4, 1000])
-def test_no_pair_is_lost(spark, hot):
+def placed_lines(spark, texts):
+    """Lines in the given order, each once, and their places."""
+    lines = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string").select(
+        "i", F.unhex(F.md5("text")).alias("node"), "text")
+    return lines.select("node", "text"), lines.select("node", F.struct(F.col("i").alias("i")).alias("first"))
+
+
+def earliest_near(spark, texts, **how):
+    lines, firsts = placed_lines(spark, texts)
+    names = firsts.select("node", F.col("first.i").alias("i"))
+    pairs = line_dedup.near_pairs(lines.union(lines), firsts, **how)
+    found = (pairs.join(names.toDF("x", "i"), "x").join(names.toDF("y", "j"), "y").groupBy("i").agg(F.min("j").alias("j")).collect())
+    return {r.i: r.j for r in found}
+
+
+@pytest.mark.parametrize("few", [2, 4, 1000])
+def test_the_earliest_near_line_is_found(spark, few):
     random.seed(6)
     base = "".join(random.choices("abcdefgh", k=50))
-    texts = sorted({edited(base, random.randint(0, 3)) for _ in range(60)} | {"".join(random.choices("abcdefgh", k=40)) for _ in range(40)})
-    lines = spark.createDataFrame([(t,) for t in texts], "text string").select(F.unhex(F.md5("text")).alias("node"), "text")
-    found = {frozenset((r.x_text, r.y_text)) for r in line_dedup.candidate_pairs(lines, 2, hot, 3).collect()}
-    near = {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if distance(a, b) <= 2}
-    assert near <= found
+    texts = list({edited(base, random.randint(0, 3)) for _ in range(60)} | {"".join(random.choices("abcdefgh", k=40)) for _ in range(40)})
+    random.shuffle(texts)
+    want = {i: next((j for j in range(i) if distance(texts[j], a) <= 2), None) for i, a in enumerate(texts)}
+    assert earliest_near(spark, texts, few=few, levels=3) == {i: j for i, j in want.items() if j is not None}
+
+
+@pytest.mark.parametrize("levels", [1, 4])
+def test_lines_of_one_template(spark, levels):
+    """Many lines share most of their text; few are near each other."""
+    random.seed(8)
+    texts = list({f"The number of the request that was served is {random.randrange(10**6):06d}, and that is all of it." for _ in range(150)})
+    want = {i: next((j for j in range(i) if distance(texts[j], a) <= 2), None) for i, a in enumerate(texts)}
+    assert earliest_near(spark, texts, few=4, levels=levels) == {i: j for i, j in want.items() if j is not None}
+
+
+def test_a_family_of_near_copies_costs_one_comparison_each(spark, monkeypatch):
+    base = "This line stands in very many documents, each time with another sign: "
+    texts = [base + chr(0x4E00 + i) for i in range(400)]
+    compared = []
+    verified = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    assert earliest_near(spark, texts) == dict.fromkeys(range(1, 400), 0)
+    assert sum(compared) < 1000
 
 
 def test_lines_of_odd_rows(spark, docs_of):
     line = "A line of text that is long enough to count."
     docs = docs_of([(2, f"{line}\nshort\n{line}"), (1, f"x\n{line[:-1]}!"), (3, None), (4, ""), (5, line), (None, line), (6, "short")], "node", "gone")
     rows = line_dedup.line_classes(docs).collect()
-    got = sorted((r.doc_id or 99, r.line_no, r.class_doc_id, r.class_line_no, r.n_links, r.near_doc_id, r.kept) for r in rows)
-    assert got == [(1, 1, 1, 1, 1, 2, True), (2, 0, 2, 0, 1, 1, False), (2, 2, 2, 0, 1, 1, False), (5, 0, 2, 0, 1, 1, False), (99, 0, 2, 0, 1, 1, False)]
+    got = sorted((r.doc_id or 99, r.line_no, r.class_doc_id, r.class_line_no, r.near_doc_id, r.near_line_no, r.kept) for r in rows)
+    assert got == [(1, 0, 1, 0, None, None, True), (1, 1, 1, 1, None, None, True), (2, 0, 2, 0, 1, 1, False), (2, 1, 2, 1, None, None, True),
+                   (2, 2, 2, 0, 1, 1, False), (5, 0, 2, 0, 1, 1, False), (6, 0, 2, 1, None, None, False), (99, 0, 2, 0, 1, 1, False)]
     left = line_dedup.without_repeated_lines(docs, "row_no").collect()
     assert sorted((r.doc_id, r.text, r.gone) for r in left) == sorted(
-        [(1, f"x\n{line[:-1]}!", "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x"), (6, "short", "x")], key=lambda r: r[0])
+        [(1, f"x\n{line[:-1]}!", "x"), (2, "short", "x"), (3, None, "x"), (4, "", "x")], key=lambda r: r[0])
     assert line_dedup.line_classes(docs.limit(0)).count() == 0
 
 
+def test_long_lines(spark, docs_of):
+    long = "word " * 40_000
+    rows = line_dedup.line_classes(docs_of([(1, long), (2, long + "!"), (3, "x" + long)])).collect()
+    assert sorted((r.doc_id, r.near_doc_id, r.kept) for r in rows) == [(1, None, True), (2, 1, False), (3, 1, False)]
+
+
 def test_short_lines_lose_their_copies(spark, docs_of):
     random.seed(12)
     line = "".join(random.choices("abcdefgh", k=29))
     docs = docs_of([(1, f"{line}\n}}\n\n{line[:-1]}"), (2, f"{line}xy\n}}\n\nown"), (3, "}\nowm"), (4, "}")])
-    rows = line_dedup.line_classes(docs, shortest=line_dedup.EVERY_LINE).collect()
-    got = sorted((r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in rows)
-    assert got == [(1, 0, 1, 0, 1, True), (1, 1, 1, 1, 0, True), (1, 3, 1, 3, 0, True), (2, 0, 2, 0, 1, False), (2, 1, 1, 1, 0, False),
-                   (2, 3, 2, 3, 0, True), (3, 0, 1, 1, 0, False), (3, 1, 3, 1, 0, True), (4, 0, 1, 1, 0, False)]
+    rows = line_dedup.line_classes(docs).collect()
+    got = sorted((r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.near_doc_id, r.kept) for r in rows)
+    assert got == [(1, 0, 1, 0, None, True), (1, 1, 1, 1, None, True), (1, 3, 1, 3, None, True), (2, 0, 2, 0, 1, False), (2, 1, 1, 1, None, False),
+                   (2, 3, 2, 3, None, True), (3, 0, 1, 1, None, False), (3, 1, 3, 1, None, True), (4, 0, 1, 1, None, False)]
     left = corpus_pipeline.dedup_lines(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in left) == [(1, f"{line}\n}}\n\n{line[:-1]}"), (2, "\nown"), (3, "owm")]

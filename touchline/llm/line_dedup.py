@@ -1,18 +1,23 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 A line goes if its text stood earlier, or if an earlier line lies within ``THRESHOLD`` edits (insertion,
-deletion or substitution of a code point). Earlier means by document, then by place.
+deletion or substitution of a code point). Earlier means by document, then by place. Edits are allowed
+where the longer of two lines has ``MIN_CHARS`` code points; shorter lines go if they are equal.
 
-1. Equal lines meet by digest.
+1. Equal lines meet by digest; from here on a text is one node, placed where it first stood.
 2. A line of length l is cut into THRESHOLD + 1 segments. Of two lines within the threshold, the longer
    one holds a segment of the other, at a place that the difference of the lengths bounds. So every
    line yields keys (length, segment number, text of the segment): its own segments as index, and the
    substrings at all such places, for all lengths it may meet, as probes.
-3. Keys met by one text only are dropped from counts that are combined before the shuffle. Where many
-   texts share a key, the rest of each line, without the segment, must still be within the threshold;
-   it is cut and keyed again, up to ``LEVELS`` times, so a frequent segment does not pair all its lines.
-4. Pairs that remain, and whose counts of some characters differ little enough, are verified by a banded bit-parallel edit distance: one integer holds the band of
-   2 * THRESHOLD + 1 cells around the diagonal, and a fold over the characters advances it.
+3. Keys met by one text only are dropped from counts that are combined before the shuffle. What is joined
+   after that are narrow rows (key, node); texts are fetched for nodes with a shared key only.
+4. On each key a text is first compared with the earliest text it can meet there. If that is near, it is the
+   earliest near one, and a family of any number of near copies costs one comparison each. Texts that are not
+   near it are compared with all earlier ones where the key has few texts. Where it has many, the rest of each line,
+   without the segment, must still be within the threshold; it is cut and keyed again, up to ``LEVELS`` times.
+5. Pairs whose counts of some characters differ little enough are verified by a banded bit-parallel edit
+   distance: one integer holds the band of 2 * THRESHOLD + 1 cells around the diagonal, and a fold over the
+   characters advances it.
 """
 
 from __future__ import annotations
@@ -25,9 +30,8 @@ from touchline.llm.storage import bounded, keep, table
 
 THRESHOLD = 2
 MIN_CHARS = 30       # code points from which the longer of two lines allows edits; shorter lines meet by digest only
-EVERY_LINE = 1       # ``shortest`` for all lines but empty ones
-HOT = 16             # texts on a key from which it is cut again
-LEVELS = 4
+FEW = 16             # texts on a key up to which all are compared; with more the key is cut again
+LEVELS = 5
 COUNTED = "etaoinsr"  # characters whose counts are compared before the edit distance
 
 
@@ -38,90 +42,114 @@ def bound_to(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def segments(length: Column, small: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the even segments of a text; ``small`` is the size of the first ones, the last
-    are longer by one."""
-    n = threshold + 1
-    longer = length - small * n
-    return [(small * i + 1 + F.greatest(F.lit(0), longer - (n - i)), small + F.when(longer >= n - i, 1).otherwise(0))
-            for i in range(n)]
+def key_kinds(threshold: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other text is, segment, shift of the segment) of all keys of a text."""
+    return [(shorter, i, shift) for shorter in range(threshold + 1) for i in range(threshold + 1)
+            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i)) + 1)]
 
 
-def bound_to(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def with_keys(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``rows`` (``rest``, ``base`` and others), once per key of ``rest`` under ``base``: key, is_index, start, size.
 
-
-def keys_of(text: Column, base: Column, threshold: int = THRESHOLD) -> Column:
-    """array<struct<key, is_index, start, size, fits>>: the index keys of a text, which also probe its own
-    length, and its further probes, under the key of the level before. A key whose segment would not
-    lie inside the text does not fit."""
-    def keys(v: Column) -> Column:
-        found = []
-        for shorter in range(threshold + 1):             # how much shorter the other text is
-            for i, (start, size) in enumerate(segments(v["n"] - shorter, v[f"small{shorter}"], threshold)):
-                first = max(-i, shorter - (threshold - i))
-                last = min(i, shorter + (threshold - i))
-                for shift in range(first, last + 1):
-                    at = start + shift
-                    found.append(F.struct(
-                        F.xxhash64(v["base"], v["n"] - shorter, F.lit(i), F.substring(v["text"], at, size)).alias("key"),
-                        F.lit(shorter == 0 and shift == 0).alias("is_index"), at.alias("start"), size.alias("size"),
-                        ((v["n"] >= shorter) & (at >= 1) & (at + size - 1 <= v["n"])).alias("fits")))
-        return F.array(*found)
-
-    length = F.length(text)
-    smalls = [F.floor((length - d) / (threshold + 1)).cast("int").alias(f"small{d}") for d in range(threshold + 1)]
-    return bound_to(F.struct(text.alias("text"), base.alias("base"), length.alias("n"), *smalls), keys)
+    The keys of a text's own segments are its index; they probe its own length too. A key whose segment
+    would not lie inside the text is left out.
+    """
+    kinds = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift"))
+                      for s, i, d in key_kinds(threshold)])
+    parts = threshold + 1
+    spread = rows.withColumn("n", F.length("rest")).select("*", F.inline(kinds))
+    length = F.col("n") - F.col("shorter")
+    small = F.floor(length / parts).cast("int")
+    # the last segments are longer by one where the length does not divide evenly
+    over = length - small * parts - (parts - F.col("i"))
+    spread = spread.where("n >= shorter").withColumns({
+        "start": small * F.col("i") + 1 + F.greatest(F.lit(0), over) + F.col("shift"),
+        "size": small + F.when(over >= 0, 1).otherwise(0)})
+    return spread.where("start >= 1 and start + size - 1 <= n").select(
+        *rows.columns, F.xxhash64("base", F.col("n") - F.col("shorter"), "i", F.substring("rest", F.col("start"), F.col("size"))).alias("key"),
+        ((F.col("shorter") == 0) & (F.col("shift") == 0)).alias("is_index"), "start", "size")
 
 
 def live_keys(keyed: DataFrame) -> DataFrame:
-    """key, texts: the keys that different texts share, one of them as index, with a bound of how many.
+    """The keys that different texts share, one of them as index and one of them ``asked``.
 
-    Least and greatest text say whether there are two; both are combined before the shuffle.
+    Least and greatest node say whether there are two; both are combined before the shuffle.
     """
     node = F.xxhash64("node")
     return (keyed.groupBy("key")
-            .agg(F.min(node).alias("least"), F.max(node).alias("most"), F.max("is_index").alias("has_index"))
-            .where("least != most and has_index").select("key"))
+            .agg(F.min(node).alias("least"), F.max(node).alias("most"), F.max("is_index").alias("has_index"),
+                 F.max("asked").alias("asked"))
+            .where("least != most and has_index and asked").select("key"))
+
 
+# ---- the join -------------------------------------------------------------------------------------
 
-def candidate_pairs(lines: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, levels: int = LEVELS) -> DataFrame:
-    """x, y, x_text, y_text for texts that may be within the threshold. ``lines`` holds node and text."""
-    rows = lines.select("node", "text", F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("base"))
-    pairs = None
+def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = 0,
+               few: int = FEW, levels: int = LEVELS) -> DataFrame:
+    """x, y: an earlier node y within the threshold for every node x that has one; the earliest is among them.
+
+    ``lines``: node and text, repeats included; ``firsts``: node and first, its place, for all nodes. Of a pair the
+    longer text must have ``min_chars`` code points. The last level compares all texts that are left on a key.
+    """
+    rows = lines.select("node", F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("asked"))
+    found, texts = None, None
     for level in range(levels):
-        keyed = (rows.select("node", "text", "rest", F.inline(keys_of(F.col("rest"), F.col("base"), threshold)))
-                 .where("fits").drop("fits"))
+        keyed = with_keys(rows, threshold)
         live = bounded(keep(live_keys(keyed), "live"))
-        met = keyed.join(live, "key")
-        # Copies of one text give the same rows; of texts repeated across tasks one is taken.
-        met = keep(met.groupBy("key", "node", "is_index", "start", "size")
-                   .agg(F.first("text").alias("text"), F.first("rest").alias("rest")), "met")
-        counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        split = F.col("n") > (hot if level < levels - 1 else 1 << 62)
-        sized = met.join(counts, "key")
-        few = sized.where(~split).select("key", "node", "is_index", "text")
-        probe = few.select("key", F.col("node").alias("y"), F.col("text").alias("y_text"))
-        index = few.where("is_index").select("key", F.col("node").alias("x"), F.col("text").alias("x_text"))
-        found = index.join(probe, "key").where("x != y").select(
-            F.when(F.col("x") < F.col("y"), F.struct("x", "y", "x_text", "y_text"))
-            .otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"),
-                                F.col("y_text").alias("x_text"), F.col("x_text").alias("y_text"))).alias("p")).select("p.*")
-        pairs = found if pairs is None else pairs.union(found)
-        if level == levels - 1:
+        narrow = keyed.drop("rest", "base") if level == 0 else keyed.drop("base")
+        met = keep(narrow.join(live, "key").distinct(), "met")
+        if level == 0:
+            nodes = keep(met.select("node").distinct(), "nodes")
+            texts = keep(lines.select("node", "text").join(bounded(nodes), "node", "left_semi").groupBy("node").agg(
+                F.first("text").alias("text")).join(firsts.select("node", "first"), "node"), "line-texts")
+        members = keep(met.groupBy("key", "node").agg(F.max("is_index").alias("is_index"), F.max("asked").alias("asked"))
+                       .join(texts, "node"), "members")
+
+        # the earliest text that a member can meet on its key: an index meets all, a probe meets indexes
+        one = F.struct("first", "node")
+        groups = members.groupBy("key").agg(
+            F.min(one).alias("any"), F.min(F.when(F.col("is_index"), one)).alias("index"), F.count(F.lit(1)).alias("n"))
+        pivot = F.when(F.col("is_index"), F.col("any")).otherwise(F.col("index"))
+        tried = members.where("asked").join(groups, "key").withColumn("pivot", pivot).where(F.col("pivot.first") < F.col("first"))
+        tried = keep(tried.select("key", "n", F.col("node").alias("x"), "first", "is_index", F.col("text").alias("x_text"),
+                                  F.col("pivot.node").alias("y")), "tried")
+        y_text = texts.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
+        near = keep(verified(tried.select("x", "y", "x_text").distinct().join(y_text, "y"), threshold, min_chars), "near")
+        found = near if found is None else found.union(near)
+
+        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "is_index", "x_text"), "left")
+        last = level == levels - 1
+        small = left if last else left.where(F.col("n") <= few)
+        others = members.select("key", F.col("node").alias("y"), F.col("first").alias("y_first"),
+                                F.col("is_index").alias("y_index"), F.col("text").alias("y_text"))
+        pairs = small.join(others, "key").where("y_first < first and (is_index or y_index)").select("x", "y", "x_text", "y_text").distinct()
+        found = found.union(keep(verified(pairs, threshold, min_chars), "near"))
+        if last:
             break
-        many = sized.where(split)
-        rest = F.concat(F.substring("rest", F.lit(1), F.col("start") - 1),
-                        F.substring("rest", F.col("start") + F.col("size"), F.length("rest")))
-        rows = keep(many.select("node", "text", rest.alias("rest"), F.col("key").alias("base")).distinct(), "split")
-        if not rows.take(1):
+        many = left.where(F.col("n") > few)
+        asked = many.select("key", F.col("x").alias("node"), F.lit(True).alias("left")).distinct()
+        again = met.join(many.select("key").distinct(), "key", "left_semi").join(asked, ["key", "node"], "left")
+        rest = F.col("rest")
+        if level == 0:
+            again, rest = again.join(texts.select("node", "text"), "node"), F.col("text")
+        cut = F.concat(F.substring(rest, F.lit(1), F.col("start") - 1),
+                       F.substring(rest, F.col("start") + F.col("size"), F.length(rest)))
+        rows = keep(again.select("node", cut.alias("rest"), F.col("key").alias("base"),
+                                 F.coalesce("left", F.lit(False)).alias("asked")).distinct(), "split")
+        if rows.isEmpty():
             break
-    return pairs.distinct()
+    return found
 
 
 # ---- verification ---------------------------------------------------------------------------------
 
+def verified(pairs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """The pairs x, y (with x_text, y_text) within the threshold, the longer text of ``min_chars`` code points or more."""
+    x, y = F.col("x_text"), F.col("y_text")
+    possible = pairs.where((F.greatest(F.length(x), F.length(y)) >= min_chars) & alike(x, y, threshold))
+    return possible.where(within(x, y, threshold)).select("x", "y")
+
+
 def alike(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
     """A cheap necessary condition: an edit changes the counts of at most two characters by one."""
     def count(text: Column, char: str) -> Column:
@@ -196,11 +224,10 @@ def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
 
 # ---- lines ----------------------------------------------------------------------------------------
 
-def lines_of(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
-    """row_no, doc_id, line_no (from 0), text, node (digest) of the lines of at least ``shortest`` code points."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """row_no, doc_id, line_no (from 0), text, node (digest) of all lines that are not empty."""
     return (docs.select("row_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-            .where(F.length("text") >= shortest)
-            .withColumn("node", F.unhex(F.md5("text"))))
+            .where("text != ''").withColumn("node", F.unhex(F.md5("text"))))
 
 
 def place() -> Column:
@@ -208,53 +235,41 @@ def place() -> Column:
                     F.col("row_no").alias("row_no"), F.col("line_no").cast("bigint").alias("line_no"))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
-    """One row per line of at least ``shortest`` code points (``min_chars`` if none is given): row_no, doc_id, line_no, the place where its
-    text first stood (class_doc_id, class_line_no), n_links (other texts within the threshold),
-    the earliest place of those (near_doc_id, near_line_no, null without links), kept.
-
-    Equal lines of any reported length are one class. Edits are allowed between two lines of which the
-    longer has ``min_chars`` code points.
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per line that is not empty: row_no, doc_id, line_no, the place where its text first stood
+    (class_doc_id, class_line_no), the place of the earliest other text within the threshold that stood before
+    that (near_doc_id, near_line_no, null without one), kept.
 
-    ``docs`` holds row_no (unique, the same on every read), doc_id and text. Null and empty texts have no
-    such lines. Rows are in the order of doc_id, null ids last, then row_no.
+    Edits are allowed between two lines of which the longer has ``min_chars`` code points. ``docs`` holds row_no
+    (unique, the same on every read), doc_id and text. Null and empty texts have no lines. Rows are in the order of
+    doc_id, null ids last, then row_no; of repeated rows the first keeps its lines. A line may be as long as its text.
     """
-    shortest = min_chars if shortest is None else shortest
-    lines = lines_of(docs, shortest)
+    lines = lines_of(docs)
     narrow = keep(lines.select("row_no", "doc_id", "line_no", "node"), "lines")
-    firsts = narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies"))
-
-    compared = lines.where(F.length("text") >= max(shortest, min_chars - threshold))
-    pairs = candidate_pairs(compared.select("node", "text"), threshold)
-    if shortest < min_chars:
-        pairs = pairs.where(F.greatest(F.length("x_text"), F.length("y_text")) >= min_chars)
-    possible = keep(pairs.where(alike(F.col("x_text"), F.col("y_text"), threshold)), "line-pairs")
-    links = keep(possible.where(within(F.col("x_text"), F.col("y_text"), threshold)).select("x", "y"), "line-links")
-    both = links.union(links.select("y", "x")).toDF("node", "other")
-    linked = both.join(firsts.select(F.col("node").alias("other"), F.col("first").alias("there")), "other")
-    near = linked.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"), F.min("there").alias("near"))
-
-    known = (firsts.join(near, "node", "left").where("copies > 1 or n_links > 0")
-             .select("node", "first", "n_links", "near"))
+    firsts = keep(narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+    compared = lines.where(F.length("text") >= min_chars - threshold)
+    pairs = near_pairs(compared.select("node", "text"), firsts, threshold, min_chars)
+    there = firsts.select(F.col("node").alias("y"), F.col("first").alias("there"))
+    near = pairs.distinct().join(there, "y").groupBy(F.col("x").alias("node")).agg(F.min("there").alias("near"))
+
+    known = firsts.join(near, "node", "left").where("copies > 1 or near is not null").select("node", "first", "near")
     rows = narrow.join(known, "node", "left").withColumn("here", place())
     first = F.coalesce("first", "here")
     return rows.select(
         "row_no", "doc_id", "line_no",
         first["doc_id"].alias("class_doc_id"), first["line_no"].alias("class_line_no"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.col("near.doc_id").alias("near_doc_id"), F.col("near.line_no").alias("near_line_no"),
-        ((F.col("here") == first) & (F.col("near").isNull() | (F.col("near") > first))).alias("kept"))
+        ((F.col("here") == first) & F.col("near").isNull()).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
-                           shortest: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` (doc_id, text, a unique row number and any columns) without the lines that ``line_classes`` does
     not keep, and with ``__lines_gone``, how many those are.
 
     A document that loses all its lines goes; one that lost none, also an empty or null text, is as before.
     """
     rows = docs.select(F.col(row_column).alias("row_no"), "doc_id", "text")
-    dropped = (line_classes(rows, threshold, min_chars, shortest).where(~F.col("kept"))
+    dropped = (line_classes(rows, threshold, min_chars).where(~F.col("kept"))
                .groupBy(F.col("row_no").alias("__row")).agg(F.collect_list("line_no").alias("__gone")))
     dropped = bounded(keep(dropped, "dropped-lines"), 100_000)
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
@@ -269,16 +284,16 @@ SQL = """
 with lines as (
   select doc_id, generate_subscripts(parts, 1) - 1 as line_no, unnest(parts) as text
   from (select doc_id, string_split(text, chr(10)) as parts from documents)),
-l as (select * from lines where length(text) >= 30),
+l as (select * from lines where text <> ''),
 firsts as (select text, min({'d': doc_id, 'n': line_no}) as first from l group by text),
-links as (
-  select a.text, b.first as there from firsts a join firsts b
+near as (
+  select a.text, min(b.first) as near from firsts a join firsts b
   on a.text <> b.text and length(b.text) between length(a.text) - 2 and length(a.text) + 2
-    and levenshtein(a.text, b.text) <= 2),
-near as (select text, count(*) as n_links, min(there) as near from links group by text)
+    and greatest(length(a.text), length(b.text)) >= 30 and b.first < a.first and levenshtein(a.text, b.text) <= 2
+  group by a.text)
 select doc_id, cast(line_no as integer) as line_no, first.d as class_doc_id, cast(first.n as bigint) as class_line_no,
-  coalesce(n_links, 0) as n_links, near.d as near_doc_id, cast(near.n as bigint) as near_line_no,
-  first.d = doc_id and first.n = line_no and (near is null or near > first) as kept
+  near.d as near_doc_id, cast(near.n as bigint) as near_line_no,
+  first.d = doc_id and first.n = line_no and near is null as kept
 from l join firsts using (text) left join near using (text)"""
 
 
