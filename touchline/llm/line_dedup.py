@@ -11,13 +11,13 @@ where the longer of two lines has ``MIN_CHARS`` code points; shorter lines go if
    substrings at all such places, for all lengths it may meet, as probes.
 3. Keys met by one text only are dropped from counts that are combined before the shuffle. What is joined
    after that are narrow rows (key, node); texts are fetched for nodes with a shared key only.
-4. On each key a text is first compared with the earliest text it can meet there. If that is near, it is the
-   earliest near one, and a family of any number of near copies costs one comparison each. Texts that are not
-   near it are compared with all earlier ones where the key has few texts. Where it has many, the rest of each line,
-   without the segment, must still be within the threshold; it is cut and keyed again, up to ``LEVELS`` times.
-5. Pairs whose counts of some characters differ little enough are verified by a banded bit-parallel edit
-   distance: one integer holds the band of 2 * THRESHOLD + 1 cells around the diagonal, and a fold over the
-   characters advances it.
+4. On each key a text is first compared with the earliest text there. If that is near, it is the earliest near one,
+   and a family of any number of near copies costs one comparison each. Texts that are not near it look through
+   the others, packed ``PACK`` to a row, where the key has up to ``FEW`` texts. Where it has more, the rest of each
+   line, without the segment, must still be within the threshold; it is cut and keyed again, up to ``LEVELS`` times.
+5. Spark's bounded Levenshtein distance passes over pairs that cannot be near. The others are verified by a banded
+   bit-parallel edit distance: one integer holds the band of 2 * THRESHOLD + 1 cells around the diagonal, and a
+   fold over the characters advances it.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from touchline.llm.storage import bounded, keep, table
 
 THRESHOLD = 2
 MIN_CHARS = 30       # code points from which the longer of two lines allows edits; shorter lines meet by digest only
-FEW = 16             # texts on a key up to which all are compared; with more the key is cut again
+PACK = 256           # texts of a key that are looked through at once
+FEW = 4_096          # texts on a key up to which packs are looked through; with more the key is cut again
 LEVELS = 5
-COUNTED = "etaoinsr"  # characters whose counts are compared before the edit distance
 
 
 # ---- keys -----------------------------------------------------------------------------------------
@@ -57,7 +57,7 @@ def with_keys(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift"))
                       for s, i, d in key_kinds(threshold)])
     parts = threshold + 1
-    spread = rows.withColumn("n", F.length("rest")).select("*", F.inline(kinds))
+    spread = rows.withColumns({"n": F.length("rest"), "bytes": F.col("rest").cast("binary")}).select("*", F.inline(kinds))
     length = F.col("n") - F.col("shorter")
     small = F.floor(length / parts).cast("int")
     # the last segments are longer by one where the length does not divide evenly
@@ -65,21 +65,21 @@ def with_keys(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spread = spread.where("n >= shorter").withColumns({
         "start": small * F.col("i") + 1 + F.greatest(F.lit(0), over) + F.col("shift"),
         "size": small + F.when(over >= 0, 1).otherwise(0)})
+    # bytes are as quick to cut at any place; they are code points where there are as many
+    segment = F.when(F.length("bytes") == F.col("n"), F.substring("bytes", F.col("start"), F.col("size"))).otherwise(
+        F.substring("rest", F.col("start"), F.col("size")).cast("binary"))
     return spread.where("start >= 1 and start + size - 1 <= n").select(
-        *rows.columns, F.xxhash64("base", F.col("n") - F.col("shorter"), "i", F.substring("rest", F.col("start"), F.col("size"))).alias("key"),
-        ((F.col("shorter") == 0) & (F.col("shift") == 0)).alias("is_index"), "start", "size")
+        *rows.columns, F.xxhash64("base", F.col("n") - F.col("shorter"), "i", segment).alias("key"), "start", "size")
 
 
 def live_keys(keyed: DataFrame) -> DataFrame:
-    """The keys that different texts share, one of them as index and one of them ``asked``.
+    """The keys that different texts share, one of them ``asked``.
 
-    Least and greatest node say whether there are two; both are combined before the shuffle.
+    Least and greatest number say whether there are two; both are combined before the shuffle.
     """
-    node = F.xxhash64("node")
     return (keyed.groupBy("key")
-            .agg(F.min(node).alias("least"), F.max(node).alias("most"), F.max("is_index").alias("has_index"),
-                 F.max("asked").alias("asked"))
-            .where("least != most and has_index and asked").select("key"))
+            .agg(F.min("number").alias("least"), F.max("number").alias("most"), F.max("asked").alias("asked"))
+            .where("least != most and asked").select("key"))
 
 
 # ---- the join -------------------------------------------------------------------------------------
@@ -89,40 +89,33 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
     """x, y: an earlier node y within the threshold for every node x that has one; the earliest is among them.
 
     ``lines``: node and text, repeats included; ``firsts``: node and first, its place, for all nodes. Of a pair the
-    longer text must have ``min_chars`` code points. The last level compares all texts that are left on a key.
+    longer text must have ``min_chars`` code points. The last level looks through all texts that are left on a key.
     """
-    rows = lines.select("node", F.col("text").alias("rest"), F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("asked"))
+    rows = lines.select("node", F.xxhash64("node").alias("number"), F.col("text").alias("rest"),
+                        F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("asked"))
     found, texts = None, None
     for level in range(levels):
-        keyed = with_keys(rows, threshold)
+        keyed = with_keys(rows, threshold).drop("base")
         live = bounded(keep(live_keys(keyed), "live"))
-        narrow = keyed.drop("rest", "base") if level == 0 else keyed.drop("base")
+        narrow = keyed.drop("number", *(["rest"] if level == 0 else []))
         met = keep(narrow.join(live, "key").distinct(), "met")
         if level == 0:
             nodes = keep(met.select("node").distinct(), "nodes")
             texts = keep(lines.select("node", "text").join(bounded(nodes), "node", "left_semi").groupBy("node").agg(
                 F.first("text").alias("text")).join(firsts.select("node", "first"), "node"), "line-texts")
-        members = keep(met.groupBy("key", "node").agg(F.max("is_index").alias("is_index"), F.max("asked").alias("asked"))
-                       .join(texts, "node"), "members")
-
-        # the earliest text that a member can meet on its key: an index meets all, a probe meets indexes
-        one = F.struct("first", "node")
-        groups = members.groupBy("key").agg(
-            F.min(one).alias("any"), F.min(F.when(F.col("is_index"), one)).alias("index"), F.count(F.lit(1)).alias("n"))
-        pivot = F.when(F.col("is_index"), F.col("any")).otherwise(F.col("index"))
-        tried = members.where("asked").join(groups, "key").withColumn("pivot", pivot).where(F.col("pivot.first") < F.col("first"))
-        tried = keep(tried.select("key", "n", F.col("node").alias("x"), "first", "is_index", F.col("text").alias("x_text"),
+        members = keep(met.groupBy("key", "node").agg(F.max("asked").alias("asked")).join(texts, "node"), "members")
+
+        groups = members.groupBy("key").agg(F.min(F.struct("first", "node")).alias("pivot"), F.count(F.lit(1)).alias("n"))
+        tried = members.where("asked").join(groups, "key").where(F.col("pivot.node") != F.col("node"))
+        tried = keep(tried.select("key", "n", F.col("node").alias("x"), "first", F.col("text").alias("x_text"),
                                   F.col("pivot.node").alias("y")), "tried")
         y_text = texts.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
         near = keep(verified(tried.select("x", "y", "x_text").distinct().join(y_text, "y"), threshold, min_chars), "near")
         found = near if found is None else found.union(near)
 
-        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "is_index", "x_text"), "left")
+        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "x_text"), "left")
         last = level == levels - 1
-        small = left if last else left.where(F.col("n") <= few)
-        others = members.select("key", F.col("node").alias("y"), F.col("first").alias("y_first"),
-                                F.col("is_index").alias("y_index"), F.col("text").alias("y_text"))
-        pairs = small.join(others, "key").where("y_first < first and (is_index or y_index)").select("x", "y", "x_text", "y_text").distinct()
+        pairs = packed_pairs(left if last else left.where(F.col("n") <= few), members, threshold, min_chars)
         found = found.union(keep(verified(pairs, threshold, min_chars), "near"))
         if last:
             break
@@ -134,32 +127,43 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
             again, rest = again.join(texts.select("node", "text"), "node"), F.col("text")
         cut = F.concat(F.substring(rest, F.lit(1), F.col("start") - 1),
                        F.substring(rest, F.col("start") + F.col("size"), F.length(rest)))
-        rows = keep(again.select("node", cut.alias("rest"), F.col("key").alias("base"),
+        rows = keep(again.select("node", F.xxhash64("node").alias("number"), cut.alias("rest"), F.col("key").alias("base"),
                                  F.coalesce("left", F.lit(False)).alias("asked")).distinct(), "split")
         if rows.isEmpty():
             break
     return found
 
 
+def packed_pairs(left: DataFrame, members: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """x, y, x_text, y_text: for the texts of ``left`` the earlier members of their key that may be near.
+
+    Members are dealt into packs, and a text meets each pack of its key as one row.
+    """
+    sizes = left.select("key", F.ceil(F.col("n") / PACK).alias("packs")).distinct()
+    number = F.pmod(F.xxhash64("node"), F.col("packs"))
+    packs = members.join(sizes, "key").groupBy("key", number.alias("pack")).agg(
+        F.collect_list(F.struct("first", "node", "text")).alias("texts"))     # about PACK of them
+    asked = left.select("key", "x", "first", "x_text", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.ceil(F.col("n") / PACK) - 1)).alias("pack"))
+
+    def may_be_near(m: Column) -> Column:
+        return (m["first"] < F.col("first")) & possible(F.col("x_text"), m["text"], threshold, min_chars)
+
+    hits = asked.join(packs, ["key", "pack"]).select("x", "x_text", F.explode(F.filter("texts", may_be_near)).alias("m"))
+    return hits.select("x", F.col("m.node").alias("y"), "x_text", F.col("m.text").alias("y_text")).distinct()
+
+
 # ---- verification ---------------------------------------------------------------------------------
 
+def possible(x: Column, y: Column, threshold: int, min_chars: int) -> Column:
+    """Whether two texts can be near: a quick test before the verification."""
+    return (F.greatest(F.length(x), F.length(y)) >= min_chars) & (F.levenshtein(x, y, threshold) >= 0)
+
+
 def verified(pairs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """The pairs x, y (with x_text, y_text) within the threshold, the longer text of ``min_chars`` code points or more."""
     x, y = F.col("x_text"), F.col("y_text")
-    possible = pairs.where((F.greatest(F.length(x), F.length(y)) >= min_chars) & alike(x, y, threshold))
-    return possible.where(within(x, y, threshold)).select("x", "y")
-
-
-def alike(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
-    """A cheap necessary condition: an edit changes the counts of at most two characters by one."""
-    def count(text: Column, char: str) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
-
-    differences = [F.abs(count(x, c) - count(y, c)) for c in COUNTED]
-    total = differences[0]
-    for d in differences[1:]:
-        total = total + d
-    return total <= 2 * threshold
+    return pairs.where(possible(x, y, threshold, min_chars)).where(within(x, y, threshold)).select("x", "y")
 
 
 def within(x: Column, y: Column, threshold: int = THRESHOLD) -> Column:
