@@ -73,13 +73,14 @@ def with_keys(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def live_keys(keyed: DataFrame) -> DataFrame:
-    """The keys that different texts share, one of them ``asked``.
+    """The keys that different texts share, one of them ``asked`` (all are where there is no such column).
 
     Least and greatest number say whether there are two; both are combined before the shuffle.
     """
-    return (keyed.groupBy("key")
-            .agg(F.min("number").alias("least"), F.max("number").alias("most"), F.max("asked").alias("asked"))
-            .where("least != most and asked").select("key"))
+    two = [F.min("number").alias("least"), F.max("number").alias("most")]
+    if "asked" in keyed.columns:
+        return keyed.groupBy("key").agg(*two, F.max("asked").alias("asked")).where("least != most and asked").select("key")
+    return keyed.groupBy("key").agg(*two).where("least != most").select("key")
 
 
 # ---- the join -------------------------------------------------------------------------------------
@@ -91,29 +92,31 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
     ``lines``: node and text, repeats included; ``firsts``: node and first, its place, for all nodes. Of a pair the
     longer text must have ``min_chars`` code points. The last level looks through all texts that are left on a key.
     """
-    rows = lines.select("node", F.xxhash64("node").alias("number"), F.col("text").alias("rest"),
-                        F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("asked"))
+    rows = lines.select("node", F.xxhash64("text").alias("number"), F.col("text").alias("rest"),
+                        F.lit(0).cast("bigint").alias("base"))
     found, texts = None, None
     for level in range(levels):
         keyed = with_keys(rows, threshold).drop("base")
         live = bounded(keep(live_keys(keyed), "live"))
         narrow = keyed.drop("number", *(["rest"] if level == 0 else []))
         met = keep(narrow.join(live, "key").distinct(), "met")
+        if level == 0:
+            met = met.withColumn("asked", F.lit(True))
         if level == 0:
             nodes = keep(met.select("node").distinct(), "nodes")
             texts = keep(lines.select("node", "text").join(bounded(nodes), "node", "left_semi").groupBy("node").agg(
-                F.first("text").alias("text")).join(firsts.select("node", "first"), "node"), "line-texts")
+                F.first("text").alias("text")).withColumn("size", F.length("text")).join(firsts.select("node", "first"), "node"), "line-texts")
         members = keep(met.groupBy("key", "node").agg(F.max("asked").alias("asked")).join(texts, "node"), "members")
 
         groups = members.groupBy("key").agg(F.min(F.struct("first", "node")).alias("pivot"), F.count(F.lit(1)).alias("n"))
         tried = members.where("asked").join(groups, "key").where(F.col("pivot.node") != F.col("node"))
-        tried = keep(tried.select("key", "n", F.col("node").alias("x"), "first", F.col("text").alias("x_text"),
+        tried = keep(tried.select("key", "n", F.col("node").alias("x"), "first", F.col("text").alias("x_text"), "size",
                                   F.col("pivot.node").alias("y")), "tried")
         y_text = texts.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
         near = keep(verified(tried.select("x", "y", "x_text").distinct().join(y_text, "y"), threshold, min_chars), "near")
         found = near if found is None else found.union(near)
 
-        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "x_text"), "left")
+        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "x_text", "size"), "left")
         last = level == levels - 1
         pairs = packed_pairs(left if last else left.where(F.col("n") <= few), members, threshold, min_chars)
         found = found.union(keep(verified(pairs, threshold, min_chars), "near"))
@@ -142,12 +145,13 @@ def packed_pairs(left: DataFrame, members: DataFrame, threshold: int, min_chars:
     sizes = left.select("key", F.ceil(F.col("n") / PACK).alias("packs")).distinct()
     number = F.pmod(F.xxhash64("node"), F.col("packs"))
     packs = members.join(sizes, "key").groupBy("key", number.alias("pack")).agg(
-        F.collect_list(F.struct("first", "node", "text")).alias("texts"))     # about PACK of them
-    asked = left.select("key", "x", "first", "x_text", F.explode(F.sequence(
+        F.collect_list(F.struct("first", "node", "text", "size")).alias("texts"))     # about PACK of them
+    asked = left.select("key", "x", "first", "x_text", "size", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.ceil(F.col("n") / PACK) - 1)).alias("pack"))
 
     def may_be_near(m: Column) -> Column:
-        return (m["first"] < F.col("first")) & possible(F.col("x_text"), m["text"], threshold, min_chars)
+        return ((F.abs(m["size"] - F.col("size")) <= threshold) & ((m["size"] >= min_chars) | (F.col("size") >= min_chars))
+                & (m["first"] < F.col("first")) & (F.levenshtein(F.col("x_text"), m["text"], threshold) >= 0))
 
     hits = asked.join(packs, ["key", "pack"]).select("x", "x_text", F.explode(F.filter("texts", may_be_near)).alias("m"))
     return hits.select("x", F.col("m.node").alias("y"), "x_text", F.col("m.text").alias("y_text")).distinct()
@@ -249,7 +253,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     doc_id, null ids last, then row_no; of repeated rows the first keeps its lines. A line may be as long as its text.
     """
     lines = lines_of(docs)
-    narrow = keep(lines.select("row_no", "doc_id", "line_no", "node"), "lines")
+    narrow = keep(lines.select("row_no", "doc_id", "line_no", "node"), "lines", "snappy")
     firsts = keep(narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     compared = lines.where(F.length("text") >= min_chars - threshold)
     pairs = near_pairs(compared.select("node", "text"), firsts, threshold, min_chars)
