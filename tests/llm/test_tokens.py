@@ -9,9 +9,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from touchline.llm import finite_state, packing, token_counts, token_files
+from touchline.llm import finite_state, near_dedup, packing, token_counts, token_files
 from touchline.llm.storage import prepare
+from touchline.llm.words import word_hashes
 from touchline.session import fresh_dir
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -151,3 +153,32 @@ def test_token_files_round_trip(spark, docs_of, monkeypatch):
     empty = fresh_dir(spark, "test-files")
     token_files.write_token_files(docs.where(F.lit(False)), public_tokenizers.path(FILES[1]), empty)
     assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_one_polynomial_hash(file):
+    """Sums of powers modulo 2**64 cannot tell these pairs of words apart."""
+    path = public_tokenizers.path(file)
+    library = Tokenizer.from_file(path)
+    for n in (1024, 2048, 4096):
+        texts = [thue_morse(n, "ab"), thue_morse(n, "ba"), "some " + thue_morse(n, "ba") + " other"]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        machine = finite_state.CompiledTokenizer(path)
+        assert [x.tolist() for x in machine.encode(texts)] == want
+        assert machine.counts(texts[::-1]).tolist() == [len(w) for w in want[::-1]]
+
+
+def test_word_hashes_of_one_polynomial_hash():
+    for n in (1024, 2048, 4096):
+        a, b = word_hashes([thue_morse(n, "ab"), thue_morse(n, "ba")])
+        assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+def test_near_dedup_keeps_both_words_of_one_polynomial_hash(spark, docs_of):
+    prepare(spark)
+    rows = near_dedup.near_groups(docs_of([(1, thue_morse(1024, "ab")), (2, thue_morse(1024, "ba"))])).collect()
+    assert all(r.kept for r in rows)

@@ -8,12 +8,12 @@ Two transducers in series give exactly the ids of the ``tokenizers`` library:
    step. For every chunk the map from each possible entry state to its exit state is computed first;
    a parallel prefix scan composes the maps, which gives each chunk its true entry state, and one
    more run emits the marks. A text cut into chunks is therefore split as if read in one go.
-2. The *lexicon* annotates the path of a pretoken with the ids, and so the number, of the tokens it
-   emits. Paths are compiled on demand from the library, which encodes each pretoken once per
-   worker; they are looked up by a 64-bit hash of the path. The lexicon grows to ``MAX_WORDS``; words
-   beyond those, and pretokens over ``MAX_WORD`` code points, are encoded without being kept.
+2. The *lexicon* is a memo: it holds the ids, and so the number, of the tokens of each pretoken met so far, as
+   the library encodes it. Equal pretokens of a batch are found by a 64-bit hash and compared character by
+   character; the lexicon is keyed by their text. It grows to ``MAX_WORDS``; words beyond those, and pretokens over
+   ``MAX_WORD`` code points, are encoded without being kept.
 
-Token counts and positions of texts follow from prefix sums over the emitted counts.
+Token counts and positions of texts follow from prefix sums over the counts of their pretokens.
 """
 
 from __future__ import annotations
@@ -139,6 +139,18 @@ def compose_scan(maps: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_runs(points: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray) -> bool:
+    """Whether the runs of characters at ``a`` of each ``size`` equal those at ``b`` of sizes ``other``."""
+    if not np.array_equal(size, other):
+        return False
+    moved = np.flatnonzero(a != b)
+    a, b, size = a[moved], b[moved], size[moved]
+    before = np.cumsum(size) - size
+    at = np.arange(size.sum(), dtype=np.int32)
+    return bool((points[at + np.repeat((a - before).astype(np.int32), size)]
+                 == points[at + np.repeat((b - before).astype(np.int32), size)]).all())
+
+
 class CompiledTokenizer:
     """Encodes lists of texts; use ``compiled(path)`` for one instance per worker and file."""
 
@@ -158,7 +170,7 @@ class CompiledTokenizer:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.move, self.emit = splitter(self.kind)
-        self.lexicon: dict[int, bytes] = {}
+        self.lexicon: dict[str, bytes] = {}
         self.id_type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     # ---- first transducer -------------------------------------------------------------------
@@ -259,16 +271,22 @@ class CompiledTokenizer:
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:len(points)], out=prefix[1:])
         keys = (prefix[at + length] - prefix[at]) * down[at]
         keys ^= length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys, example, index = np.unique(keys, return_index=True, return_inverse=True)
-
-        ids = list(map(self.lexicon.get, keys.tolist()))
+        _, example, index = np.unique(keys, return_index=True, return_inverse=True)
+        if same_runs(points, at, at[example][index], length, length[example][index]):
+            words = [joined[a:a + n] for a, n in zip(at[example].tolist(), length[example].tolist(), strict=True)]
+        else:       # different pretokens of one hash: tell them apart by their text
+            places: dict[str, int] = {}
+            index = np.array([places.setdefault(joined[a:a + n], len(places))
+                              for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
+            words = list(places)
+
+        ids = list(map(self.lexicon.get, words))
         missing = [i for i, found in enumerate(ids) if found is None]
-        begin, size = at[example].tolist(), length[example].tolist()
-        fresh = self.compile([joined[begin[i]:begin[i] + size[i]] for i in missing])
+        fresh = self.compile([words[i] for i in missing])
         for i, found in zip(missing, fresh, strict=True):
             ids[i] = found
-            if size[i] <= MAX_WORD and len(self.lexicon) < MAX_WORDS:
-                self.lexicon[int(keys[i])] = found
+            if len(words[i]) <= MAX_WORD and len(self.lexicon) < MAX_WORDS:
+                self.lexicon[words[i]] = found
         return index, ids, first
 
     # ---- texts ------------------------------------------------------------------------------

@@ -17,6 +17,7 @@ Not all pairs of a bucket are compared, yet no link that could join two classes
 2. Members of buckets that still hold several classes are joined by prefix filtering, which is exact:
    ordered from rare to frequent shingles, two similar texts share one of the first shingles that make
    up more than 1 - THRESHOLD of a text's weight, and from there on enough weight is left in both.
+   The weights of a few bins of shingles bound what two texts can share at all.
    Variants of one text differ in just the rare shingles, so few pairs of different classes meet.
 """
 
@@ -40,6 +41,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 BUCKETS_LOG2 = 16
 ORDER_LOG2 = 18             # counters that order shingles by frequency; any order gives right results
+BINS_LOG2 = 6               # bins of shingles whose weights bound what two texts share
+FULL = 32_767
+BEFORE = 4                  # shingles in front of another by which pairs that met before are told
 FAN = 256                   # partners that one copy of a text is compared with
 BLOCK = 8192                # shingles sampled at once
 
@@ -182,8 +186,9 @@ def ordered(x, y) -> list:
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """shingle, node, root, weight, rest: the rarest shingles of each text (node, root, text), up to more
-    than 1 - threshold of its weight; ``rest`` is what a shingle and all later ones weigh."""
+    """shingle, node, root, weight, rest, bins, before: the rarest shingles of each text (node, root, text), up to more
+    than 1 - threshold of its weight; ``rest`` is what a shingle and all later ones weigh, ``bins`` the parts of the
+    text's weight, rounded up, whose shingles have the same ``BINS_LOG2`` bits, ``before`` the shingles just before."""
     def slots(shingles: np.ndarray) -> np.ndarray:
         return (shingles >> np.uint64(64 - ORDER_LOG2)).astype(np.int64)
 
@@ -203,23 +208,27 @@ def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     def rarest(batches):
         for batch in batches:
             nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts, totals, rests = [], [], [np.zeros(0)]
+            parts, totals, rests, bins, before = [], [], [np.zeros(0)], [], []
             for words in word_hashes(batch.column(2).to_pylist()):
                 shingles, weights = weighted_shingles(words, idf)
                 order = np.lexsort((shingles, frequency[slots(shingles)]))
                 sums = np.cumsum(weights[order], dtype=np.float64)
                 n = int(np.searchsorted(sums, (1 - threshold + 1e-4) * sums[-1], "right")) + 1
+                of_bin = np.bincount((shingles & np.uint64((1 << BINS_LOG2) - 1)).astype(np.int64), weights, 1 << BINS_LOG2)
+                bins += [np.ceil(of_bin / sums[-1] * (FULL - 1) + 1e-3).clip(0, FULL).astype(np.int16)] * n
                 parts.append(shingles[order[:n]].view(np.int64))
+                before += [parts[-1][max(0, i - BEFORE):i] for i in range(n)]
                 totals.append(sums[-1])
                 rests.append(sums[-1] - sums[:n] + weights[order[:n]])
             sizes = [len(p) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(np.repeat(nodes, sizes)),
                  pa.array(np.repeat(roots, sizes)), pa.array(np.repeat(np.array(totals, float), sizes)),
-                 pa.array(np.concatenate(rests))], ["shingle", "node", "root", "weight", "rest"])
+                 pa.array(np.concatenate(rests)), pa.array(bins, pa.list_(pa.int16())), pa.array(before, pa.list_(pa.int64()))],
+                ["shingle", "node", "root", "weight", "rest", "bins", "before"])
 
     return texts.select("node", "root", "text").mapInArrow(
-        rarest, "shingle bigint, node bigint, root bigint, weight double, rest double")
+        rarest, "shingle bigint, node bigint, root bigint, weight double, rest double, bins array<smallint>, before array<bigint>")
 
 
 def text_links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -241,8 +250,12 @@ def text_links(nodes: DataFrame, rows: DataFrame, idf: np.ndarray, threshold: fl
     other = first.toDF(*[f"x_{c}" for c in first.columns])
     # The first shared shingle and what follows must weigh what the similarity needs, in both texts.
     needed = (F.col("weight") + F.col("x_weight")) * (threshold / (1 + threshold) - 1e-4)
+    # So must what both have in bins of shingles, where unlike shingles of a bin count as shared.
+    both = F.zip_with("bins", "x_bins", lambda a, b: F.least(a * F.col("weight"), b * F.col("x_weight")))
+    # Texts that share one of the shingles in front have met on it.
+    met = F.arrays_overlap("before", "x_before")
     meet = ((F.col("shingle") == F.col("x_shingle")) & (F.col("x_node") < F.col("node")) & (F.col("x_root") != F.col("root"))
-            & (F.least("rest", "x_rest") >= needed))
+            & (F.least("rest", "x_rest") >= needed) & ~met & (F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / FULL >= needed))
     untried = (first.join(other, meet).withColumnRenamed("x_node", "x").select(*ordered("x", "node")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = verified(keep(untried, "pairs"), rows, idf, threshold)
     return connected_components(links.union(more))

@@ -1,4 +1,4 @@
-"""Token counts of whole texts by compiled finite-state transducers (see ``finite_state``)."""
+"""Token counts of whole texts: a finite-state transducer splits them, a memo over the library counts (see ``finite_state``)."""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import sys
 import unicodedata
 
@@ -11,6 +12,7 @@ import numpy as np
 from touchline.llm.finite_state import powers
 
 SLICE = 1_000_000   # characters hashed at once
+LONG_WORD = 64      # characters from which a word is hashed by a digest
 
 
 @functools.cache
@@ -36,7 +38,12 @@ def _hashed(joined: str) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(1 << max(12, int(len(points)).bit_length()))
     prefix = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:len(points)], out=prefix[1:])
-    return mixed((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
+    hashes = mixed((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    # Sums of powers modulo 2**64 repeat for some long words, whatever the power; those get a digest.
+    for i in np.flatnonzero(end - begin > LONG_WORD):
+        digest = hashlib.blake2b(points[begin[i]:end[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes, begin
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
