@@ -124,19 +124,67 @@ def label_encoding(spark, sf_dir):
     return m.select("match_id", F.col("result").alias("label")).select("match_id", models.label_index().alias("label_index"))
 
 
+def _kept(spark, sf_dir, name, build):
+    """A table made once per session, for the queries that look at it from several sides."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = stored(build(), name)
+    return _TABLES[key]
+
+
 def _fitted(kind):
-    def run(spark, sf_dir):
+    def build(spark, sf_dir):
         split = folds.stratified_split(labelled(spark, sf_dir), "label", "match_id")
         model = models.fit(kind, split.where("is_train"), MODEL_FEATURES)
         out = model.transform(split.where(~F.col("is_train")))
-        return rounded(out.select("match_id", "label", "predicted", "confidence", "p_H", "p_D", "p_A"))
+        return out.select("match_id", "label", "predicted", "confidence", "p_H", "p_D", "p_A")
+
+    def run(spark, sf_dir):
+        return rounded(_kept(spark, sf_dir, f"held-out-{kind}", lambda: build(spark, sf_dir)))
     return run
 
 
+def sound(out, *by):
+    """Rows by ``by`` and how many of them have three probabilities that sum to 1, the likeliest outcome as
+    prediction, and its probability as confidence."""
+    parts = [F.col(f"p_{o}") for o in probability.OUTCOMES]
+    total, most = parts[0] + parts[1] + parts[2], F.greatest(*parts)
+    likeliest = F.when(F.col("predicted") == "H", F.col("p_H")).when(F.col("predicted") == "D", F.col("p_D")).otherwise(F.col("p_A"))
+    return out.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) < 1e-6).alias("sums"),
+        F.count_if(F.least(*parts) >= 0).alias("positive"), F.count_if(F.abs(likeliest - most) < 1e-6).alias("likeliest"),
+        F.count_if(F.abs(F.col("confidence") - most) < 1e-6).alias("confident"))
+
+
+def _sound_sql(rows: str, by: str) -> str:
+    """``rows``: SQL giving ``by`` and n; all of them are sound."""
+    return f"{M}, l as (select {_HDA} as label, * from m where home_score is not null) select {by}, n, n as sums, n as positive, n as likeliest, n as confident from ({rows})"
+
+
+_HELD_SQL = "select label, count(*) - round(count(*)*0.8::double)::bigint as n from l group by label"
+
+
 for _name, _kind in {"M02_forest": "forest", "M03_boosted_a": "boosted_a", "M04_boosted_b": "boosted_b"}.items():
     query(_name)(_fitted(_kind))
 
 
+def _held_out_soundness(kind):
+    return lambda spark, sf_dir: sound(_fitted(kind)(spark, sf_dir), "label")
+
+
+for _name, _kind in {"M02_forest_soundness": "forest", "M03_boosted_a_soundness": "boosted_a", "M04_boosted_b_soundness": "boosted_b"}.items():
+    query(_name, _sound_sql(_HELD_SQL, "label"))(_held_out_soundness(_kind))
+
+
+@query("M05_batch_soundness", (
+    f"{M}, l as (select coalesce({_HDA}, 'scheduled') as label from m) select label, count(*) as n, count(*) as sums, count(*) as positive,"
+    " count(*) as likeliest, count(*) as confident from l group by label"))
+def batch_soundness(spark, sf_dir):
+    rows = feature_rows(spark, sf_dir)
+    out = trained(spark, sf_dir, "forest").transform(rows)
+    return sound(out.withColumn("label", F.coalesce("label", F.lit("scheduled"))), "label")
+
+
 @query("M05_predict_batch")
 def predict_batch(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
@@ -146,8 +194,14 @@ def predict_batch(spark, sf_dir):
 
 @query("M06_parameter_search")
 def parameter_search(spark, sf_dir):
-    _, trials = search.search_forests(labelled(spark, sf_dir), MODEL_FEATURES)
-    return rounded(trials)
+    return rounded(_kept(spark, sf_dir, "search", lambda: search.search_forests(labelled(spark, sf_dir), MODEL_FEATURES)[1]))
+
+
+@query("M06_search_coverage", f"{M} select t::int as trial, (select count(*) from m where home_score is not null) as rows, true as scored from range(50) r(t)")
+def search_coverage(spark, sf_dir):
+    """Every trial is scored once on every row of the search's table (all labelled rows up to ``SEARCH_ROWS``)."""
+    trials = parameter_search(spark, sf_dir)
+    return trials.select("trial", "rows", F.col("accuracy").between(0.0, 1.0).alias("scored"))
 
 
 @query("M07_stratified_folds", (
@@ -244,8 +298,7 @@ def soft_voting(spark, sf_dir):
         "match_id", "label", "p_H", "p_D", "p_A", "predicted", "confidence"))
 
 
-@query("M14_stacking")
-def stacking(spark, sf_dir):
+def _stacked(spark, sf_dir):
     """Predictions for held-out rows: the combiner learns from out-of-fold predictions on the training rows,
     the base models are then fitted on all of those."""
     split = stored(folds.stratified_split(labelled(spark, sf_dir), "label", "match_id"), "split")
@@ -257,7 +310,17 @@ def stacking(spark, sf_dir):
     asked = [base.transform(test).select("match_id", "label", "model", "predicted", "confidence", "p_H", "p_D", "p_A") for base in bases]
     stacked = ensemble.Stacked(kinds).fit(stored(learned[0].unionByName(learned[1]), "oof"))
     answers = stored(asked[0].unionByName(asked[1]), "asked")
-    return rounded(stacked.transform(answers).select("match_id", "label", "predicted", "p_H", "p_D", "p_A"))
+    return stacked.transform(answers).select("match_id", "label", "predicted", "confidence", "p_H", "p_D", "p_A")
+
+
+@query("M14_stacking")
+def stacking(spark, sf_dir):
+    return rounded(_kept(spark, sf_dir, "stacked", lambda: _stacked(spark, sf_dir)).drop("confidence"))
+
+
+@query("M14_stacking_soundness", _sound_sql(_HELD_SQL, "label"))
+def stacking_soundness(spark, sf_dir):
+    return sound(_kept(spark, sf_dir, "stacked", lambda: _stacked(spark, sf_dir)), "label")
 
 
 @query("M15_model_weights", PRED_SQL + (
@@ -309,10 +372,29 @@ def _predicted(spark, sf_dir):
 
 @query("M18_predict_fixtures")
 def predict_fixtures(spark, sf_dir):
-    return rounded(_predicted(spark, sf_dir).select(
+    return rounded(_kept(spark, sf_dir, "fixtures-predicted", lambda: _predicted(spark, sf_dir)).select(
         "match_id", "home_team", "away_team", "error", "predicted", "confidence", "p_H", "p_D", "p_A", "uncertainty"))
 
 
+@query("M18_fixture_outcomes", (
+    f"{M}, f as (select case when match_id%4=3 and match_id%11=0 then 'unknown home team: Nowhere XI' end as error from m where home_score is null)"
+    " select coalesce(error, '') as error, count(*) as n, count(*) filter (where error is null) as predicted,"
+    " count(*) filter (where error is null) as sums from f group by 1"))
+def fixture_outcomes(spark, sf_dir):
+    """Scheduled fixtures by their error: the unresolved have no prediction, the others a sound one."""
+    out = _kept(spark, sf_dir, "fixtures-predicted", lambda: _predicted(spark, sf_dir))
+    return out.groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("predicted").alias("predicted"),
+        F.count_if(F.abs(F.col("p_H") + F.col("p_D") + F.col("p_A") - 1) < 1e-6).alias("sums"))
+
+
+@query("M19_model_soundness", (
+    f"{M}, k as (select * from (values ('forest'), ('boosted_a')) t(model)) select model, count(*) as n, count(*) as sums, count(*) as positive,"
+    " count(*) as likeliest, count(*) as confident from m, k group by model"))
+def model_soundness(spark, sf_dir):
+    return sound(predict.predict_all(feature_rows(spark, sf_dir), _trained(spark, sf_dir)), "model")
+
+
 @query("M19_compare_models")
 def compare_models(spark, sf_dir):
     return rounded(predict.predict_all(feature_rows(spark, sf_dir), _trained(spark, sf_dir)))
@@ -327,6 +409,13 @@ def stratified_split(spark, sf_dir):
     return out.groupBy("label").agg(F.count_if("is_train").alias("train"), F.count_if(~F.col("is_train")).alias("test"))
 
 
+@query("M21_importance_total", f"select {len(MODEL_FEATURES)}::bigint as features, 1.0::double as total, true as positive")
+def importance_total(spark, sf_dir):
+    found = _trained(spark, sf_dir)["forest"].importances(spark)
+    return found.agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 9).alias("total"),
+                     (F.min("importance") >= 0).alias("positive"))
+
+
 @query("M21_tree_importance")
 def tree_importance(spark, sf_dir):
     return rounded(_trained(spark, sf_dir)["forest"].importances(spark))
@@ -540,6 +629,19 @@ def component_report(spark, sf_dir):
 
 # --- model files and batch prediction --------------------------------------------------------------
 
+@query("S18_model_round_trip", f"{M} select count(*) as n, count(*) as equal from m")
+def model_round_trip(spark, sf_dir):
+    """Predictions of a saved and loaded model that equal those of the model itself."""
+    path = fresh_dir(spark, "model")
+    fitted = trained(spark, sf_dir, "forest")
+    fitted.save(path, spark)
+    columns = ["match_id", "predicted", "p_H", "p_D", "p_A"]
+    rows = feature_rows(spark, sf_dir)
+    again = models.load_model(path, spark).transform(rows).select("match_id", F.struct(*columns[1:]).alias("again"))
+    own = fitted.transform(rows).select("match_id", F.struct(*columns[1:]).alias("own"))
+    return own.join(again, "match_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") == F.col("again")).alias("equal"))
+
+
 @query("S17_batch_prediction_files")
 def batch_prediction_files(spark, sf_dir):
     inbox, outbox = fresh_dir(spark, "inbox"), fresh_dir(spark, "outbox")
