@@ -69,18 +69,20 @@ def with_keys(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     segment = F.when(F.length("bytes") == F.col("n"), F.substring("bytes", F.col("start"), F.col("size"))).otherwise(
         F.substring("rest", F.col("start"), F.col("size")).cast("binary"))
     return spread.where("start >= 1 and start + size - 1 <= n").select(
-        *rows.columns, F.xxhash64("base", F.col("n") - F.col("shorter"), "i", segment).alias("key"), "start", "size")
+        *rows.columns, F.xxhash64("base", F.col("n") - F.col("shorter"), "i", segment).alias("key"),
+        ((F.col("shorter") == 0) & (F.col("shift") == 0)).alias("is_index"), "start", "size")
 
 
 def live_keys(keyed: DataFrame) -> DataFrame:
-    """The keys that different texts share, one of them ``asked`` (all are where there is no such column).
+    """The keys that different texts share, one of them as index and one of them ``asked`` (all are where there is
+    no such column).
 
     Least and greatest number say whether there are two; both are combined before the shuffle.
     """
-    two = [F.min("number").alias("least"), F.max("number").alias("most")]
+    two = [F.min("number").alias("least"), F.max("number").alias("most"), F.max("is_index").alias("has_index")]
     if "asked" in keyed.columns:
-        return keyed.groupBy("key").agg(*two, F.max("asked").alias("asked")).where("least != most and asked").select("key")
-    return keyed.groupBy("key").agg(*two).where("least != most").select("key")
+        return keyed.groupBy("key").agg(*two, F.max("asked").alias("asked")).where("least != most and has_index and asked").select("key")
+    return keyed.groupBy("key").agg(*two).where("least != most and has_index").select("key")
 
 
 # ---- the join -------------------------------------------------------------------------------------
@@ -98,7 +100,7 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
     for level in range(levels):
         keyed = with_keys(rows, threshold).drop("base")
         live = bounded(keep(live_keys(keyed), "live"))
-        narrow = keyed.drop("number", *(["rest"] if level == 0 else []))
+        narrow = keyed.drop("number", "is_index", *(["rest"] if level == 0 else []))
         met = keep(narrow.join(live, "key").distinct(), "met")
         if level == 0:
             met = met.withColumn("asked", F.lit(True))

@@ -205,27 +205,38 @@ def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     frequency = np.zeros(1 << ORDER_LOG2, np.int64)
     frequency[found.column("slot").to_numpy()] = found.column("n").to_numpy()
 
+    def rows_of(nodes: np.ndarray, roots: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+        parts, sizes, totals, rests, bins, before, lengths = [], [], [], [], [], [], []
+        for words in found:
+            shingles, weights = weighted_shingles(words, idf)
+            order = np.lexsort((shingles, frequency[slots(shingles)]))
+            sums = np.cumsum(weights[order], dtype=np.float64)
+            n = int(np.searchsorted(sums, (1 - threshold + 1e-4) * sums[-1], "right")) + 1
+            part = shingles[order[:n]].view(np.int64)
+            of_bin = np.bincount((shingles & np.uint64((1 << BINS_LOG2) - 1)).astype(np.int64), weights, 1 << BINS_LOG2)
+            of_bin = np.ceil(of_bin / sums[-1] * (FULL - 1) + 1e-3).clip(0, FULL).astype(np.int16)
+            n = len(part)
+            parts.append(part)
+            sizes.append(n)
+            totals.append(np.full(n, sums[-1]))
+            rests.append(sums[-1] - sums[:n] + weights[order[:n]])
+            bins.append(np.tile(of_bin, n))
+            front = np.arange(n)[:, None] + np.arange(-BEFORE, 0)
+            before.append(part[front[front >= 0]])
+            lengths.append(np.minimum(np.arange(n), BEFORE))
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+        every = np.arange(0, (sum(sizes) + 1) << BINS_LOG2, 1 << BINS_LOG2, dtype=np.int32)
+        columns = [pa.array(np.concatenate(parts)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(roots, sizes)),
+                   pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests)),
+                   pa.ListArray.from_arrays(pa.array(every), pa.array(np.concatenate(bins))),
+                   pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(before)))]
+        return pa.RecordBatch.from_arrays(columns, ["shingle", "node", "root", "weight", "rest", "bins", "before"])
+
     def rarest(batches):
         for batch in batches:
-            nodes, roots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts, totals, rests, bins, before = [], [], [np.zeros(0)], [], []
-            for words in word_hashes(batch.column(2).to_pylist()):
-                shingles, weights = weighted_shingles(words, idf)
-                order = np.lexsort((shingles, frequency[slots(shingles)]))
-                sums = np.cumsum(weights[order], dtype=np.float64)
-                n = int(np.searchsorted(sums, (1 - threshold + 1e-4) * sums[-1], "right")) + 1
-                of_bin = np.bincount((shingles & np.uint64((1 << BINS_LOG2) - 1)).astype(np.int64), weights, 1 << BINS_LOG2)
-                bins += [np.ceil(of_bin / sums[-1] * (FULL - 1) + 1e-3).clip(0, FULL).astype(np.int16)] * n
-                parts.append(shingles[order[:n]].view(np.int64))
-                before += [parts[-1][max(0, i - BEFORE):i] for i in range(n)]
-                totals.append(sums[-1])
-                rests.append(sums[-1] - sums[:n] + weights[order[:n]])
-            sizes = [len(p) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)), pa.array(np.repeat(nodes, sizes)),
-                 pa.array(np.repeat(roots, sizes)), pa.array(np.repeat(np.array(totals, float), sizes)),
-                 pa.array(np.concatenate(rests)), pa.array(bins, pa.list_(pa.int16())), pa.array(before, pa.list_(pa.int64()))],
-                ["shingle", "node", "root", "weight", "rest", "bins", "before"])
+            nodes, roots, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for i in range(0, len(held), 64):
+                yield rows_of(nodes[i:i + 64], roots[i:i + 64], word_hashes(held[i:i + 64]))
 
     return texts.select("node", "root", "text").mapInArrow(
         rarest, "shingle bigint, node bigint, root bigint, weight double, rest double, bins array<smallint>, before array<bigint>")
