@@ -10,7 +10,7 @@ Two transducers in series give exactly the ids of the ``tokenizers`` library:
    more run emits the marks. A text cut into chunks is therefore split as if read in one go.
 2. The *lexicon* is a memo: it holds the ids, and so the number, of the tokens of each pretoken met so far, as
    the library encodes it. Equal pretokens of a batch are found by a 64-bit hash and, beyond ``SURE``
-   characters, compared character by character; the lexicon is keyed by their text. It grows to ``MAX_WORDS``; words beyond those, and pretokens over
+   characters, compared character by character; the lexicon is keyed by the hash, beyond those by the text. It grows to ``MAX_WORDS``; words beyond those, and pretokens over
    ``MAX_WORD`` code points, are encoded without being kept.
 
 Token counts and positions of texts follow from prefix sums over the counts of their pretokens.
@@ -172,7 +172,7 @@ class CompiledTokenizer:
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.move, self.emit = splitter(self.kind)
-        self.lexicon: dict[str, bytes] = {}
+        self.lexicon: dict[int | str, bytes] = {}
         self.id_type = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     # ---- first transducer -------------------------------------------------------------------
@@ -273,22 +273,25 @@ class CompiledTokenizer:
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:len(points)], out=prefix[1:])
         keys = (prefix[at + length] - prefix[at]) * down[at]
         keys ^= length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        _, example, index = np.unique(keys, return_index=True, return_inverse=True)
-        if same_runs(points, at, at[example][index], length, length[example][index]):
-            words = [joined[a:a + n] for a, n in zip(at[example].tolist(), length[example].tolist(), strict=True)]
+        keys, example, index = np.unique(keys, return_index=True, return_inverse=True)
+        begin, size = at[example], length[example]
+        lookup: list[int | str] = keys.tolist()
+        if same_runs(points, at, begin[index], length, size[index]):
+            for i in np.flatnonzero(size > SURE).tolist():
+                lookup[i] = joined[begin[i]:begin[i] + size[i]]
         else:       # different pretokens of one hash: tell them apart by their text
             places: dict[str, int] = {}
             index = np.array([places.setdefault(joined[a:a + n], len(places))
                               for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
-            words = list(places)
+            lookup = list(places)
 
-        ids = list(map(self.lexicon.get, words))
+        ids = list(map(self.lexicon.get, lookup))
         missing = [i for i, found in enumerate(ids) if found is None]
-        fresh = self.compile([words[i] for i in missing])
-        for i, found in zip(missing, fresh, strict=True):
+        words = [x if isinstance(x := lookup[i], str) else joined[begin[i]:begin[i] + size[i]] for i in missing]
+        for i, word, found in zip(missing, words, self.compile(words), strict=True):
             ids[i] = found
-            if len(words[i]) <= MAX_WORD and len(self.lexicon) < MAX_WORDS:
-                self.lexicon[words[i]] = found
+            if len(word) <= MAX_WORD and len(self.lexicon) < MAX_WORDS:
+                self.lexicon[lookup[i]] = found
         return index, ids, first
 
     # ---- texts ------------------------------------------------------------------------------
