@@ -10,8 +10,9 @@ Two transducers in series give exactly the ids of the ``tokenizers`` library:
    more run emits the marks. A text cut into chunks is therefore split as if read in one go.
 2. The *lexicon* is a memo: it holds the ids, and so the number, of the tokens of each pretoken met so far, as
    the library encodes it. Equal pretokens of a batch are found by a 64-bit hash and, beyond ``SURE``
-   characters, compared character by character; the lexicon is keyed by the hash, beyond those by the text. It grows to ``MAX_WORDS``; words beyond those, and pretokens over
-   ``MAX_WORD`` code points, are encoded without being kept.
+   characters, compared character by character; the lexicon is keyed by the hash, beyond those by the text. It
+   grows to ``MAX_WORDS``; words beyond those, and pretokens over ``MAX_WORD`` code points, are encoded without
+   being kept.
 
 Token counts and positions of texts follow from prefix sums over the counts of their pretokens.
 """
