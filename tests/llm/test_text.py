@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pyspark.sql.functions as F
 import pytest
@@ -41,6 +42,26 @@ def test_control_strings_come_back(spark, text):
     assert [(r.role, r.text, r.loss) for r in back] == [(text or "r", text, ""), ("assistant", text, text)]
 
 
+def test_wide_deep_and_unknown_records(spark):
+    deep = "x"
+    for _ in range(12):
+        deep = {"a": [deep]}
+    wide = {f"field{i}": {"text": i} for i in range(3000)}
+    values = [
+        {"messages": [{"role": "Human", "content": "hi", **wide, "deep": deep}]},
+        {"messages": [{"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]},
+        {"messages": [{"role": "user", "content": "a"}, "loose"]},
+        {"prompt": "p", "response": "r", "text": "t"}, {"messages": []}, {"text": ["no"], "role": "user", "turn": 1}]
+    turns = chat_format.canonical_turns(records(spark, values))
+    got = {r.conv_id: r for r in turns.where("coalesce(turn, 0) = 0").collect()}
+    assert [(got[i].role, got[i].text) for i in (0, 1)] == [("user", "hi"), ("assistant", "ab")]
+    assert sorted(r.text for r in turns.where("conv_id = 2").collect()) == ["a", "loose"]
+    pieces = {r.conv_id: r.piece for r in chat_format.formatted_pieces(turns).collect()}
+    for i in (3, 4, 5):
+        assert got[i].unknown and json.loads(got[i].raw) == values[i]
+        assert json.dumps(values[i], separators=(",", ":"), sort_keys=True) in pieces[i]
+
+
 def test_empty_conversations(spark):
     none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string, unknown string")
     assert chat_format.conversation_digests(chat_format.parsed_pieces(chat_format.formatted_pieces(none))).count() == 0
@@ -255,6 +276,19 @@ def test_licenses_of_odd_rows(spark, docs_of):
     assert sorted((r.doc_id or 0, len(r.licences)) for r in found) == [(0, 1), (1, 0), (1, 0)]
 
 
+def test_license_scan_is_linear_in_blanks():
+    text = "Licensed" + " " * 300_000 + "under the MIT License." + "\n" + "- " * 150_000 + "\t" * 300_000 + "end"
+    started = time.monotonic()
+    found = licenses.scan(text)
+    assert [name for name, _, _ in found] == ["MIT"] and time.monotonic() - started < 20
+
+
+def test_wrapped_notice_with_carriage_returns():
+    text = ("Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated"
+            " documentation files (the \"Software\"), to deal\r\nin the Software without restriction.\r\n")
+    assert licenses.scan(text) == [(n, a, b) for n, a, b in licenses.scan(text.replace("\r\n", " \n"))]
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     sizes = [docs.count()]
@@ -276,3 +310,18 @@ def test_stages_keep_odd_rows(spark):
     assert lines.count() == 3 and lines.columns == docs.columns
     for _, stage in corpus_pipeline.STAGES[1:3]:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_take_clashing_and_odd_columns(spark, sf):
+    text = "a long enough line of words to be looked at here, one that says nothing of note"
+    columns = ["__row", "__gone", "__language", "__row_no", "__lines_gone", "row_no"]
+    rows = [(1, None, "en", *columns), (2, "", None, *columns), (3, text, "en", *columns), (3, text, "en", *columns)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"`{c}` string" for c in columns))
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, sf)
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name != "packing":
+            assert left.columns == docs.columns
+            found = left.collect()
+            assert all(r[c] == c for r in found for c in columns) and len(found) <= 4
+    assert left.where("doc_id in (1, 2)").count() == 2     # an empty text is one end token

@@ -64,35 +64,57 @@ def fingerprint_of(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def variant(value: Column, path: str) -> Column:
+    """The value at a path; a null value is found, too, and is then the variant null."""
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def items_of(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def present(record: Column, path: str) -> Column:
+    """Whether a path of a layout occurs: a field that is neither list nor object, or a field of a list's items.
+
+    Only the value at the path is looked at, so neither the width nor the depth of the rest of a record matters.
+    """
+    head, inner, leaf = path.partition("[].")
+    value = variant(record, head)
+    if inner:
+        return F.exists(items_of(value), lambda item: variant(item, leaf).isNotNull())
+    return value.isNotNull() & ~F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the known field paths present in a variant; fields of no layout don't count."""
-    schema = F.schema_of_variant(record)
-    nested = r"(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*"
-    top = F.regexp_replace(schema, r"^OBJECT<|>$", "")
-    for _ in range(4):  # innermost brackets first; deeper nesting than this is no known layout
-        top = F.regexp_replace(top, r"<[^<>]*>", "")
-    found = []
-    for path in KNOWN_PATHS:
-        head, inner, leaf = path.partition("[].")
-        here = (F.regexp_like(schema, F.lit(rf"(?:^OBJECT<|, ){head}: ARRAY<OBJECT<{nested}\b{leaf}: ")) if inner
-                else F.regexp_like(top, F.lit(rf"(?:^|, ){head}: (?!ARRAY|OBJECT)")))
-        found.append(F.when(here, F.lit(path)))
-    return F.sha2(F.concat_ws("\n", *found), 256)
+    return F.sha2(F.concat_ws("\n", *[F.when(present(record, path), F.lit(path)) for path in KNOWN_PATHS]), 256)
 
 
 def canonical_role(role: Column) -> Column:
     out = role
     for other, name in ROLE_NAMES.items():
-        out = F.when(role == other, name).otherwise(out)
+        out = F.when(F.lower(F.trim(role)) == other, name).otherwise(out)
     return out
 
 
+def item_text(item: Column, path: str) -> Column:
+    """Text of a list's item. A list of parts gives the parts' texts, one after another; an item without the field
+    and a part without a text give their JSON."""
+    value = variant(item, path)
+    plain = F.try_variant_get(value, "$", "string")
+    parts = F.transform(items_of(value), lambda part: F.coalesce(
+        F.try_variant_get(part, "$.text", "string"), F.try_variant_get(part, "$", "string")))
+    return F.when(value.isNull(), F.try_variant_get(item, "$", "string")).otherwise(
+        F.coalesce(F.array_join(parts, ""), plain))
+
+
 def canonical_turns(records: DataFrame, id_column: str = "conv_id", record_column: str = "record") -> DataFrame:
-    """conv_id, turn, role, text from a variant column of mixed layouts.
+    """conv_id, turn, role, text, unknown, raw from a variant column of mixed layouts.
 
     Null texts and roles become empty. Turn numbers are the record's own or the place in the record.
-    A record of no known layout gives one row with a null turn, an empty role and text, and its
-    fingerprint in ``unknown``; so it is reported, not lost.
+    A record of no known layout (null and empty ones and empty lists too) gives one row with a null turn, an empty
+    role and text, its fingerprint in ``unknown`` and its JSON in ``raw``, so nothing it says is lost. Records
+    that share an id share a conversation; an empty table gives no rows. Other columns are ignored.
     """
     record = F.col("record")
     base = records.select(F.col(id_column).alias("conv_id"), F.col(record_column).alias("record"))
@@ -103,7 +125,7 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", record_colum
 
     def item_turn(role: str, text: str):
         return lambda item, i: F.struct(i.cast("bigint").alias("turn"), canonical_role(get(item, role)).alias("role"),
-                                        get(item, text).alias("text"))
+                                        item_text(item, text).alias("text"))
 
     turn_type = "array<struct<turn: bigint, role: string, text: string>>"
     mapped = F.array(F.struct(F.lit(None).alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"))).cast(turn_type)
@@ -122,9 +144,10 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", record_colum
         match = F.col("fingerprint") == fingerprint_of(layout.paths)
         mapped = F.when(match, turns.cast(turn_type)).otherwise(mapped)
         known = known | match
-    rows = base.select("conv_id", F.when(~known, F.col("fingerprint")).alias("unknown"), F.inline(mapped))
+    rows = base.select("conv_id", F.when(~known, F.col("fingerprint")).alias("unknown"),
+                       F.when(~known, F.to_json("record")).alias("raw"), F.inline(mapped))
     return rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
-                       F.coalesce("text", F.lit("")).alias("text"), "unknown")
+                       F.coalesce("text", F.lit("")).alias("text"), "unknown", "raw")
 
 
 def escaped(text: Column) -> Column:
@@ -141,8 +164,12 @@ def formatted_pieces(turns: DataFrame) -> DataFrame:
     """conv_id, turn, seq, piece, loss_start, loss_end per turn.
 
     The loss span covers an assistant's text inside the piece in code points, end excluded, and is
-    empty elsewhere. ``seq`` orders turns that share a number: by role, then text.
+    empty elsewhere. ``seq`` orders turns that share a number: by role, then text. An empty role or text gives a
+    piece without it, and a record of no known layout is a piece of its JSON. Repeated turns stay, a null turn
+    comes first, and an empty table gives no pieces.
     """
+    if "raw" in turns.columns:
+        turns = turns.withColumn("text", F.coalesce("raw", "text"))
     head = F.concat(F.lit("<| "), escaped(F.col("role")), F.lit(" |>\n"))
     body = escaped(F.col("text"))
     start = F.length(head)
@@ -173,7 +200,8 @@ def conversation_digests(parsed: DataFrame) -> DataFrame:
     """Digests over each conversation in turn order.
 
     Rows are sorted by conversation inside partitions and hashed as a stream: a conversation with a
-    third of all rows needs one task's time, but no memory beyond one batch.
+    third of all rows needs one task's time, but no memory beyond one batch. Equal rows count each; rows without
+    a conversation id are one conversation; an empty table gives no digests.
     """
     def digest(batches):
         current, state = None, None

@@ -113,8 +113,9 @@ RULES = (
     + [(name, (f"grant:{name}",)) for name in NAMES])
 
 # A sign that ends a sentence, a line without words, or a list mark at the start of a line.
-BREAK = re.compile(r"(?<=[.!?])\s+|[^\S\r\n]*(?:\r\n?|\n)(?:[^\w\r\n]*(?:\r\n?|\n))+[^\S\r\n]*"
-                   r"|(?<!version)(?:\r\n?|\n)[^\S\r\n]*(?=(?:[-–•]|\(?(?:\d{1,2}|[a-z])[.)])[^\S\r\n])", re.IGNORECASE)
+# Each run of blanks is looked at once, from its start.
+BREAK = re.compile(r"(?<=[.!?])\s+|(?<![^\S\r\n])[^\S\r\n]*(?>\r\n?|\n)(?:[^\w\r\n]*(?>\r\n?|\n))+[^\S\r\n]*"
+                   r"|(?<!version)(?>\r\n?|\n)[^\S\r\n]*(?=(?:[-–•]|\(?(?:\d{1,2}|[a-z])[.)])[^\S\r\n])", re.IGNORECASE)
 LINE = re.compile(r"[\r\n;]+")       # where a known sentence may begin or end inside a sentence
 GAP = re.compile(r"[\W_]+")
 WORD = re.compile(r"[^\W\d_]")
@@ -212,7 +213,8 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: doc_id, licences (distinct, in alphabetical order), statements (with offsets).
 
     A null or empty text, or one without a known statement, has empty lists. Every task scans its own
-    rows, so nothing is shuffled and hot sources need no care.
+    rows, so nothing is shuffled and hot sources need no care. Texts are scanned whole, in time that grows with
+    their length; repeated rows and ids give a row each, other columns are ignored, and an empty table gives no rows.
     """
     statement = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.registry import query
-from touchline.llm.storage import bounded, keep, table
+from touchline.llm.storage import bounded, keep, table, unused
 
 THRESHOLD = 2
 MIN_CHARS = 30       # code points from which the longer of two lines allows edits; shorter lines meet by digest only
@@ -272,22 +272,24 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         ((F.col("here") == first) & F.col("near").isNull()).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
+                           changed: str = "__lines_gone") -> DataFrame:
     """``docs`` (doc_id, text, a unique row number and any columns) without the lines that ``line_classes`` does
-    not keep, and with ``__lines_gone``, how many those are.
+    not keep, and with a column ``changed``, how many those are.
 
     A document that loses all its lines goes; one that lost none, also an empty or null text, is as before.
     """
     rows = docs.select(F.col(row_column).alias("row_no"), "doc_id", "text")
+    row, gone = unused(docs, "__row"), unused(docs, "__gone")
     dropped = (line_classes(rows, threshold, min_chars).where(~F.col("kept"))
-               .groupBy(F.col("row_no").alias("__row")).agg(F.collect_list("line_no").alias("__gone")))
+               .groupBy(F.col("row_no").alias(row)).agg(F.collect_list("line_no").alias(gone)))
     dropped = bounded(keep(dropped, "dropped-lines"), 100_000)
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    marked = docs.join(dropped, F.col(row_column) == F.col("__row"), "left")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return (marked.where(F.col("__gone").isNull() | (F.size(left) > 0))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    marked = docs.join(dropped, F.col(row_column) == F.col(row), "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return (marked.where(F.col(gone).isNull() | (F.size(left) > 0))
             .select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-                    F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__lines_gone")))
+                    F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(changed)))
 
 
 SQL = """

@@ -33,6 +33,14 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.monotonically_increasing_id().alias("row_no"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 # Narrow rows that may be broadcast once they have been counted; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
