@@ -17,7 +17,7 @@ from touchline.llm.language_id import UNKNOWN, fit, identified
 from touchline.llm.line_dedup import without_repeated_lines
 from touchline.llm.near_dedup import near_groups
 from touchline.llm.packing import packed
-from touchline.llm.storage import bounded, keep, prepare, table
+from touchline.llm.storage import bounded, keep, prepare, table, unused
 
 MIN_LANGUAGE_SCORE = 0.3   # least part of a text's n-grams that its language must know
 
@@ -33,16 +33,18 @@ def compared(docs: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows of ``gone`` (row_no)."""
-    gone = bounded(keep(gone.select(F.col("row_no").alias("__row")).distinct(), "gone"))
-    return placed(docs, "__row").join(gone, "__row", "left_anti").select(*docs.columns)
+    row = unused(docs, "__row")
+    gone = bounded(keep(gone.select(F.col("row_no").alias(row)).distinct(), "gone"))
+    return placed(docs, row).join(gone, row, "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose best language knows few of their n-grams."""
     prepare(spark)
-    found = docs.withColumn("__language", identified(docs, fit(docs)))
-    sure = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)
-    return found.where(sure).drop("__language")
+    name = unused(docs, "__language")
+    found = docs.withColumn(name, identified(docs, fit(docs)))
+    sure = (F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)
+    return found.where(sure).drop(name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +54,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` becomes the length of the new text where it changed.
     """
     prepare(spark)
-    left = without_repeated_lines(placed(docs, "__row_no"), "__row_no")
+    row, changed = unused(docs, "__row_no"), unused(docs, "__lines_gone")
+    left = without_repeated_lines(placed(docs, row), row, changed=changed)
     length = F.length("text").cast("bigint")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("__lines_gone") > 0, length).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(F.col(changed) > 0, length).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 
