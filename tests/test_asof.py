@@ -164,3 +164,36 @@ def test_probes_see_all_history(spark, matches_of):
     want = expected(HAND, "A", "2021-01-01")
     assert row[0]["home_goals_per_game_5g"] == pytest.approx(want["goals_per_game_5g"])
     assert row[0]["h2h_total_matches"] == 4
+
+
+def test_blocks_of_text_ids_are_bounded(spark):
+    from touchline.operators import asof
+    ids = [f"game-{i:06d}" for i in range(1, 3000)] + ["game-0011", "x"]
+    rows = spark.createDataFrame([("A", datetime.date(2020, 1, 1), i, 1) for i in ids],
+                                 "team string, date date, match_id string, one int").repartition(3)
+    sizes = rows.groupBy(asof.id_block_of(rows, ["team", "date"], 5)).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 32 and sizes[1] < 1000
+    assert asof.text_prefix(rows, ["team", "date"], 20) == asof.ID_PREFIX
+    assert asof.text_prefix(rows.limit(0), ["team", "date"], 5) == asof.ID_PREFIX
+    found = {r.match_id: r.run_one for r in asof.running_totals(rows, "team", ["one"], 5).collect()}
+    assert [found[i] for i in sorted(ids)] == list(range(1, len(ids) + 1))
+
+
+def test_feature_chain_goes_on_without_a_failed_component(spark, matches_of):
+    from touchline.plans import catalogue
+    teams, rng = "ABCD", random.Random(5)
+    m = matches_of([(str(datetime.date(2020, 1, 1) + datetime.timedelta(days=i)), *rng.sample(teams, 2), rng.randint(0, 3), rng.randint(0, 3))
+                    for i in range(60)])
+    builders = {
+        "broken": lambda m: m.select("match_id", F.raise_error(F.lit("no luck")).cast("double").alias("never")),
+        "missing": lambda m: m.select("nowhere"),
+        "form": lambda m: snapshot.match_features(m, ["rolling"])}
+    label = F.when(F.col("home_score") > F.col("away_score"), "H").otherwise("X")
+    features, report = catalogue.feature_chain(m, F.lit(datetime.date(2021, 1, 1)), label, builders)
+    told = {r.component: r for r in report.collect()}
+    assert [told[c].ok for c in ("broken", "missing", "form")] == [False, False, True]
+    assert "no luck" in told["broken"].error and told["form"].rows == 60
+    whole, _ = catalogue.feature_chain(m, F.lit(datetime.date(2021, 1, 1)), None, builders)
+    assert features.count() == whole.count() == 60
+    chosen = set(features.columns) - set(m.columns)
+    assert chosen < set(whole.columns) - set(m.columns) and len(chosen) >= 20 and "never" not in whole.columns

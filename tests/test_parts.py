@@ -161,3 +161,16 @@ def test_similar_takes_any_number_of_queries(spark):
                                          F.array(F.cos("id"), F.sin("id")).alias("vector"))
     found = similar(vectors, vectors.limit(7), 1)
     assert found.count() == found.select("query").distinct().count() > 9_000
+
+
+def test_page_layouts(spark):
+    from touchline.operators import pages
+    html = ('<section title="1st Half"><div class="stat__row">3 Fouls 4</div><div class="a-row_1"><div class="a-homeValue_1">'
+            '<b>7.5%</b></div><div class="a-category_2"><b>Fouls</b></div><div class="a-awayValue_1">8</div></div>'
+            '<div class="a-row_1"><div class="a-category_2">Nothing</div></div>'
+            '<div class="section"><div>1 of 2 Offsides 3</div></div><div class="statRow">4 Red Cards 5 6</div></section>'
+            '<div class="archive__row"></div>')
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id int, html string")
+    found = {(r.page_id, r.period, r.stat): (r.home, r.away) for r in pages.stat_rows(df).collect()}
+    assert found == {(1, "1st Half", "fouls"): (7.5, 8.0), (1, "1st Half", "offsides"): (1.0, 3.0), (1, "1st Half", "red_cards"): (4.0, 5.0)}
+    assert pages.archive_rows(df).count() == 0 and pages.odds_rows(df).count() == 0

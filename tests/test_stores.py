@@ -78,3 +78,47 @@ def test_pairs_settled_by_stronger_ones_drop_nobody_more():
     # a-b decides between a and b, b-c is first for c, a-c settles nothing new
     gone = selection.redundant(matrix, names, pairs)
     assert len(gone & {"a", "b"}) >= 1 and len(gone) <= 2
+
+
+def test_a_batch_meets_only_its_seasons(spark, tmp_path):
+    from touchline.streaming.ingest import new_matches
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    run = ingest_batch(store, str(tmp_path / "bad"), log=log)
+    first = rows(spark, [(1, "A", "B", 2), (2, "C", "D", 0), (3, None, "F", 1)])
+    run(first, 0)                                                       # the store does not exist yet
+    late = rows(spark, [(2, "C", "D", 0), (4, "G", "H", 1)])            # a late row and one that is stored
+    other = rows(spark, [(1, "A", "B", 2)]).withColumn("season", F.lit("t"))
+    bare = rows(spark, [(9, "A", "B", 2)]).withColumn("season", F.lit(None).cast("string"))
+    for batch_id, batch in ((1, late), (2, other), (3, bare), (4, bare), (2, other)):
+        run(batch, batch_id)
+    stored = spark.read.parquet(store).collect()
+    assert sorted((r.season or "", r.match_id) for r in stored) == [("", 9), ("s", 1), ("s", 2), ("s", 4), ("t", 1)]
+    found = {(r.batch_id, r.match_id): (r.status, r.reasons) for r in spark.read.parquet(log).collect()}
+    assert found == {(0, 1): ("successful", ""), (0, 2): ("successful", ""), (0, 3): ("failed", "home_team"),
+                     (1, 2): ("skipped", ""), (1, 4): ("successful", ""), (2, 1): ("successful", ""),
+                     (3, 9): ("successful", ""), (4, 9): ("skipped", "")}
+    plan = new_matches(other, spark.read.schema(other.schema).parquet(store))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan or "season#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_exact_quartiles(spark):
+    import numpy as np
+
+    from touchline.operators.aggregates import describe
+    from touchline.operators.clean import exact_quantiles
+    values = np.random.default_rng(3).normal(size=3001).tolist() + [7.0] * 500
+    df = spark.createDataFrame([(v, None, 1) for v in values], "x double, gone double, k int").repartition(4)
+    for small in (50_000, 20):
+        found = exact_quantiles(df, ["x", "gone", "k"], [0.0, 0.25, 0.5, 0.9, 1.0], small)
+        assert found["x"] == pytest.approx(np.quantile(values, [0, .25, .5, .9, 1]).tolist()) and found["k"] == [1.0] * 5
+        assert "gone" not in found
+    out = {r["column"]: r for r in describe(df, ["x", "gone"]).collect()}
+    assert out["x"]["q25"] == pytest.approx(np.quantile(values, .25)) and out["gone"]["median"] is None
+
+
+def test_redundant_features_do_not_hang_on_noise():
+    names = list("abc")
+    matrix = [[1, -1, .3], [-1, 1, -.3], [.3, -.3, 1]]
+    for noise in (0.0, 1e-13, -1e-13):
+        shaken = [[v + noise * (i + 1) if i != j else v for j, v in enumerate(row)] for i, row in enumerate(matrix)]
+        assert selection.redundant(shaken, names, selection.correlated_pairs(shaken, names)) == {"b"}

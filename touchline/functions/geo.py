@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,27 +29,20 @@ def team_city(team: Column) -> Column:
     return F.coalesce(known, F.lit(DEFAULT_CITY))
 
 
-def _coordinate(city: Column, axis: int) -> Column:
-    out = F.when(city == DEFAULT_CITY, F.lit(CITY_COORDINATES[DEFAULT_CITY][axis]))
-    for name, point in CITY_COORDINATES.items():
-        if name != DEFAULT_CITY:
-            out = out.when(city == name, F.lit(point[axis]))
-    return out
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_lat, half_lon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
-    a = F.pow(F.sin(half_lat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
-        F.sin(half_lon), 2)
-    return F.asin(F.sqrt(a)) * 2 * EARTH_RADIUS_KM
+def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
+    lat1, lon1, lat2, lon2 = map(math.radians, (*a, *b))
+    chord = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+    return math.asin(math.sqrt(chord)) * 2 * EARTH_RADIUS_KM
 
 
 def travel_km(team: Column, venue_team: Column) -> Column:
-    """Distance from the team's city to the venue team's city; 0 inside one city."""
-    here, there = team_city(team), team_city(venue_team)
-    km = haversine_km(_coordinate(here, 0), _coordinate(here, 1),
-                      _coordinate(there, 0), _coordinate(there, 1))
-    return F.when(here == there, 0.0).otherwise(km)
+    """Distance from the team's city to the venue team's city; 0 inside one city.
+
+    Cities are few and fixed, so the distances between them are a constant map, and a plan holds each name's city once.
+    """
+    between = F.create_map(*[x for a, here in CITY_COORDINATES.items() for b, there in CITY_COORDINATES.items()
+                             for x in (F.lit(f"{a}>{b}"), F.lit(0.0 if a == b else _km(here, there)))])
+    return F.element_at(between, F.concat(team_city(team), F.lit(">"), team_city(venue_team)))
 
 
 def derby_score(home: Column, away: Column) -> Column:

@@ -185,15 +185,21 @@ def stat_field(row_text: Column) -> Column:
         F.when(lowered.contains(label.lower()), F.lit(field)) for label, field in STAT_LABELS.items()])
 
 
+def stat_numbers(row_text: Column, last: bool = True) -> Column:
+    """First and last (else second) number of a row, as text; null where a row has fewer than two."""
+    numbers = F.regexp_extract_all(row_text, F.lit(r"([\d.]+)%?"), F.lit(1))
+    return F.when(F.size(numbers) >= 2, F.array(F.element_at(numbers, 1), F.element_at(numbers, -1 if last else 2)))
+
+
 def stat_values(row_text: Column, field: Column) -> Column:
     """First and last number of a row; whole numbers unless expected goals."""
-    numbers = F.regexp_extract_all(row_text, F.lit(r"([\d.]+)%?"), F.lit(1))
+    numbers = stat_numbers(row_text)
 
     def value(index: int) -> Column:
-        x = F.element_at(numbers, index).try_cast("double")
+        x = F.get(numbers, index).try_cast("double")
         return F.when(field == "expected_goals", x).otherwise(F.floor(x).cast("double"))
 
-    return F.when(F.size(numbers) >= 2, F.struct(value(1).alias("home"), value(-1).alias("away")))
+    return F.when(numbers.isNotNull(), F.struct(value(0).alias("home"), value(1).alias("away")))
 
 
 def market_type(name: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.clean import exact_quantiles
+
 INVALID_NAMES = ("", "nan", "None")
 
 
@@ -79,19 +81,18 @@ def coverage(matches: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per column, in two aggregates.
-
-    Quartiles are approximate (bounded memory) so that the summary works at any size.
-    """
-    packed = df.agg(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.count(c).alias("count"),
-                 F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                 F.min(F.col(c).cast("double")).alias("min"),
-                 F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10000).alias("q"),
-                 F.max(F.col(c).cast("double")).alias("max")) for c in columns]).alias("d"))
-    return packed.select(F.inline("d")).select(
-        "column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"),
-        F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
+    """count, mean, std, min, exact quartiles and max, one row per column; null where a column has no values."""
+    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+
+    def one(c: str) -> Column:
+        x = F.col(c).cast("double")
+        cuts = quartiles.get(c, [None] * 3)
+        return F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(x).alias("mean"),
+                        F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                        *[F.lit(v).cast("double").alias(n) for n, v in zip(("q25", "median", "q75"), cuts, strict=True)],
+                        F.max(x).alias("max"))
+
+    return df.agg(F.array(*[one(c) for c in columns]).alias("d")).select(F.inline("d"))
 
 
 def long_odds(quotes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ many matches one team owns:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,18 +98,31 @@ def days_before(key: str, days: int):
     return Window.partitionBy(key).orderBy(F.unix_date("date")).rangeBetween(-days, -1)
 
 
-def id_block(match_id: Column, integral: bool = True, bits: int = ID_BLOCK_BITS) -> Column:
-    """Coarse, order-preserving block of a match id, bounding the rows of one (key, date, block).
+def text_prefix(rows: DataFrame, by: Sequence[str], bits: int = ID_BLOCK_BITS) -> int:
+    """Least number of leading characters of ``match_id``, ``ID_PREFIX`` at least, at which no (by, prefix) holds more
+    than 2**bits rows; if only whole ids do, their length.
 
-    Integral ids give a hard bound (2**bits unique ids per block); text ids fall back to a prefix.
+    What all ids begin with is skipped, then each step counts the rows by a prefix of one more character.
     """
-    if integral:
-        return F.shiftright(match_id, bits)
-    return F.substring(match_id, 1, ID_PREFIX)
-
-
-def id_block_of(rows: DataFrame, bits: int = ID_BLOCK_BITS) -> Column:
-    return id_block(F.col("match_id"), isinstance(rows.schema["match_id"].dataType, T.IntegralType), bits)
+    match_id = F.col("match_id")
+    n, longest, first, last = rows.agg(F.count(match_id), F.max(F.length(match_id)), F.min(match_id), F.max(match_id)).first()
+    if n <= 1 << bits:
+        return ID_PREFIX
+    length = max(ID_PREFIX, len(commonprefix([first, last])) + 1)
+    while length < longest:
+        counted = rows.groupBy(*by, F.substring(match_id, 1, length).alias("blk")).count()
+        if counted.agg(F.max("count")).first()[0] <= 1 << bits:
+            break
+        length += 1
+    return length
+
+
+def id_block_of(rows: DataFrame, by: Sequence[str], bits: int = ID_BLOCK_BITS) -> Column:
+    """Coarse, order-preserving block of a match id, with at most 2**bits unique ids in a (by, block): the leading
+    bits of a number, or as many leading characters of a text as that takes."""
+    if isinstance(rows.schema["match_id"].dataType, T.IntegralType):
+        return F.shiftright("match_id", bits)
+    return F.substring("match_id", 1, text_prefix(rows, by, bits))
 
 
 def running_totals(
@@ -119,7 +133,7 @@ def running_totals(
     Three levels, so that no task ever holds a whole key: inside a (key, date, block), over the
     blocks of one date, over the dates of one key.
     """
-    rows = rows.withColumn("blk", id_block_of(rows, bits))
+    rows = rows.withColumn("blk", id_block_of(rows, [key, "date"], bits))
     inside = (
         Window.partitionBy(key, "date", "blk").orderBy("match_id").rowsBetween(UNBOUNDED, 0)
     )

@@ -104,53 +104,59 @@ def feature_columns(df: DataFrame, extra_excluded: Sequence[str] = ()) -> list[s
     return [c for c in df.columns if c not in gone]
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 50_000) -> dict[str, float]:
-    """Exact medians of all columns in bounded memory.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], small: int = 50_000) -> dict[str, list[float]]:
+    """Exact quantiles, linear between neighbours, of all columns in bounded memory; columns without values are left out.
 
-    An exact percentile keeps every distinct value, so it is only taken once a column's bracket
-    holds few of them; until then each pass over the data narrows all brackets around the middle
-    ranks by approximate percentiles, whose rank error is bounded.
+    An exact percentile keeps every distinct value, so it is only taken once the bracket of a quantile
+    holds few of them; until then each pass over the data narrows all brackets around the two ranks
+    asked for by approximate percentiles, whose rank error is bounded.
     """
     accuracy = 10_000
-    low = dict.fromkeys(columns, float("-inf"))
-    high = dict.fromkeys(columns, float("inf"))
-
-    def inside(c: str) -> Column:
-        v = F.col(c).cast("double")
-        return F.when(v.between(low[c], high[c]), v)
-
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    live = [c for c in columns if sizes[c]]
-    ranks = {c: ((sizes[c] - 1) // 2, sizes[c] // 2) for c in live}
-    open_columns = list(live)
-    below: dict[str, int] = {}
-    held: dict[str, int] = {}
-    while open_columns:
-        row = df.agg(*[a for c in open_columns for a in (
-            F.count_if(F.col(c).cast("double") < low[c]).alias(f"b_{c}"),
-            F.count(inside(c)).alias(f"n_{c}"),
-            F.approx_count_distinct(inside(c)).alias(f"d_{c}"))]).first().asDict()
-        below |= {c: row[f"b_{c}"] for c in open_columns}
-        held |= {c: row[f"n_{c}"] for c in open_columns}
-        open_columns = [c for c in open_columns if row[f"d_{c}"] > small]
-        if open_columns:
-            def share(c: str, rank: int, slack: float) -> float:
-                return min(max((rank - below[c]) / held[c] + slack, 0.0), 1.0)
-            row = df.agg(*[a for c in open_columns for a in (
-                F.percentile_approx(inside(c), share(c, ranks[c][0], -2 / accuracy), accuracy).alias(f"l_{c}"),
-                F.percentile_approx(inside(c), share(c, ranks[c][1], 2 / accuracy), accuracy).alias(f"h_{c}"),
-            )]).first().asDict()
-            low |= {c: row[f"l_{c}"] for c in open_columns}
-            high |= {c: row[f"h_{c}"] for c in open_columns}
-    if not live:
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    asked = [(c, q, n) for c, n in zip(columns, sizes, strict=True) if n for q in shares]
+    if not asked:
         return {}
+    places = [(n - 1) * q for _, q, n in asked]
+    ranks = [(int(p), min(int(p) + 1, n - 1)) for p, (_, _, n) in zip(places, asked, strict=True)]
+    low, high = [float("-inf")] * len(asked), [float("inf")] * len(asked)
+    below, held = [0] * len(asked), [0] * len(asked)
+
+    def value(i: int) -> Column:
+        return F.col(asked[i][0]).cast("double")
+
+    def inside(i: int) -> Column:
+        return F.when(value(i).between(low[i], high[i]), value(i))
+
+    wide = list(range(len(asked)))
+    while wide:
+        row = df.agg(*[a for i in wide for a in (
+            F.count_if(value(i) < low[i]).alias(f"b{i}"), F.count(inside(i)).alias(f"n{i}"),
+            F.approx_count_distinct(inside(i)).alias(f"d{i}"))]).first()
+        for i in wide:
+            below[i], held[i] = row[f"b{i}"], row[f"n{i}"]
+        wide = [i for i in wide if row[f"d{i}"] > small]
+        if wide:
+            def share(i: int, rank: int, slack: float) -> float:
+                return min(max((rank - below[i]) / held[i] + slack, 0.0), 1.0)
+            row = df.agg(*[a for i in wide for a in (
+                F.percentile_approx(inside(i), share(i, ranks[i][0], -2 / accuracy), accuracy).alias(f"l{i}"),
+                F.percentile_approx(inside(i), share(i, ranks[i][1], 2 / accuracy), accuracy).alias(f"h{i}"))]).first()
+            for i in wide:
+                low[i], high[i] = row[f"l{i}"], row[f"h{i}"]
+
+    def at(i: int, rank: int) -> Column:
+        return F.percentile(inside(i), (rank - below[i]) / max(held[i] - 1, 1))
+
+    row = df.agg(*[at(i, rank).alias(f"v{i}_{k}") for i in range(len(asked)) for k, rank in enumerate(ranks[i])]).first()
+    out: dict[str, list[float]] = {}
+    for i, (c, _, _) in enumerate(asked):
+        first, second = row[f"v{i}_0"], row[f"v{i}_1"]
+        out.setdefault(c, []).append(first + (places[i] - ranks[i][0]) * (second - first))
+    return out
 
-    def at(c: str, rank: int) -> Column:
-        width = max(held[c] - 1, 1)
-        return F.percentile(inside(c), (rank - below[c]) / width)
 
-    row = df.agg(*[((at(c, ranks[c][0]) + at(c, ranks[c][1])) / 2).alias(c) for c in live]).first()
-    return row.asDict()
+def exact_medians(df: DataFrame, columns: Sequence[str], small: int = 50_000) -> dict[str, float]:
+    return {c: v for c, (v,) in exact_quantiles(df, columns, [0.5], small).items()}
 
 
 def impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from touchline.operators.asof import running_totals
 
-HASH_BLOCK_SHIFT = 52  # top 12 bits of the hash: 4096 blocks
+HASH_BLOCK_SHIFT = 44  # top 20 bits of the hash: 2**40 rows make a million blocks of a million rows
 
 
 def blocked_rank(df: DataFrame, group: str, block: Column, *order: Column) -> DataFrame:

@@ -24,6 +24,17 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", " ")
 
 
+def blocks(html: Column, start: str) -> Column:
+    """Parts of a page, each from one match of ``start`` to the next; what comes before the first is left out."""
+    parts = F.split(F.concat(F.lit(" "), html), f"(?={start})")
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
+def inner_text(html: Column, cls: str) -> Column:
+    """Text of the first element with a class that contains ``cls``, below any number of opening tags."""
+    return F.regexp_extract(html, rf'class="[^"]*{cls}[^"]*"[^>]*>(?:<[^/>][^>]*>)*([^<]*)', 1)
+
+
 def links(pages: DataFrame, keep: str | None = None) -> DataFrame:
     """Distinct links of all pages, optionally only those containing ``keep``."""
     found = pages.select(F.explode(all_matches(F.col("html"), r'href="([^"]+)"')).alias("url"))
@@ -44,6 +55,17 @@ def league_rows(pages: DataFrame) -> DataFrame:
         F.regexp_extract(html, r'<span class="winner">([^<]*)</span>', 1).alias("winner"))
 
 
+def archive_rows(pages: DataFrame) -> DataFrame:
+    """(page, name, url, winner) of every row of a season's archive; winner is empty when a row names none, and
+    a row without a named link is left out."""
+    rows = pages.select("page_id", F.explode(blocks(F.col("html"), '<div class="archive__row"')).alias("row"))
+    link = F.regexp_extract("row", r'(<a [^>]*class="archive__text archive__text--clickable"[^>]*>[^<]*)', 1)
+    return rows.select(
+        "page_id", text.strip(F.regexp_extract(link, r">([^<]*)$", 1)).alias("name"),
+        F.regexp_extract(link, r'href="([^"]*)"', 1).alias("url"),
+        text.strip(inner_text(F.col("row"), "archive__winner")).alias("winner")).where("name <> ''")
+
+
 def match_records(pages: DataFrame) -> DataFrame:
     """Typed match fields of each page; unreadable fields stay null with a quarantine reason."""
     html = F.col("html")
@@ -92,20 +114,63 @@ def match_records(pages: DataFrame) -> DataFrame:
     return out.withColumn("quarantine", reason)
 
 
+def _stat_candidates(section: Column) -> Column:
+    """Rows of a section that may show a statistic, best layout first: array<struct<layout, label, numbers>>.
+
+    A component row holds label, home value and away value in elements of their own; a plain row is one text
+    with the values as its first two numbers; any other row of a list has them first and last.
+    """
+    number = r"[\d.]+"
+
+    def component(row: Column) -> Column:
+        labels = all_matches(row, r'(?:<strong[^>]*data-testid="wcl-scores-simpleText[^>]*>|class="[^"]*-category_[^"]*"[^>]*>)'
+                                  r'(?:<[^/>][^>]*>)*([^<]*)')
+        named = F.array(*[F.regexp_extract(inner_text(row, f"-{side}Value_"), number, 0) for side in ("home", "away")])
+        shown = F.transform(F.slice(all_matches(row, r'class="[^"]*-value_[^"]*"[^>]*>(?:<[^/>][^>]*>)*([^<]*)'), 1, 2),
+                            lambda x: F.regexp_extract(x, number, 0))
+        return F.struct(F.lit(0).alias("layout"), F.array_join(labels, " ").alias("label"),
+                        F.when(~F.array_contains(named, ""), named).otherwise(shown).alias("numbers"))
+
+    def row_of(layout: int, last: bool):
+        return lambda row: F.struct(F.lit(layout).alias("layout"), row.alias("label"), text.stat_numbers(row, last).alias("numbers"))
+
+    lists = all_matches(section, r'<div class="section">((?:<div>[^<]*</div>)*)</div>')
+    return F.concat(
+        F.transform(blocks(section, r'<div class="[^"]*-row_'), component),
+        F.transform(all_matches(section, r'class="(?:stat__row|statRow)">([^<]*)<'), row_of(1, False)),
+        F.transform(all_matches(F.array_join(lists, ""), r"<div>([^<]*)</div>"), row_of(2, True)))
+
+
 def stat_rows(pages: DataFrame) -> DataFrame:
-    """(page, period, stat, home, away); the first row of a page showing a statistic wins."""
+    """(page, period, stat, home, away); of several rows showing a statistic the best layout wins, then the first."""
     sections = pages.select(
         "page_id", F.explode(all_matches(F.col("html"), r"(<section title=.*?</section>)")).alias("sec"))
     rows = sections.select(
         "page_id", F.regexp_extract("sec", r'title="([^"]*)"', 1).alias("period"),
-        F.posexplode(all_matches(F.col("sec"), r'class="stat__row">([^<]*)<')).alias("pos", "row"))
-    typed = rows.withColumn("stat", text.stat_field(F.col("row"))) \
-        .withColumn("v", text.stat_values(F.col("row"), F.col("stat"))) \
-        .where(F.col("stat").isNotNull() & F.col("v").isNotNull())
-    return typed.groupBy("page_id", "period", "stat").agg(F.min_by("v", "pos").alias("v")).select(
+        F.posexplode(_stat_candidates(F.col("sec"))).alias("pos", "row")).select("page_id", "period", "pos", "row.*")
+
+    def value(index: int) -> Column:
+        x = F.get("numbers", F.lit(index)).try_cast("double")
+        return F.when((F.col("layout") == 0) | (F.col("stat") == "expected_goals"), x).otherwise(F.floor(x).cast("double"))
+
+    typed = (rows.withColumn("stat", text.stat_field(F.col("label")))
+             .withColumn("v", F.struct(value(0).alias("home"), value(1).alias("away")))
+             .where(F.col("stat").isNotNull() & F.col("v.home").isNotNull() & F.col("v.away").isNotNull()))
+    best = F.struct("layout", "pos")
+    return typed.groupBy("page_id", "period", "stat").agg(F.min_by("v", best).alias("v")).select(
         "page_id", "period", "stat", F.col("v.home").alias("home"), F.col("v.away").alias("away"))
 
 
+def shared_total(table: Column) -> Column:
+    """The total that a table's header gives for all its rows: the number beside the first OVER or UNDER, unless a
+    header named TOTAL comes first, whose rows have their own."""
+    def decides(head: Column) -> Column:
+        return F.upper(head).contains("TOTAL") | (F.upper(head).rlike("OVER|UNDER") & head.rlike(r"\d"))
+
+    head = F.get(F.filter(all_matches(table, r"<th[^>]*>([^<]*)</th>"), decides), F.lit(0))
+    return F.when(~F.upper(head).contains("TOTAL"), F.regexp_extract(head, r"(\d+\.?\d*)", 1).try_cast("double"))
+
+
 def odds_rows(pages: DataFrame) -> DataFrame:
     """Long odds: (page, market, period, bookmaker, line, selection, price), valid rows only.
 
@@ -117,10 +182,11 @@ def odds_rows(pages: DataFrame) -> DataFrame:
         "page_id",
         F.regexp_extract("t", r'data-market="([^"]*)"', 1).alias("market_name"),
         F.regexp_extract("t", r'data-period="([^"]*)"', 1).alias("period_label"),
+        shared_total(F.col("t")).alias("shared"),
         F.explode(all_matches(F.col("t"), r"<tr>(.*?)</tr>")).alias("row"))
     cells = rows.select(
         "page_id", text.market_type(F.col("market_name")).alias("market"),
-        text.period_name(F.col("period_label")).alias("period"), "row",
+        text.period_name(F.col("period_label")).alias("period"), "row", "shared",
         all_matches(F.col("row"), r"<td>(.*?)</td>").alias("cells"),
         F.regexp_extract("row", r'<img alt="([^"]*)"', 1).alias("logo"),
         F.regexp_replace("row", r'<img alt="|<[^>]+>', " ").alias("row_text"))
@@ -132,7 +198,7 @@ def odds_rows(pages: DataFrame) -> DataFrame:
     ).when(F.col("market") != "correct_score", text.bookmaker_or_unknown(name, name)))
     total = F.regexp_extract("row", r'<td class="total">[^<]*?(\d+\.?\d*)', 1).try_cast("double")
     cells = cells.withColumn("line", F.when(
-        F.col("market") == "over_under", F.coalesce(total, F.lit(2.5))))
+        F.col("market") == "over_under", F.coalesce("shared", total, F.lit(2.5))))
     price = [text.parse_odds(F.get("cells", i)) for i in (1, 2, 3)]
     cells = cells.select("page_id", "market", "period", "bookmaker", "line", "cells",
                          *[p.alias(f"p{i}") for i, p in enumerate(price, 1)])

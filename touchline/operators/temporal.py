@@ -70,7 +70,7 @@ def decayed_days(rows: DataFrame) -> DataFrame:
     blocks, so a date with any number of matches is never one window.
     """
     q = F.lit(MOMENTUM_DECAY)
-    rows = rows.select(KEY, "date", "match_id", "points").withColumn("blk", id_block_of(rows))
+    rows = rows.select(KEY, "date", "match_id", "points").withColumn("blk", id_block_of(rows, [KEY, "date"]))
     newest = Window.partitionBy(KEY, "date", "blk").orderBy(F.col("match_id").desc())
     blocks = rows.withColumn("age", F.row_number().over(newest) - 1).groupBy(KEY, "date", "blk").agg(
         F.sum(F.col("points") * F.pow(q, F.col("age"))).alias("decayed"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ MODULES = [
     "contextual_queries",
     "advanced_queries",
     "page_queries",
+    "layout_queries",
     "loader_queries",
     "name_queries",
     "model_queries",

@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from touchline.operators import snapshot
+from touchline.operators import selection, snapshot
+from touchline.session import stored
 
 # Name parts that decide a feature's category, first hit wins.
 CATEGORIES = [
@@ -101,23 +103,53 @@ def build_features(matches: DataFrame, as_of: Column, enabled=("temporal", "cont
         matches, families, as_of if "contextual" in enabled else None, probes)
 
 
-def component_report(matches: DataFrame, as_of: Column,
-                     builders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Run each component on its own; a failing one is reported and the others go on.
+Builders = dict[str, Callable[[DataFrame], DataFrame]]
+REPORT_SCHEMA = "component string, ok boolean, features_added int, rows long, seconds double, error string"
 
-    (component, ok, features_added, rows, seconds, error)
+
+def built_components(matches: DataFrame, as_of: Column, builders: Builders | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, report): each component is built on its own and written as match_id and its features. One that fails is
+    reported and left out, the others go on.
+
+    The report has (component, ok, features_added, rows, seconds, error).
     """
     builders = builders or {
         name: lambda m, name=name: build_features(m, as_of, (name,)) for name in COMPONENTS}
-    rows = []
+    tables, rows = {}, []
     for name, build in builders.items():
         started = time.time()
         try:
             built = build(matches)
-            added = len(set(built.columns) - set(matches.columns))
-            n = built.agg(F.count("*"), *[F.count(c) for c in built.columns]).first()[0]
-            rows.append((name, True, added, n, time.time() - started, None))
+            added = [c for c in built.columns if c not in set(matches.columns)]
+            table = stored(built.select("match_id", *added), f"component-{name}")
+            rows.append((name, True, len(added), table.count(), time.time() - started, None))
+            tables[name] = table
         except Exception as e:  # noqa: BLE001 - isolation is the point
-            rows.append((name, False, 0, 0, time.time() - started, str(e)[:200]))
-    return matches.sparkSession.createDataFrame(
-        rows, "component string, ok boolean, features_added int, rows long, seconds double, error string")
+            rows.append((name, False, 0, 0, time.time() - started, str(e)))
+    return tables, matches.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def component_report(matches: DataFrame, as_of: Column, builders: Builders | None = None) -> DataFrame:
+    return built_components(matches, as_of, builders)[1]
+
+
+def feature_chain(matches: DataFrame, as_of: Column, label: Column | None = None,
+                  builders: Builders | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, report): the matches with the features of all components that did not fail.
+
+    With ``label`` selection is the last step: numeric features are scored on the rows that have one, and those not
+    chosen are dropped. A feature that two components make comes from the first.
+    """
+    tables, report = built_components(matches, as_of, builders)
+    out, features = matches, []
+    for table in tables.values():
+        mine = [c for c in table.columns if c != "match_id" and c not in features]
+        out = out.join(table.select("match_id", *mine), "match_id", "left")
+        features += mine
+    if label is None or not features:
+        return out, report
+    numbers = [f.name for f in out.select(*features).schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    scored = out.withColumn("_label", label).where(F.col("_label").isNotNull())
+    chosen, _ = selection.select(stored(scored.select("match_id", "_label", *[F.col(c).cast("double").alias(c) for c in numbers]),
+                                        "selection"), numbers, "_label")
+    return out.select(*matches.columns, *chosen), report

@@ -512,9 +512,10 @@ def result_shares(spark, sf_dir):
 
 @query("A05_describe", (
     f"{M}, {SCORED}, w as (select {_WEIGHT_SQL} as w from m2) select 'temporal_weight' as column, count(*) as count, {r('avg(w)')} as mean,"
-    f" {r('stddev_samp(w)')} as std, {r('min(w)')} as min, {r('max(w)')} as max from w"))
+    f" {r('stddev_samp(w)')} as std, {r('min(w)')} as min, {r('quantile_cont(w, 0.25)')} as q25, {r('quantile_cont(w, 0.5)')} as median,"
+    f" {r('quantile_cont(w, 0.75)')} as q75, {r('max(w)')} as max from w"))
 def describe(spark, sf_dir):
-    return rounded(aggregates.describe(weighted(spark, sf_dir), ["temporal_weight"]).drop("q25", "median", "q75"))
+    return rounded(aggregates.describe(weighted(spark, sf_dir), ["temporal_weight"]))
 
 
 _QUALITY = {"home_score": "home_score", "away_score": "away_score", "p": _H1}
@@ -590,12 +591,6 @@ def run_summary(spark, sf_dir):
     return rounded(aggregates.run_summary(matches(spark, sf_dir).selectExpr(f"{_STATUS} as status")))
 
 
-@query("X08_ingest_log", f"{M}, l as (select season, {_STATUS} as status from m) select season, status, count(*) as n from l group by all")
-def ingest_log(spark, sf_dir):
-    return matches(spark, sf_dir).selectExpr("season", f"{_STATUS} as status").groupBy("season", "status").agg(
-        F.count("*").alias("n"))
-
-
 # --- sorts, limits, sets -----------------------------------------------------------------------
 
 @query("O01_sort_by_date", f"{M} select match_id, date from m")

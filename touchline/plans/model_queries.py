@@ -12,12 +12,13 @@ from touchline.operators import (
 )
 from touchline.operators.asof import match_sides
 from touchline.plans import catalogue
-from touchline.plans.loader_queries import PRICES, TEAM_TABLE_SQL, _HDA
+from touchline.plans.loader_queries import PRICES, TEAM_TABLE_SQL, _HDA, flat, flat_sql
 from touchline.plans.oracle_text import snapshot_sql
 from touchline.plans.registry import query, r, rounded
-from touchline.plans.temporal_queries import ROLLING_SQL, rolling_parts, sided
+from touchline.plans.temporal_queries import ROLLING_SQL, TEMPORAL_SNAP, TEMPORAL_SQL, rolling_parts, sided
 from touchline.schemas import STATISTICS
 from touchline.session import fresh_dir, stored
+from touchline.sources import documents
 from touchline.sources.match_documents import stat_sql
 from touchline.sources.views import MATCHES_SQL, ODDS_SQL, matches, odds_quotes, table
 
@@ -493,26 +494,73 @@ def correlation(spark, sf_dir):
     return rounded(spark.createDataFrame(pairs, "a string, b string, correlation double"))
 
 
+# Columns of the flat match row that features are selected from; missing values count as 0.
+FLAT_FEATURES = (
+    [f"{name}_{side}" for name, _, _ in documents.FULL_TIME_COLUMNS for side in ("home", "away")]
+    + [f"{name}_{half}_{side}" for half in ("1h", "2h") for name, _ in documents.HALF_COLUMNS for side in ("home", "away")]
+    + [f"odds_{n}" for n in ("home_win", "draw", "away_win", "over_2_5", "under_2_5")]
+    + [f"implied_prob_{n}" for n in ("home", "draw", "away")])
+
+
+def flat_rows(spark, sf_dir):
+    return _kept(spark, sf_dir, "flat", lambda: rounded(flat(spark, sf_dir)).select(
+        "match_id", "goal_difference", F.col("result").alias("label"), *FLAT_FEATURES))
+
+
 def _analysis(spark, sf_dir):
-    rows = feature_rows(spark, sf_dir)
-    matrix = selection.correlation_matrix(rows, MODEL_FEATURES)
-    return matrix, selection.correlated_pairs(matrix, MODEL_FEATURES, 0.6)
+    matrix = selection.correlation_matrix(flat_rows(spark, sf_dir), FLAT_FEATURES)
+    return matrix, selection.correlated_pairs(matrix, FLAT_FEATURES)
+
 
+def _pairs_of(names, expr):
+    return ", ".join(f"{{'i': {i}, 'j': {j}, 'c': {expr(names[i], names[j])}}}"
+                     for i in range(len(names)) for j in range(len(names)) if i <= j)
 
-@query("M26_redundant_features")
+
+# cm: correlations of all ordered pairs of features; gone: redundant ones; vf: inflation of each.
+_SELECTION_SQL = (
+    f"with fl as ({flat_sql()}), f as (select goal_difference as gd, " + ", ".join(f"coalesce({c}, 0)::double as {c}" for c in FLAT_FEATURES) + " from fl),"
+    f" up as (select unnest([{_pairs_of(FLAT_FEATURES, lambda a, b: '1.0::double' if a == b else f'corr({a}, {b})')}], recursive := true) from f),"
+    " ok as (select i, j, case when isfinite(c) then c end as c from up),"
+    " cm as (select i, j, c from ok union all select j, i, c from ok where i <> j),"
+    " vr as (select i, coalesce(round(var_samp(c), 9), 0) as v from cm group by i),"
+    " rk as (select i, j, row_number() over (order by round(abs(c), 9) desc, i, j) as k from ok where i < j and abs(c) >= 0.95),"
+    " fs as (select x, min(k) as k from (select i as x, k from rk union all select j, k from rk) group by x),"
+    " dc as (select i, j from rk where k = (select k from fs where x = i) or k = (select k from fs where x = j)),"
+    " gone as (select distinct case when a.v >= b.v then j else i end as x from dc join vr a using (i) join vr b on b.i = j),"
+    " vf as (select i as x, least(1 / greatest(1 - pow(coalesce(max(abs(c)) filter (where i <> j), 0), 2), 0.01), 10.0) as vif from cm group by i),"
+    f" nm as (select unnest(range({len(FLAT_FEATURES)})) as x, unnest([{', '.join(repr(c) for c in FLAT_FEATURES)}]) as feature)")
+
+
+@query("M26_redundant_features", _SELECTION_SQL + " select feature, x in (select x from gone) as redundant from nm")
 def redundant_features(spark, sf_dir):
     matrix, pairs = _analysis(spark, sf_dir)
-    gone = selection.redundant(matrix, MODEL_FEATURES, pairs)
-    return spark.createDataFrame([(f, f in gone) for f in MODEL_FEATURES], "feature string, redundant boolean")
+    gone = selection.redundant(matrix, FLAT_FEATURES, pairs)
+    return spark.createDataFrame([(f, f in gone) for f in FLAT_FEATURES], "feature string, redundant boolean")
 
 
 @query("M27_feature_clusters")
 def feature_clusters(spark, sf_dir):
     matrix, _ = _analysis(spark, sf_dir)
-    groups = selection.clusters(matrix, MODEL_FEATURES, 0.5)
+    groups = selection.clusters(matrix, FLAT_FEATURES)
     return spark.createDataFrame([(i, f) for i, g in enumerate(groups) for f in g], "cluster int, feature string")
 
 
+@query("M27_cluster_heads", _SELECTION_SQL + (
+    ", lk as (select i, j from cm where i <> j and abs(c) >= 0.95 * 0.8)"
+    " select (select count(*) from nm where x in (select i from lk)) as linked, true as disjoint, true as tied"))
+def cluster_heads(spark, sf_dir):
+    """Features with a partner, whether no feature is in two clusters, and whether every member is tied to its head."""
+    matrix, _ = _analysis(spark, sf_dir)
+    place = {f: i for i, f in enumerate(FLAT_FEATURES)}
+    groups = selection.clusters(matrix, FLAT_FEATURES)
+    members = [f for g in groups for f in g]
+    least = selection.CORRELATED * selection.CLUSTER_SHARE
+    linked = sum(any(abs(c) >= least for j, c in enumerate(row) if j != i) for i, row in enumerate(matrix))
+    tied = all(abs(matrix[place[g[0]]][place[f]]) >= least for g in groups for f in g[1:])
+    return spark.createDataFrame([(linked, len(members) == len(set(members)), tied)], "linked long, disjoint boolean, tied boolean")
+
+
 @query("M28_vif", " union all ".join(
     f"select '{a}' as feature, {r('least(1/greatest(1-pow(greatest(' + ','.join(f'abs(corr({a},{b}))' for b in LINE_COLS if b != a) + '),2),0.01),10.0)')} as vif from lineitem"
     for a in LINE_COLS))
@@ -521,8 +569,15 @@ def vif(spark, sf_dir):
     return rounded(spark.createDataFrame(list(selection.vif(matrix, LINE_COLS).items()), "feature string, vif double"))
 
 
+_SELECTIONS: dict[tuple[str, str], tuple] = {}
+
+
 def _selected(spark, sf_dir):
-    return selection.select(labelled(spark, sf_dir), MODEL_FEATURES, "label")
+    """The selection over the flat match columns, made once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SELECTIONS:
+        _SELECTIONS[key] = selection.select(flat_rows(spark, sf_dir).where("label is not null"), FLAT_FEATURES, "label")
+    return _SELECTIONS[key]
 
 
 @query("M29_select_features")
@@ -533,15 +588,29 @@ def select_features(spark, sf_dir):
 
 @query("M30_domain_priorities")
 def domain_priorities(spark, sf_dir):
-    measured = {x[0]: x[1] for x in catalogue.measured_importance(spark, matches(spark, sf_dir)).collect()}
-    kept = selection.trim_low_priority(set(measured), measured, most=25)
+    """Which columns stay of the contextual and advanced features of all matches when the cap is ten below their number."""
+    scores = _kept(spark, sf_dir, "associations", lambda: _associations(spark, sf_dir))
+    measured = {x[0]: x[1] for x in scores.collect()}     # one entry per feature
+    kept = selection.trim_low_priority(set(measured), measured, most=len(measured) - 10)
     return spark.createDataFrame([(f, f in kept) for f in sorted(measured)], "feature string, kept boolean")
 
 
 @query("M31_selection_report")
 def selection_report(spark, sf_dir):
     chosen, analysis = _selected(spark, sf_dir)
-    return rounded(spark.createDataFrame([{k: float(v) for k, v in selection.report(MODEL_FEATURES, chosen, analysis).items()}]))
+    return rounded(spark.createDataFrame([{k: float(v) for k, v in selection.report(FLAT_FEATURES, chosen, analysis).items()}]))
+
+
+_LABELLED_SELECTION_SQL = _SELECTION_SQL.replace(" from fl),", " from fl where home_score is not null),", 1)
+
+
+@query("M31_selection_counts", _LABELLED_SELECTION_SQL + (
+    " select (select count(*) from nm) as total_features, (select count(*) from rk) as correlated_pairs, (select count(*) from gone) as redundant"))
+def selection_counts(spark, sf_dir):
+    chosen, analysis = _selected(spark, sf_dir)
+    found = selection.report(FLAT_FEATURES, chosen, analysis)
+    names = ("total_features", "correlated_pairs", "redundant")
+    return spark.createDataFrame([tuple(int(found[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 _RA, _RF = rolling_parts(ROLLING_SQL)
@@ -559,6 +628,22 @@ def feature_vector(spark, sf_dir):
     return rounded(models.assemble(rows, names).select("match_id", *[v[i].alias(f"v{i}") for i in range(len(names))]))
 
 
+_PROBE_COLS = [k for k in _RF if k.endswith("_5g")]
+
+
+@query("J09_probe_features", sided(
+    snapshot_sql({k: v for k, v in _RA.items() if k.endswith("_5")}, {k: _RF[k] for k in _PROBE_COLS}, 5),
+    ", ".join(f"{s[0]}.{k} as {s}_{k}" for s in ("home", "away") for k in _PROBE_COLS)
+).replace("select m.match_id,", "select m.match_id + 1000000000000 as match_id,"))
+def probe_features(spark, sf_dir):
+    """Features of a fixture added for every match: those of the match itself, since neither is its own history."""
+    m = matches(spark, sf_dir)
+    probes = m.withColumns({"match_id": F.col("match_id") + 10**12, "status": F.lit("PROBE"), **{
+        f"{s}_score": F.lit(None).cast("int") for s in ("home", "away")}})
+    rows = snapshot.match_features(m, ["rolling"], probes=probes)
+    return rounded(rows.select("match_id", *[f"{s}_{k}" for s in ("home", "away") for k in _PROBE_COLS]))
+
+
 # --- measured catalogue --------------------------------------------------------------------------
 
 _FEATS = [(f"{s}_{side}", e) for s in STATISTICS for side, e in zip(("home", "away"), stat_sql(s), strict=True)]
@@ -590,10 +675,26 @@ def top_features(spark, sf_dir):
         F.col("importance_score").desc(), "feature_name").limit(10))
 
 
-@query("U02_feature_difference", MEASURED_SQL + " select feature_name from ms except select feature_name from ms where importance_score < 0.01")
+_LOW_SQL = ", ".join(f"{{'feature': '{c}', 's': abs(corr({c}, gd))}}" for c in FLAT_FEATURES)
+
+
+@query("U02_feature_difference", _SELECTION_SQL + (
+    f", lw as (select feature from (select unnest([{_LOW_SQL}], recursive := true) from f where gd is not null) where not coalesce(isfinite(s) and s >= 0.01, false))"
+    " select feature as feature_name from nm except select feature from lw except select feature from nm join gone using (x)"
+    " except select feature from nm join vf using (x) where vif > 5"))
 def feature_difference(spark, sf_dir):
-    ms = catalogue.measured_importance(spark, matches(spark, sf_dir)).select("feature_name", "importance_score")
-    return ms.select("feature_name").exceptAll(ms.where("importance_score < 0.01").select("feature_name"))
+    """All features less those of low importance, the redundant and the collinear ones."""
+    rows = flat_rows(spark, sf_dir).na.fill(0.0, FLAT_FEATURES)
+    scores = catalogue.association(rows.where("goal_difference is not null"), F.col("goal_difference"), FLAT_FEATURES)
+    matrix, pairs = _analysis(spark, sf_dir)
+    inflated = [f for f, v in selection.vif(matrix, FLAT_FEATURES).items() if v > selection.MAX_VIF]
+
+    def names(values):
+        return spark.createDataFrame([(v,) for v in values], "feature_name string")
+
+    low = scores.where(F.col("importance_score") < selection.LOW_IMPORTANCE).select("feature_name")
+    return (names(FLAT_FEATURES).exceptAll(low).subtract(names(selection.redundant(matrix, FLAT_FEATURES, pairs)))
+            .subtract(names(inflated)))
 
 
 @query("U03_feature_intersection", MEASURED_SQL + " select feature_name from ms where importance_score >= 0.01 and feature_name like '%_home'")
@@ -617,11 +718,43 @@ def processing_report(spark, sf_dir):
     return rounded(cat.groupBy("category").agg(F.count("*").alias("features"), F.avg("importance_score").alias("mean_importance")))
 
 
+def _associations(spark, sf_dir):
+    """Association with the goal difference of every contextual and advanced feature of every scored match."""
+    m = matches(spark, sf_dir).where("home_score is not null")
+    built = catalogue.build_features(m, F.lit(AS_OF), ("contextual", "advanced"))
+    kinds = dict(built.dtypes)
+    names = [c for c in clean.feature_columns(built, m.columns) if kinds[c] in ("double", "float", "int", "bigint", "boolean")]
+    built = built.withColumn("goal_difference", F.col("home_score") - F.col("away_score"))
+    return catalogue.association(built, F.col("goal_difference"), names)
+
+
 @query("D63_all_features")
 def all_features(spark, sf_dir):
     return rounded(catalogue.build_features(matches(spark, sf_dir), F.lit(AS_OF)))
 
 
+@query("D63_temporal_part", sided(TEMPORAL_SNAP, ", ".join(
+    f"{s[0]}.{k} as {s}_{k}" for s in ("home", "away") for k in TEMPORAL_SQL)))
+def temporal_part(spark, sf_dir):
+    """The temporal columns of the whole chain, both sides."""
+    built = catalogue.build_features(matches(spark, sf_dir), F.lit(AS_OF))
+    return rounded(built.select("match_id", *[f"{s}_{k}" for s in ("home", "away") for k in TEMPORAL_SQL]))
+
+
+def _broken(m):
+    return m.select("match_id", F.raise_error(F.lit("broken")).cast("double").alias("never"))
+
+
+@query("P19_isolated_components", (
+    f"{M} select 'broken' as component, false as ok, 0::bigint as rows, true as told"
+    " union all select 'contextual', true, count(*), false from m union all select 'temporal', true, count(*), false from m"))
+def isolated_components(spark, sf_dir):
+    """A component that fails while it runs is told of, and those after it go on."""
+    built = {name: lambda m, name=name: catalogue.build_features(m, F.lit(AS_OF), (name,)) for name in ("temporal", "contextual")}
+    report = catalogue.component_report(matches(spark, sf_dir), F.lit(AS_OF), {"broken": _broken, **built})
+    return report.select("component", "ok", "rows", F.coalesce(F.col("error").contains("broken"), F.lit(False)).alias("told"))
+
+
 @query("P19_component_report")
 def component_report(spark, sf_dir):
     return catalogue.component_report(matches(spark, sf_dir), F.lit(AS_OF)).select("component", "ok", "features_added", "rows")
@@ -757,3 +890,21 @@ def refresh_features(spark, sf_dir):
     start_ingest(spark.readStream.schema(schema).json(path), store, bad, state, refresh).awaitTermination()
     return rounded(spark.read.parquet(out).select(
         "team", "date", "matches_before", *[k for k in _RF if k.endswith("_5g")]))
+
+
+@query("X08_ingest_log", (
+    f"{M}, l as (select season, match_id%43=0 as bad, match_id%4=0 as twice from m), o as (select season, 1 as run,"
+    " case when bad then 'failed' else 'successful' end as status, case when bad and twice then 2 else 1 end as n from l"
+    " union all select season, 2, case when bad then 'failed' else 'skipped' end, case when bad and twice then 2 else 1 end from l)"
+    " select run, season, status, case when status='failed' then 'home_team' else '' end as reasons, sum(n)::bigint as n from o group by all"))
+def ingest_log(spark, sf_dir):
+    """Outcomes that two ingest runs over the same landing folder wrote down; the second finds every match stored."""
+    from touchline.streaming.ingest import start_ingest
+    path, schema = _landed(spark, sf_dir)
+    store, bad = (fresh_dir(spark, n) for n in ("store", "quarantine"))
+    logs = []
+    for run in (1, 2):
+        state, log = (fresh_dir(spark, n) for n in ("stream", "log"))
+        start_ingest(spark.readStream.schema(schema).json(path), store, bad, state, log=log).awaitTermination()
+        logs.append(spark.read.parquet(log).withColumn("run", F.lit(run)))
+    return logs[0].unionByName(logs[1]).groupBy("run", "season", "status", "reasons").agg(F.count("*").alias("n"))

@@ -14,6 +14,7 @@ from touchline.operators.snapshot import team_snapshot
 from touchline.session import stored
 
 TEAM_BUCKETS = 64
+KEY = ["season", "match_id"]
 
 
 def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,15 +27,30 @@ def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def one_per_match(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Of repeated ids the greatest row: by the columns of ``order``, then by all others."""
+    """Of rows with the same season and id the greatest: by the columns of ``order``, then by all others."""
     rank = [*order, *(c for c in batch.columns if c not in order)]
-    rows = batch.groupBy("match_id").agg(F.max_by(F.struct(*batch.columns), F.struct(*rank)).alias("row"))
+    rows = batch.groupBy(*KEY).agg(F.max_by(F.struct(*batch.columns), F.struct(*rank)).alias("row"))
     return rows.select("row.*")
 
 
 def new_matches(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows whose id is not stored yet, under any season."""
-    return batch.join(store.select("match_id"), "match_id", "left_anti")
+    """Rows whose season and id are not stored yet. Of a store partitioned by season only the seasons of the batch
+    are read, and of those the ids; rows without a season are compared with each other."""
+    seasons = [row["season"] for row in batch.select("season").distinct().toLocalIterator()]   # an entry per season
+    season = F.col("season")
+    there = store.where(season.isin([s for s in seasons if s is not None])
+                        | (season.isNull() if None in seasons else F.lit(False))).select(*KEY)
+    same = (F.col("new.match_id") == F.col("old.match_id")) & F.col("new.season").eqNullSafe(F.col("old.season"))
+    return batch.alias("new").join(there.alias("old"), same, "left_anti").select("new.*")
+
+
+def outcomes(valid: DataFrame, fresh: DataFrame, bad: DataFrame) -> DataFrame:
+    """The log of a batch: season, match_id, status, reasons. Stored matches were successful, those that stood in the
+    store before were skipped, and every quarantined row failed, for the reasons given."""
+    done = new_matches(valid, fresh).select(*KEY, F.lit("skipped").alias("status")).unionByName(
+        fresh.select(*KEY, F.lit("successful").alias("status")))
+    return done.withColumn("reasons", F.lit("")).unionByName(
+        bad.select(*KEY, F.lit("failed").alias("status"), F.array_join("reasons", ",").alias("reasons")))
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -47,16 +63,24 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def ingest_batch(store: str, quarantine: str, refresh: Callable[[DataFrame], None] | None = None,
-                 order: Sequence[str] = ()):
+                 order: Sequence[str] = (), log: str | None = None):
     """``foreachBatch`` body. Idempotent: a replayed batch finds its ids stored and adds nothing, its bad
     rows replace those of the same batch, and the refresh sees all its valid rows again, so a batch that
     failed between the append and the end of the refresh is completed.
+
+    With ``log`` the outcome of every row is written there, by batch, before anything is stored; a replayed batch
+    keeps the log of its first run, which is the one that counts.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         valid, bad = split_valid(batch)
         valid = stored(one_per_match(valid, order), "valid")
         fresh = stored(new_matches(valid, _read(spark, store, batch.schema)), "fresh")
+        if log is not None:
+            written = _read(spark, log, "batch_id bigint").where(F.col("batch_id") == batch_id)
+            if written.isEmpty():
+                (outcomes(valid, fresh, bad).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log))
         fresh.write.mode("append").partitionBy("season").parquet(store)
         (bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(quarantine))
@@ -67,16 +91,16 @@ def ingest_batch(store: str, quarantine: str, refresh: Callable[[DataFrame], Non
 
 def start_ingest(source: DataFrame, store: str, quarantine: str, checkpoint: str,
                  refresh: Callable[[DataFrame], None] | None = None, event_time: str | None = None,
-                 late: str = "7 days") -> StreamingQuery:
+                 late: str = "7 days", log: str | None = None) -> StreamingQuery:
     """Run over everything available, then stop.
 
     With ``event_time`` repeats within the watermark are dropped in stream state; repeats that come
     later still meet the anti-join on the store.
     """
     if event_time is not None:
-        source = source.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["match_id"])
+        source = source.withWatermark(event_time, late).dropDuplicatesWithinWatermark(KEY)
     return (
-        source.writeStream.foreachBatch(ingest_batch(store, quarantine, refresh, (event_time,) if event_time else ()))
+        source.writeStream.foreachBatch(ingest_batch(store, quarantine, refresh, (event_time,) if event_time else (), log))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -93,7 +117,7 @@ def refresh_touched(store: str, features: str, families: list[str], schema) -> C
         # a match is needed when either side falls into a bucket being rebuilt
         sides = whole.withColumn("bucket", F.explode(F.array_distinct(F.array(
             bucket(F.col("home_team")), bucket(F.col("away_team"))))))
-        needed = sides.join(buckets, "bucket", "left_semi").drop("bucket").dropDuplicates(["match_id"])
+        needed = sides.join(buckets, "bucket", "left_semi").drop("bucket").dropDuplicates(KEY)
         rebuilt = team_snapshot(needed, families).withColumn("bucket", bucket(F.col("team"))).join(
             buckets, "bucket", "left_semi")
         (rebuilt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
