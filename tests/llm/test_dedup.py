@@ -197,6 +197,31 @@ def test_a_family_of_near_copies_costs_one_comparison_each(spark, monkeypatch):
     assert sum(compared) < 1000
 
 
+@pytest.mark.parametrize("few", [4, 12, 1000])
+def test_all_links_are_counted(spark, few):
+    random.seed(21)
+    base = "".join(random.choices("abcdefgh", k=36))
+    texts = list({edited(base, random.randint(0, 3)) for _ in range(40)} | {base[:-1] + chr(0x4E00 + i) for i in range(20)}
+                 | {"".join(random.choices("abcdefgh", k=30)) for _ in range(5)})
+    random.shuffle(texts)
+    near = {i: [j for j, b in enumerate(texts) if j != i and distance(a, b) <= 2] for i, a in enumerate(texts)}
+    lines, firsts = placed_lines(spark, texts)
+    links = []
+    line_dedup.near_pairs(lines.union(lines), firsts, few=few, levels=2, links=links)
+    rows = links[0].unionByName(links[1]).groupBy("node").agg(F.sum("n_links").alias("n"), F.min("link.i").alias("link")).join(
+        firsts.select("node", F.col("first.i").alias("i")), "node").collect()
+    assert {r.i: (r.n, r.link) for r in rows} == {i: (len(js), js[0]) for i, js in near.items() if js}
+
+
+def test_lines_have_their_number_of_links(spark, docs_of):
+    line = "A line of text that is long enough to count."
+    docs = docs_of([(2, f"{line}\nshort\n{line}"), (1, f"x\n{line[:-1]}!"), (3, None), (5, line + "?"), (6, "short")])
+    rows = line_dedup.line_classes(docs, links=True).collect()
+    got = sorted((r.doc_id, r.line_no, r.n_links, r.link_doc_id, r.link_line_no, r.near_doc_id) for r in rows if r.n_links)
+    assert got == [(1, 1, 2, 2, 0, None), (2, 0, 2, 1, 1, 1), (2, 2, 2, 1, 1, 1), (5, 0, 2, 1, 1, 1)]
+    assert "n_links" not in line_dedup.line_classes(docs).columns
+
+
 def test_lines_of_odd_rows(spark, docs_of):
     line = "A line of text that is long enough to count."
     docs = docs_of([(2, f"{line}\nshort\n{line}"), (1, f"x\n{line[:-1]}!"), (3, None), (4, ""), (5, line), (None, line), (6, "short")], "node", "gone")

@@ -15,6 +15,8 @@ where the longer of two lines has ``MIN_CHARS`` code points; shorter lines go if
    and a family of any number of near copies costs one comparison each. Texts that are not near it look through
    the others, packed ``PACK`` to a row, where the key has up to ``FEW`` texts. Where it has more, the rest of each
    line, without the segment, must still be within the threshold; it is cut and keyed again, up to ``LEVELS`` times.
+   Links are counted, not listed, in the packs of keys with up to ``FEW`` texts, each at the least such key that both
+   texts have; links of texts that share larger keys only are listed.
 5. Spark's bounded Levenshtein distance passes over pairs that cannot be near. The others are verified by a banded
    bit-parallel edit distance: one integer holds the band of 2 * THRESHOLD + 1 cells around the diagonal, and a
    fold over the characters advances it.
@@ -88,15 +90,18 @@ def live_keys(keyed: DataFrame) -> DataFrame:
 # ---- the join -------------------------------------------------------------------------------------
 
 def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = 0,
-               few: int = FEW, levels: int = LEVELS) -> DataFrame:
+               few: int = FEW, levels: int = LEVELS, links: list | None = None) -> DataFrame:
     """x, y: an earlier node y within the threshold for every node x that has one; the earliest is among them.
 
+    ``links`` takes a table of node, n_links (the nodes within the threshold, earlier or later) and link (their
+    earliest place), some rows per node, to be added up.
+
     ``lines``: node and text, repeats included; ``firsts``: node and first, its place, for all nodes. Of a pair the
     longer text must have ``min_chars`` code points. The last level looks through all texts that are left on a key.
     """
     rows = lines.select("node", F.xxhash64("text").alias("number"), F.col("text").alias("rest"),
                         F.lit(0).cast("bigint").alias("base"))
-    found, texts = None, None
+    found, texts, listed = None, None, None
     for level in range(levels):
         keyed = with_keys(rows, threshold).drop("base")
         live = bounded(keep(live_keys(keyed), "live"))
@@ -118,10 +123,23 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
         near = keep(verified(tried.select("x", "y", "x_text").distinct().join(y_text, "y"), threshold, min_chars), "near")
         found = near if found is None else found.union(near)
 
-        left = keep(tried.where("n > 2").join(near, ["x", "y"], "left_anti").select("key", "n", "x", "first", "x_text", "size"), "left")
+        far = tried.join(near, ["x", "y"], "left_anti")
+        if links is not None:       # of texts that share a large key all pairs are wanted
+            far = far.where(F.col("n") <= few).union(tried.where(F.col("n") > few).select(*far.columns)) if level == 0 else tried
+        left = keep(far.where("n > 2").select("key", "n", "x", "first", "x_text", "size"), "left")
         last = level == levels - 1
         pairs = packed_pairs(left if last else left.where(F.col("n") <= few), members, threshold, min_chars)
-        found = found.union(keep(verified(pairs, threshold, min_chars), "near"))
+        packs = keep(verified(pairs, threshold, min_chars), "near")
+        found = found.union(packs)
+        if links is not None:
+            if level == 0:
+                alike = keep(members.join(groups.where(F.col("n") <= few).select("key", "n"), "key"), "alike")
+                shared = keep(alike.groupBy("node").agg(F.collect_set("key").alias("keys")), "shared-keys")
+                links.append(keep(counted_links(alike.join(shared, "node"), threshold, min_chars), "links"))
+                listed = near.join(tried.where(F.col("n") > few).select("x", "y").distinct(), ["x", "y"], "left_semi")
+                listed = listed.union(packs) if last else listed
+            else:
+                listed = listed.union(near).union(packs)
         if last:
             break
         many = left.where(F.col("n") > few)
@@ -136,9 +154,41 @@ def near_pairs(lines: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD,
                                  F.coalesce("left", F.lit(False)).alias("asked")).distinct(), "split")
         if rows.isEmpty():
             break
+    if links is not None:
+        links.append(listed_links(listed.distinct(), shared, firsts))
     return found
 
 
+def counted_links(alike: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """node, n_links, link: the members of a key that are near, where no lesser key of ``keys`` is in common.
+
+    ``alike``: the members of the keys that are looked through, with the number n of them and all such keys of a node.
+    """
+    packs = alike.withColumn("pack", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PACK))).groupBy("key", "pack").agg(
+        F.collect_list(F.struct("first", "node", "text", "size", "keys")).alias("texts"))     # about PACK of them
+    asked = alike.select("key", "node", "text", "size", "keys", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.ceil(F.col("n") / PACK) - 1)).alias("pack"))
+
+    def is_near(m: Column) -> Column:
+        return ((F.abs(m["size"] - F.col("size")) <= threshold) & ((m["size"] >= min_chars) | (F.col("size") >= min_chars))
+                & (m["node"] != F.col("node")) & (F.levenshtein(F.col("text"), m["text"], threshold) >= 0)
+                & (F.array_min(F.array_intersect(m["keys"], F.col("keys"))) == F.col("key")))
+
+    near = F.transform(F.filter("texts", is_near), lambda m: m["first"])
+    return (asked.join(packs, ["key", "pack"]).select("node", near.alias("near")).where(F.size("near") > 0)
+            .groupBy("node").agg(F.sum(F.size("near")).alias("n_links"), F.min(F.array_min("near")).alias("link")))
+
+
+def listed_links(pairs: DataFrame, shared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node, n_links, link from the verified pairs x, y that have no key of ``shared`` in common."""
+    x, y = (shared.select(F.col("node").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "xy")
+    apart = pairs.join(x, "x", "left").join(y, "y", "left").where(
+        ~F.coalesce(F.arrays_overlap("x_keys", "y_keys"), F.lit(False))).select("x", "y")
+    both = apart.union(apart.select("y", "x")).toDF("node", "other")
+    return both.join(firsts.select(F.col("node").alias("other"), F.col("first").alias("link")), "other").groupBy("node").agg(
+        F.count(F.lit(1)).alias("n_links"), F.min("link").alias("link"))
+
+
 def packed_pairs(left: DataFrame, members: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """x, y, x_text, y_text: for the texts of ``left`` the earlier members of their key that may be near.
 
@@ -245,10 +295,11 @@ def place() -> Column:
                     F.col("row_no").alias("row_no"), F.col("line_no").cast("bigint").alias("line_no"))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, links: bool = False) -> DataFrame:
     """One row per line that is not empty: row_no, doc_id, line_no, the place where its text first stood
     (class_doc_id, class_line_no), the place of the earliest other text within the threshold that stood before
-    that (near_doc_id, near_line_no, null without one), kept.
+    that (near_doc_id, near_line_no, null without one), kept. With ``links`` also n_links, the other texts within the
+    threshold, wherever they stood, and the earliest place of those (link_doc_id, link_line_no, null without links).
 
     Edits are allowed between two lines of which the longer has ``min_chars`` code points. ``docs`` holds row_no
     (unique, the same on every read), doc_id and text. Null and empty texts have no lines. Rows are in the order of
@@ -258,18 +309,25 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     narrow = keep(lines.select("row_no", "doc_id", "line_no", "node"), "lines", "snappy")
     firsts = keep(narrow.groupBy("node").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     compared = lines.where(F.length("text") >= min_chars - threshold)
-    pairs = near_pairs(compared.select("node", "text"), firsts, threshold, min_chars)
+    counts: list[DataFrame] | None = [] if links else None
+    pairs = near_pairs(compared.select("node", "text"), firsts, threshold, min_chars, links=counts)
     there = firsts.select(F.col("node").alias("y"), F.col("first").alias("there"))
     near = pairs.distinct().join(there, "y").groupBy(F.col("x").alias("node")).agg(F.min("there").alias("near"))
 
     known = firsts.join(near, "node", "left").where("copies > 1 or near is not null").select("node", "first", "near")
     rows = narrow.join(known, "node", "left").withColumn("here", place())
+    more = []
+    if counts:
+        linked = counts[0].unionByName(counts[1]).groupBy("node").agg(F.sum("n_links").alias("n_links"), F.min("link").alias("link"))
+        rows = rows.join(linked, "node", "left")
+        more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("link.doc_id").alias("link_doc_id"),
+                F.col("link.line_no").alias("link_line_no")]
     first = F.coalesce("first", "here")
     return rows.select(
         "row_no", "doc_id", "line_no",
         first["doc_id"].alias("class_doc_id"), first["line_no"].alias("class_line_no"),
         F.col("near.doc_id").alias("near_doc_id"), F.col("near.line_no").alias("near_line_no"),
-        ((F.col("here") == first) & F.col("near").isNull()).alias("kept"))
+        ((F.col("here") == first) & F.col("near").isNull()).alias("kept"), *more)
 
 
 def without_repeated_lines(docs: DataFrame, row_column: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
@@ -298,14 +356,17 @@ with lines as (
   from (select doc_id, string_split(text, chr(10)) as parts from documents)),
 l as (select * from lines where text <> ''),
 firsts as (select text, min({'d': doc_id, 'n': line_no}) as first from l group by text),
-near as (
-  select a.text, min(b.first) as near from firsts a join firsts b
+links as (
+  select a.text, a.first, b.first as there from firsts a join firsts b
   on a.text <> b.text and length(b.text) between length(a.text) - 2 and length(a.text) + 2
-    and greatest(length(a.text), length(b.text)) >= 30 and b.first < a.first and levenshtein(a.text, b.text) <= 2
-  group by a.text)
+    and greatest(length(a.text), length(b.text)) >= 30 and levenshtein(a.text, b.text) <= 2),
+near as (
+  select text, count(*) as n_links, min(there) as link, min(there) filter (where there < first) as near
+  from links group by text)
 select doc_id, cast(line_no as integer) as line_no, first.d as class_doc_id, cast(first.n as bigint) as class_line_no,
   near.d as near_doc_id, cast(near.n as bigint) as near_line_no,
-  first.d = doc_id and first.n = line_no and near is null as kept
+  first.d = doc_id and first.n = line_no and near is null as kept,
+  coalesce(n_links, 0) as n_links, link.d as link_doc_id, cast(link.n as bigint) as link_line_no
 from l join firsts using (text) left join near using (text)"""
 
 
@@ -313,4 +374,4 @@ from l join firsts using (text) left join near using (text)"""
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
-    return line_classes(rows).drop("row_no")
+    return line_classes(rows, links=True).drop("row_no")
