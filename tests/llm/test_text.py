@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
@@ -126,6 +127,27 @@ def test_paraphrases_and_odd_rows(spark, docs_of):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_the_space_is_fitted_on_every_passage(spark, docs_of):
+    docs = docs_of([(1, " ".join(f"w{i}" for i in range(95))), (2, None), (3, "?"), (4, "one two"), (4, "one two")])
+    bench = spark.createDataFrame([(1, "three four five")], "item_id bigint, text string")
+    passages = decontamination.benchmark_passages(bench)
+    rows = decontamination.fitted_passages(docs, passages).collect()
+    texts = [" ".join(f"w{i}" for i in part) for part in (range(40), range(40, 80), range(80, 95))]
+    expected = [("three four five", 1.0), ("one two", 0.25), ("one two", 0.25)] + [(t, 0.25) for t in texts]
+    buckets = [decontamination.word_buckets(w) for w in decontamination.word_hashes([t for t, _ in expected])]
+    assert sorted((bytes(r.buckets), r.weight) for r in rows) == sorted((b.astype("<u2").tobytes(), w) for b, (_, w) in zip(buckets, expected, strict=True))
+
+    rng = np.random.default_rng(1)
+    idf = rng.uniform(1, 5, 1 << decontamination.BUCKETS_LOG2).astype(np.float32)
+    basis = rng.standard_normal((1 << decontamination.FEATURES_LOG2, 3)).astype(np.float16)
+    dense = np.zeros((len(buckets), len(basis)))
+    for i, b in enumerate(buckets):
+        np.add.at(dense[i], decontamination.features_of(b), idf[b])
+        dense[i] *= expected[i][1] / np.linalg.norm(dense[i])
+    got = decontamination.gram_product(decontamination.fitted_passages(docs, passages), idf, 3, basis)
+    assert np.allclose(got, dense.T @ (dense @ basis.astype(float)), atol=1e-3)
+
+
 def test_short_copies_in_long_windows(spark, docs_of):
     """Copies of short items, with a benchmark of many others; the second word of an item of two is everywhere."""
     prepare(spark)

@@ -2,11 +2,11 @@
 
 1. Passages. Benchmark items are cut into passages of up to ``PASSAGE`` words; documents are read in
    windows of three blocks of ``STEP`` words, one block apart, so every passage lies inside a window.
-2. Latent space. The TF-IDF rows of all benchmark passages, and of a sample of document passages that
-   grows with the corpus as background, span a matrix whose leading right singular vectors are found by a
-   distributed randomised SVD: tasks multiply their rows, partial products are summed by feature, and
-   only features x rank numbers, a fixed size, reach the driver. Features are word hash buckets and
-   document frequencies come from all documents.
+2. Latent space. The TF-IDF rows of all benchmark passages, and of all passages of all documents as
+   background, span a matrix whose leading right singular vectors are found by a distributed randomised
+   SVD: tasks multiply their rows, partial products are summed by feature, and only features x rank
+   numbers, a fixed size, reach the driver. Features are word hash buckets and document frequencies come
+   from all documents.
 3. Candidates. Every window of every document is projected and compared by cosine with a block of at
    most ``QUERY_BLOCK`` benchmark passages; a larger benchmark takes more passes over the documents.
    A window whose part along the passage is far shorter than the passage itself can't hold it.
@@ -36,10 +36,9 @@ PASSAGE = 2 * STEP
 SPAN = 3                     # blocks of a window
 FEATURES_LOG2 = 15
 RANK, OVERSAMPLE = 128, 8
-FIT_ROWS = 2_000             # passages multiplied by a task
-FIT_PASSAGES = 2_000         # least expected document passages
-FIT_SHARE = 0.02             # part of the documents that give one, if those are more
-BACKGROUND = 0.25            # weight of document passages in the matrix
+BACKGROUND = 0.25            # weight of document passages in the matrix, as if these were
+BACKGROUND_ROWS = 2_000      # so many or
+BACKGROUND_SHARE = 0.02      # this part of the documents, if that is more
 QUERY_BLOCK = 4_096
 COSINE = 0.35                # least cosine of a candidate
 CONTAINED = 0.4              # least length along the passage, as part of the passage's own
@@ -50,6 +49,7 @@ SHORT_SPAN = 2               # blocks of a window for passages of up to STEP wor
 RUN_BITS = 20                # size of the filter before the lookup of word runs
 RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 ROWS_AT_ONCE = 512           # passages multiplied, and 8 times as many blocks projected, at once
+FOLDED = 1 << 16             # words of the documents' passages that are multiplied at once
 
 
 # ---- latent space ---------------------------------------------------------------------------------
@@ -63,15 +63,18 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return np.maximum(inverse_frequencies(docs) - np.float32(1 - np.log(COMMON)), 0) + np.float32(FLOOR)
 
 
-def row_block(rows: list[np.ndarray], weights: list[float], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features in use, dense TF-IDF rows of unit length times their weight)."""
-    sizes = [len(r) for r in rows]
-    buckets = word_buckets(np.concatenate(rows))
-    features, column = np.unique(features_of(buckets), return_inverse=True)
-    dense = np.zeros((len(rows), len(features)))
-    np.add.at(dense, (np.repeat(np.arange(len(rows)), sizes), column), idf[buckets])
-    norm = np.linalg.norm(dense, axis=1, keepdims=True)
-    return features, dense / np.where(norm, norm, 1) * np.array(weights)[:, None]
+def row_block(buckets: np.ndarray, row: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, feature, value) of the TF-IDF rows of unit length times their weight, in order; ``row``: of each word."""
+    at, inverse = np.unique(row << FEATURES_LOG2 | features_of(buckets), return_inverse=True)
+    values = np.bincount(inverse, idf[buckets], len(at))
+    row, feature = at >> FEATURES_LOG2, at & (1 << FEATURES_LOG2) - 1
+    norm = np.sqrt(np.bincount(row, values * values, len(weights)))
+    return row, feature, (values / np.where(norm, norm, 1)[row] * weights[row]).astype(np.float32)
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
 def random_start(rank: int) -> np.ndarray:
@@ -82,19 +85,30 @@ def gram_product(matrix: DataFrame, idf: np.ndarray, rank: int, found_basis: np.
     """(transposed matrix x matrix) x basis, summed over the tasks by feature. Without a basis yet, every task
     draws the same random one."""
     def multiply(batches):
-        basis = random_start(rank) if found_basis is None else found_basis.astype(np.float32)
+        basis = (random_start(rank) if found_basis is None else found_basis).astype(np.float32)
+        total, used = np.zeros(basis.shape, np.float32), np.zeros(len(basis), bool)
         for batch in batches:
-            rows = [np.array(w, np.int64).view(np.uint64) for w in batch.column(0).to_pylist()]
-            weights = batch.column(1).to_pylist()
-            total: dict[int, np.ndarray] = {}
-            for at in range(0, len(rows), ROWS_AT_ONCE):
-                features, dense = row_block(rows[at:at + ROWS_AT_ONCE], weights[at:at + ROWS_AT_ONCE], idf)
-                product = dense.T @ (dense @ basis[features])
-                for f, values in zip(features.tolist(), product, strict=True):
-                    total[f] = total[f] + values if f in total else values
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())],
-                ["feature", "sums"])
+            packed = batch.column(0).to_pylist()
+            sizes = np.array([len(p) // 2 for p in packed])
+            weights, ends = np.array(batch.column(1).to_pylist()), np.cumsum(sizes)
+            at = 0
+            while at < len(packed):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + FOLDED)))
+                buckets = np.frombuffer(b"".join(packed[at:to]), "<u2").astype(np.int64)
+                row, feature, value = row_block(buckets, np.repeat(np.arange(to - at), sizes[at:to]), weights[at:to], idf)
+                if len(row):
+                    starts = run_starts(row)
+                    along = np.zeros((to - at, basis.shape[1]), np.float32)
+                    along[row[starts]] = np.add.reduceat(basis[feature] * value[:, None], starts, axis=0)
+                    order = np.argsort(feature, kind="stable")
+                    starts = run_starts(feature[order])
+                    found = feature[order][starts]
+                    total[found] += np.add.reduceat(along[row[order]] * value[order, None], starts, axis=0)
+                    used[found] = True
+                at = to
+        found = np.flatnonzero(used)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.int64()), pa.array([total[f].tobytes() for f in found], pa.binary())], ["feature", "sums"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -164,19 +178,32 @@ def benchmark_passages(benchmark: DataFrame) -> DataFrame:
                 .mapInArrow(cut, "item_id bigint, words array<bigint>, answer array<bigint>"), "passages")
 
 
-def sampled_passages(docs: DataFrame, least: int = FIT_PASSAGES, part: float = FIT_SHARE) -> DataFrame:
-    """words of one passage each of about a ``part`` of the documents, or ``least``, chosen by a hash of the text."""
-    share = max(part, least / max(1, docs.count()))
-    place = (F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
+def packed_buckets(passages: list[np.ndarray]) -> pa.Array:
+    """The word buckets of each passage, two bytes each."""
+    return pa.array([word_buckets(p).astype("<u2").tobytes() for p in passages], pa.binary())
+
+
+def fitted_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """buckets and weight of all benchmark passages and of all passages, one after the other, of all documents.
+
+    However many passages the documents have, together they weigh as much as a few of weight ``BACKGROUND``.
+    """
+    def known(batches):
+        for batch in batches:
+            words = [np.array(w, np.int64).view(np.uint64) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([packed_buckets(words)], ["buckets"])
 
     def cut(batches):
         for batch in batches:
-            found = [w.view(np.int64) for w in word_hashes([t or "" for t in batch.column(0).to_pylist()]) if len(w)]
-            starts = [int(w[0] % max(1, len(w) - PASSAGE)) for w in found]
+            found = word_hashes([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w[s:s + PASSAGE].tolist() for w, s in zip(found, starts, strict=True)], pa.list_(pa.int64()))], ["words"])
+                [packed_buckets([w[s:s + PASSAGE] for w in found for s in range(0, len(w), PASSAGE)])], ["buckets"])
 
-    return docs.select("text").where(place < share).mapInArrow(cut, "words array<bigint>")
+    background = keep(docs.select("text").mapInArrow(cut, "buckets binary"), "background")
+    expected = max(BACKGROUND_ROWS, BACKGROUND_SHARE * docs.count())
+    weight = BACKGROUND * min(1.0, expected / max(1, background.count())) ** 0.5
+    mine = passages.select("words").mapInArrow(known, "buckets binary").select("buckets", F.lit(1.0).alias("weight"))
+    return mine.union(background.select("buckets", F.lit(weight)))
 
 
 # ---- search ---------------------------------------------------------------------------------------
@@ -334,9 +361,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not total:
         return spark.createDataFrame([], out)
     idf = word_weights(docs)
-    fitted = keep(passages.select("words", F.lit(1.0).alias("weight"))
-                  .union(sampled_passages(docs).select("words", F.lit(BACKGROUND))), "fitted")
-    matrix = keep(fitted.repartition(-(-fitted.count() // FIT_ROWS)), "matrix")
+    matrix = fitted_passages(docs, passages)
     basis = latent_basis(matrix, idf).astype(np.float16)
 
     numbered = keep(passages.withColumn("block", F.floor(F.monotonically_increasing_id() % (1 << 33) / QUERY_BLOCK))
