@@ -30,6 +30,7 @@ from touchline.llm.near_dedup import BUCKETS_LOG2, inverse_frequencies, word_buc
 from touchline.llm.registry import query
 from touchline.llm.storage import keep, table
 from touchline.llm.words import word_hashes
+from touchline.session import spread
 
 STEP = 20
 PASSAGE = 2 * STEP
@@ -203,7 +204,7 @@ def fitted_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     expected = max(BACKGROUND_ROWS, BACKGROUND_SHARE * docs.count())
     weight = BACKGROUND * min(1.0, expected / max(1, background.count())) ** 0.5
     mine = passages.select("words").mapInArrow(known, "buckets binary").select("buckets", F.lit(1.0).alias("weight"))
-    return mine.union(background.select("buckets", F.lit(weight)))
+    return mine.union(spread(background).select("buckets", F.lit(weight)))
 
 
 # ---- search ---------------------------------------------------------------------------------------
