@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,26 @@ def test_redundant_features_do_not_hang_on_noise():
     for noise in (0.0, 1e-13, -1e-13):
         shaken = [[v + noise * (i + 1) if i != j else v for j, v in enumerate(row)] for i, row in enumerate(matrix)]
         assert selection.redundant(shaken, names, selection.correlated_pairs(shaken, names)) == {"b"}
+
+
+def _documents(spark, n):
+    from touchline.sources.documents import statistics_struct
+    return spark.range(n).select(
+        F.col("id").cast("string").alias("match_id"), F.lit("A").alias("home_team"), F.lit("B").alias("away_team"),
+        F.when(F.col("id") % 2 == 0, "2019").otherwise("2020").alias("season"),
+        statistics_struct({"corner_kicks": ("cast(id as int)", "3")}).alias("full_time_stats"))
+
+
+def test_seasons_of_a_store_do_not_deal_out_its_documents(spark):
+    from touchline.sources.documents import _of_seasons
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # tables too large to broadcast
+    try:
+        docs = _documents(spark, 40)
+        ids = docs.where("season = '2019'").select("season", "match_id")
+        kept = _of_seasons(docs, ids).join(ids.where("match_id % 4 = 0"), ["season", "match_id"], "left_anti")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"hashpartitioning\(season#\d+, \d+\)", plan.split("LeftAnti")[1].split("ReadSchema")[0].split("HashAggregate")[0])
+        assert sorted(int(r.match_id) for r in kept.collect()) == list(range(2, 40, 4))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
