@@ -146,3 +146,15 @@ def test_seasons_of_a_store_do_not_deal_out_its_documents(spark):
         assert sorted(int(r.match_id) for r in kept.collect()) == list(range(2, 40, 4))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_documents_are_stored_compressed(spark, tmp_path):
+    from touchline.sources.documents import delete_matches, read_documents, save_matches
+    path = str(tmp_path / "store")
+    save_matches(_documents(spark, 30), path, F.lit("t"))
+    save_matches(_documents(spark, 4).withColumn("home_team", F.lit("C")), path, F.lit("u"))
+    delete_matches(spark, path, spark.createDataFrame([("2020", "29"), ("2019", "28")], "season string, match_id string"))
+    found = {r.match_id: (r.home_team, r.season, r.full_time_stats.corner_kicks.home) for r in read_documents(spark, path).collect()}
+    assert found == {str(i): ("C" if i < 4 else "A", "2019" if i % 2 == 0 else "2020", i) for i in range(28)}
+    files = [f.name for f in (tmp_path / "store").rglob("part-*") if not f.name.endswith(".crc")]
+    assert files and all(f.endswith(".json.gz") for f in files)

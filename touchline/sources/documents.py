@@ -166,9 +166,12 @@ def _of_seasons(documents: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _write(documents: DataFrame, path: str) -> None:
-    """One directory per season; AQE evens out the tasks and splits a season that is too large."""
+    """One directory per season; AQE evens out the tasks and splits a season that is too large.
+
+    Texts are compressed: field names make up most of a document.
+    """
     (documents.hint("rebalance", F.col("season"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
      .partitionBy("season").json(path))
 
 
