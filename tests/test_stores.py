@@ -158,3 +158,15 @@ def test_documents_are_stored_compressed(spark, tmp_path):
     assert found == {str(i): ("C" if i < 4 else "A", "2019" if i % 2 == 0 else "2020", i) for i in range(28)}
     files = [f.name for f in (tmp_path / "store").rglob("part-*") if not f.name.endswith(".crc")]
     assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_stat_rows_are_not_sorted(spark):
+    from touchline.operators import pages
+    row = '<div class="stat__row">{}</div>'
+    html = "".join(['<html><section title="Full Time">', row.format("7 Fouls 9"), row.format("3 Fouls 4"), row.format("1.9 Corner Kicks 2"),
+                    row.format("1.25 Expected goals (xG) 0.5"), row.format("5 Offsides"), '</section><section title="1st Half"></section></html>'])
+    found = pages.stat_rows(spark.createDataFrame([(1, html), (1, html), (None, html), (2, "<html></html>")], "page_id bigint, html string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "size(regexp_extract_all" not in plan
+    values = [("Full Time", "corner_kicks", 1.0, 2.0), ("Full Time", "expected_goals", 1.25, 0.5), ("Full Time", "fouls", 7.0, 9.0)]
+    assert sorted((r.page_id or 0, *r[1:]) for r in found.collect()) == [(p, *v) for p in (0, 1) for v in values]
