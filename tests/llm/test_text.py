@@ -148,6 +148,24 @@ def test_the_space_is_fitted_on_every_passage(spark, docs_of):
     assert np.allclose(got, dense.T @ (dense @ basis.astype(float)), atol=1e-3)
 
 
+def test_a_pass_over_few_rows_per_partition_adds_few_tables(spark, docs_of):
+    """Runs of rows longer than a piece, and many partitions: the sums are right and come from a core each."""
+    rng = np.random.default_rng(3)
+    rows, values = rng.standard_normal((9, 4)).astype(np.float32), rng.random(60).astype(np.float32)
+    chosen, starts = rng.integers(0, 9, 60), np.array([0, 1, 5, 37, 38])
+    expected = [(rows[c] * v[:, None]).sum(axis=0) for c, v in zip(np.split(chosen, starts[1:]), np.split(values, starts[1:]), strict=True)]
+    assert np.allclose(decontamination.run_sums(rows, chosen, values, starts, 4), expected, atol=1e-5)
+
+    docs = docs_of([(i, " ".join(rng.choice(["one", "two", "three", "four"], 30))) for i in range(40)]).repartition(40)
+    bench = spark.createDataFrame([(1, "three four five")], "item_id bigint, text string")
+    matrix = decontamination.fitted_passages(docs, decontamination.benchmark_passages(bench))
+    assert matrix.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    idf = rng.uniform(1, 5, 1 << decontamination.BUCKETS_LOG2).astype(np.float32)
+    basis = rng.standard_normal((1 << decontamination.FEATURES_LOG2, 3)).astype(np.float16)
+    whole = basis.T.astype(float) @ decontamination.gram_product(matrix, idf, 3, basis)
+    assert np.allclose(decontamination.projected_gram(matrix, idf, basis), whole, rtol=1e-3, atol=1e-3)
+
+
 def test_short_copies_in_long_windows(spark, docs_of):
     """Copies of short items, with a benchmark of many others; the second word of an item of two is everywhere."""
     prepare(spark)

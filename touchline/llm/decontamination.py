@@ -50,7 +50,10 @@ SHORT_SPAN = 2               # blocks of a window for passages of up to STEP wor
 RUN_BITS = 20                # size of the filter before the lookup of word runs
 RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 ROWS_AT_ONCE = 512           # passages multiplied, and 8 times as many blocks projected, at once
-FOLDED = 1 << 16             # words of the documents' passages that are multiplied at once
+FOLDED = 1 << 19             # words of passages that are multiplied at once
+FEATURE_PIECE = 16           # rows of a feature in one product
+PIECES = 512                 # pieces whose rows are looked up at once
+PARTS_A_TASK = 4             # partitions of the passages that one task sums up: its sums are all features x rank
 
 
 # ---- latent space ---------------------------------------------------------------------------------
@@ -82,34 +85,62 @@ def random_start(rank: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((1 << FEATURES_LOG2, rank))
 
 
-def gram_product(matrix: DataFrame, idf: np.ndarray, rank: int, found_basis: np.ndarray | None) -> np.ndarray:
-    """(transposed matrix x matrix) x basis, summed over the tasks by feature. Without a basis yet, every task
-    draws the same random one."""
-    def multiply(batches):
-        basis = (random_start(rank) if found_basis is None else found_basis).astype(np.float32)
-        total, used = np.zeros(basis.shape, np.float32), np.zeros(len(basis), bool)
-        for batch in batches:
-            packed = batch.column(0).to_pylist()
-            sizes = np.array([len(p) // 2 for p in packed])
-            weights, ends = np.array(batch.column(1).to_pylist()), np.cumsum(sizes)
-            at = 0
-            while at < len(packed):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + FOLDED)))
-                buckets = np.frombuffer(b"".join(packed[at:to]), "<u2").astype(np.int64)
-                row, feature, value = row_block(buckets, np.repeat(np.arange(to - at), sizes[at:to]), weights[at:to], idf)
-                if len(row):
-                    starts = run_starts(row)
-                    along = np.zeros((to - at, basis.shape[1]), np.float32)
-                    along[row[starts]] = np.add.reduceat(basis[feature] * value[:, None], starts, axis=0)
-                    order = np.argsort(feature, kind="stable")
-                    starts = run_starts(feature[order])
-                    found = feature[order][starts]
-                    total[found] += np.add.reduceat(along[row[order]] * value[order, None], starts, axis=0)
-                    used[found] = True
-                at = to
-        found = np.flatnonzero(used)
+def run_sums(rows: np.ndarray, chosen: np.ndarray, values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The sum of ``values`` x chosen ``rows`` for each run of them, multiplied in pieces of ``width``."""
+    sizes = np.diff(np.append(starts, len(chosen)))
+    pieces = -(-sizes // width)
+    first, n = np.cumsum(pieces) - pieces, int(pieces.sum())
+    at = np.arange(len(chosen)) + np.repeat(first * width - starts, sizes)
+    padded, factors = np.zeros(n * width, np.int64), np.zeros((n, 1, width), np.float32)
+    padded[at], factors.reshape(-1)[at] = chosen, values
+    out, taken = np.empty((n, rows.shape[1]), np.float32), np.empty((PIECES * width, rows.shape[1]), np.float32)
+    for i in range(0, n, PIECES):
+        j = min(n, i + PIECES)
+        part = np.take(rows, padded[i * width:j * width], axis=0, out=taken[:(j - i) * width], mode="clip")
+        np.matmul(factors[i:j], part.reshape(j - i, width, -1), out=out[i:j, None])
+    sums, more = out[first], np.flatnonzero(pieces > 1)
+    if len(more):       # pieces of the runs that have several, one after the other
+        several = np.repeat(pieces > 1, pieces)
+        sums[more] = np.add.reduceat(out[several], np.cumsum(pieces[more]) - pieces[more], axis=0)
+    return sums
+
+
+def row_blocks(batches, idf: np.ndarray):
+    """The number of rows and ``row_block`` of about ``FOLDED`` words at a time."""
+    def block(packed, weights):
+        sizes = [len(p) // 2 for p in packed]
+        buckets = np.frombuffer(b"".join(packed), "<u2").astype(np.int64)
+        return len(packed), *row_block(buckets, np.repeat(np.arange(len(packed)), sizes), np.array(weights), idf)
+
+    packed, weights, size = [], [], 0
+    for batch in batches:
+        packed += batch.column(0).to_pylist()
+        weights += batch.column(1).to_pylist()
+        size += sum(map(len, packed[-batch.num_rows:])) // 2 if batch.num_rows else 0
+        if size >= FOLDED:
+            yield block(packed, weights)
+            packed, weights, size = [], [], 0
+    if size:
+        yield block(packed, weights)
+
+
+def along_basis(n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A block's ``n`` rows x basis."""
+    starts = run_starts(row)
+    along = np.zeros((n, basis.shape[1]), np.float32)
+    along[row[starts]] = run_sums(basis, feature, value, starts, PASSAGE)
+    return along
+
+
+def summed(matrix: DataFrame, multiply, height: int, width: int) -> np.ndarray:
+    """The sum of the tables (height x width) that ``multiply`` gives for the batches of each task, added up by row."""
+    schema = "feature bigint, sums binary"
+
+    def partial(batches):
+        total = multiply(batches)
+        used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), pa.array([total[f].tobytes() for f in found], pa.binary())], ["feature", "sums"])
+            [pa.array(used, pa.int64()), pa.array([total[f].tobytes() for f in used], pa.binary())], ["feature", "sums"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -120,23 +151,52 @@ def gram_product(matrix: DataFrame, idf: np.ndarray, rank: int, found_basis: np.
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["feature", "sums"])
 
-    schema = "feature bigint, sums binary"
-    found = matrix.mapInArrow(multiply, schema).repartition("feature").mapInArrow(add, schema).toArrow()
-    out = np.zeros((1 << FEATURES_LOG2, rank))
+    found = matrix.mapInArrow(partial, schema).repartition("feature").mapInArrow(add, schema).toArrow()
+    out = np.zeros((height, width))
     for f, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
         out[f] = np.frombuffer(raw, np.float32)
     return out
 
 
+def gram_product(matrix: DataFrame, idf: np.ndarray, rank: int, found_basis: np.ndarray | None) -> np.ndarray:
+    """(transposed matrix x matrix) x basis, summed over the tasks by feature. Without a basis yet, every task
+    draws the same random one."""
+    def multiply(batches):
+        basis = (random_start(rank) if found_basis is None else found_basis).astype(np.float32)
+        total = np.zeros(basis.shape, np.float32)
+        for n, row, feature, value in row_blocks(batches, idf):
+            along = along_basis(n, row, feature, value, basis)
+            order = np.argsort(feature.astype(np.uint16), kind="stable")
+            starts = run_starts(feature[order])
+            total[feature[order][starts]] += run_sums(along, row[order], value[order], starts, FEATURE_PIECE)
+        return total
+
+    return summed(matrix, multiply, 1 << FEATURES_LOG2, rank)
+
+
+def projected_gram(matrix: DataFrame, idf: np.ndarray, found_basis: np.ndarray) -> np.ndarray:
+    """Transposed basis x (transposed matrix x matrix) x basis: the products of the projected rows, rank x rank a task."""
+    rank = found_basis.shape[1]
+
+    def multiply(batches):
+        basis = found_basis.astype(np.float32)
+        total = np.zeros((rank, rank))
+        for block in row_blocks(batches, idf):
+            along = along_basis(*block, basis)
+            total += along.T @ along
+        return total.astype(np.float32)
+
+    return summed(matrix, multiply, rank, rank)
+
+
 def latent_basis(matrix: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Leading right singular vectors (features x rank) by a randomised range finder with one power step."""
     wide, q = rank + OVERSAMPLE, None
     for _ in range(2):
         q = np.linalg.qr(gram_product(matrix, idf, wide, q))[0].astype(np.float16)   # halves what tasks are sent
-    q = q.astype(np.float32)
-    small = q.T @ gram_product(matrix, idf, wide, q.astype(np.float16))
+    small = projected_gram(matrix, idf, q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    return (q.astype(np.float32) @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
 def lifted_basis(basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -204,7 +264,13 @@ def fitted_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     expected = max(BACKGROUND_ROWS, BACKGROUND_SHARE * docs.count())
     weight = BACKGROUND * min(1.0, expected / max(1, background.count())) ** 0.5
     mine = passages.select("words").mapInArrow(known, "buckets binary").select("buckets", F.lit(1.0).alias("weight"))
-    return mine.union(spread(background).select("buckets", F.lit(weight)))
+    return gathered(mine.union(spread(background).select("buckets", F.lit(weight))))
+
+
+def gathered(matrix: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions, a core each at least: every one adds features x rank sums to a shuffle."""
+    cores = matrix.sparkSession.sparkContext.defaultParallelism
+    return matrix.coalesce(max(cores, matrix.rdd.getNumPartitions() // PARTS_A_TASK))
 
 
 # ---- search ---------------------------------------------------------------------------------------
@@ -338,7 +404,10 @@ def matches(words: np.ndarray, exact: dict[int, int], queries: Queries, lifted:
                 q = chosen[c]
                 text = part[w * STEP:(w + span) * STEP].view(np.int64).tolist()
                 passage = queries.words[q]
-                share = common_subsequence(queries.masks[q], len(passage), text) / len(passage)
+                held = [x for x in text if x in queries.masks[q]]
+                if len(held) / len(passage) < PARAPHRASE_SHARE:      # a common subsequence is no longer than these
+                    continue
+                share = common_subsequence(queries.masks[q], len(passage), held) / len(passage)
                 real = share >= COPY_SHARE
                 if not real and share >= PARAPHRASE_SHARE:
                     near = part[max(0, w - 1) * STEP:(w + 2 * SPAN) * STEP].view(np.int64).tolist()
