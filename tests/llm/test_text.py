@@ -166,6 +166,28 @@ def test_a_pass_over_few_rows_per_partition_adds_few_tables(spark, docs_of):
     assert np.allclose(decontamination.projected_gram(matrix, idf, basis), whole, rtol=1e-3, atol=1e-3)
 
 
+def test_parts_of_documents_are_searched_together():
+    """Windows of many documents at once, cut or not, are those of each document alone."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (0, 1, 20, 61, 205, 7)]
+    groups = list(decontamination.groups_of_parts(docs, 5))
+    assert {d for g in groups for d, _ in g} == {1, 2, 3, 4, 5}
+    assert all(len(g) == 1 or sum(len(p) for _, p in g) <= 5 * decontamination.STEP for g in groups)
+    rebuilt = {}
+    for g in groups:
+        for d, part in g:
+            rebuilt.setdefault(d, []).append(part[:5 * decontamination.STEP])
+    assert all(np.array_equal(np.concatenate(rebuilt[d]), docs[d]) for d in rebuilt)
+
+    lifted = rng.standard_normal((1 << decontamination.BUCKETS_LOG2, 4)).astype(np.float32)
+    parts = [p for p in docs if len(p)]
+    blocks, first = decontamination.latent_blocks(parts, lifted)
+    for at, part in zip(first, parts, strict=True):
+        own = decontamination.latent(part, lifted)
+        assert np.array_equal(blocks[at:at + len(own)], own)
+        assert not blocks[at + len(own):at + len(own) + decontamination.SPAN - 1].any()
+
+
 def test_short_copies_in_long_windows(spark, docs_of):
     """Copies of short items, with a benchmark of many others; the second word of an item of two is everywhere."""
     prepare(spark)

@@ -51,8 +51,8 @@ RUN_BITS = 20                # size of the filter before the lookup of word runs
 RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 ROWS_AT_ONCE = 512           # passages multiplied, and 8 times as many blocks projected, at once
 FOLDED = 1 << 19             # words of passages that are multiplied at once
-FEATURE_PIECE = 16           # rows of a feature in one product
-PIECES = 512                 # pieces whose rows are looked up at once
+FEATURE_PIECE = 32           # rows of a feature in one product
+PIECES = 128                 # pieces whose rows are looked up at once
 PARTS_A_TASK = 4             # partitions of the passages that one task sums up: its sums are all features x rank
 
 
@@ -378,29 +378,57 @@ def contains(words: list[int], run: list[int]) -> bool:
     return any(words[i:i + len(run)] == run for i in range(len(words) - len(run) + 1))
 
 
-def matches(words: np.ndarray, exact: dict[int, int], queries: Queries, lifted: np.ndarray) -> dict[int, tuple[float, float]]:
-    """item -> (cosine, share of the passage) of the best verified passage in one document. ``exact``: passages
+def groups_of_parts(docs: list[np.ndarray], stride: int):
+    """(document, words) of parts of documents, together of about ``stride`` blocks at a time; a long
+    document is cut, its parts overlap by a window."""
+    group, size = [], 0
+    for d, words in enumerate(docs):
+        for at in range(0, len(words), stride * STEP):
+            part = words[at:at + (stride + SPAN - 1) * STEP]
+            if group and size + len(part) > stride * STEP:
+                yield group
+                group, size = [], 0
+            group.append((d, part))
+            size += len(part)
+    if group:
+        yield group
+
+
+def latent_blocks(parts: list[np.ndarray], lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent vectors of the blocks of all parts, each followed by empty blocks for the windows at its end, and where
+    the blocks of each part begin."""
+    counts = np.array([-(-len(p) // STEP) for p in parts])
+    first = np.cumsum(counts + SPAN - 1) - (counts + SPAN - 1)
+    blocks = np.zeros((int((counts + SPAN - 1).sum()), lifted.shape[1]), np.float32)
+    for at, n, part in zip(first.tolist(), counts.tolist(), parts, strict=True):
+        blocks[at:at + n] = latent(part, lifted)
+    return blocks, first
+
+
+def matches(docs: list[np.ndarray], exact: list[dict[int, int]], queries: Queries, lifted: np.ndarray) -> list[dict[int, tuple[float, float]]]:
+    """Per document, item -> (cosine, share of the passage) of its best verified passage. ``exact``: passages
     that stand in it word for word, with their places."""
-    found: dict[int, tuple[float, float]] = {}
-
-    def add(item: int, cosine: float, share: float) -> None:
-        if item not in found or (share, cosine) > found[item][::-1]:
-            found[item] = cosine, share
-
-    for q, place in exact.items():
-        window = latent(words[place // STEP * STEP:][:SPAN * STEP], lifted).sum(axis=0, keepdims=True)
-        add(queries.items[q], float((window @ queries.unit[q])[0] / lengths_of(window)[0]), 1.0)
-    stride = 8 * ROWS_AT_ONCE
-    for at in range(0, len(words), stride * STEP):
-        part = words[at:at + (stride + SPAN - 1) * STEP]
-        blocks = latent(part, lifted)
+    found: list[dict[int, tuple[float, float]]] = [{} for _ in docs]
+
+    def add(doc: int, item: int, cosine: float, share: float) -> None:
+        if item not in found[doc] or (share, cosine) > found[doc][item][::-1]:
+            found[doc][item] = cosine, share
+
+    for d, places in enumerate(exact):
+        for q, place in places.items():
+            window = latent(docs[d][place // STEP * STEP:][:SPAN * STEP], lifted).sum(axis=0, keepdims=True)
+            add(d, queries.items[q], float((window @ queries.unit[q])[0] / lengths_of(window)[0]), 1.0)
+    for group in groups_of_parts(docs, 8 * ROWS_AT_ONCE):
+        blocks, first = latent_blocks([part for _, part in group], lifted)
         for span, chosen, least in queries.spans:
             window = blocks.copy()
-            for i in range(1, min(span, len(blocks))):
+            for i in range(1, span):
                 window[:-i] += blocks[i:]
             along = window @ queries.unit[chosen].T
             cosine = along / lengths_of(window)[:, None]
-            for w, c in zip(*np.nonzero((cosine >= least) & (along >= CONTAINED * queries.norm[chosen])), strict=True):
+            for at, c in zip(*np.nonzero((cosine >= least) & (along >= CONTAINED * queries.norm[chosen])), strict=True):
+                g = int(np.searchsorted(first, at, "right")) - 1
+                w, (d, part) = int(at - first[g]), group[g]
                 q = chosen[c]
                 text = part[w * STEP:(w + span) * STEP].view(np.int64).tolist()
                 passage = queries.words[q]
@@ -413,7 +441,7 @@ def matches(words: np.ndarray, exact: dict[int, int], queries: Queries, lifted:
                     near = part[max(0, w - 1) * STEP:(w + 2 * SPAN) * STEP].view(np.int64).tolist()
                     real = contains(near, queries.answers[q])
                 if real:
-                    add(queries.items[q], float(cosine[w, c]), share)
+                    add(d, queries.items[q], float(cosine[at, c]), share)
     return found
 
 
@@ -447,10 +475,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = []
                 texts = [t or "" for t in batch.column(2).to_pylist()]
                 hashes = word_hashes(texts)
-                for no, doc_id, words, exact in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes,
-                                                    exact_matches(hashes, queries), strict=True):
-                    if len(words):
-                        rows += [(no, doc_id, item, *best) for item, best in matches(words, exact, queries, lifted).items()]
+                best = matches(hashes, exact_matches(hashes, queries), queries, lifted)
+                for no, doc_id, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), best, strict=True):
+                    rows += [(no, doc_id, item, *values) for item, values in items.items()]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
