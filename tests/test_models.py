@@ -260,3 +260,81 @@ def test_momentum_reaches_back_over_defeats_and_hot_dates(spark, matches_of):
             w = [0.95 ** (len(past) - 1 - i) for i in range(len(past))]
             assert snap[day] == pytest.approx(sum(p * x for p, x in zip(past, w, strict=True)) / sum(w), rel=1e-9)
     assert 0 < snap["2003-01-09"] < 1e-20
+
+
+# --- boosting ---------------------------------------------------------------------------------------
+
+def boosted_rows(spark, n):
+    rng = random.Random(11)
+    rows = [(i, rng.random(), rng.gauss(0, 1), float(rng.randrange(4)), rng.choice("HDA")) for i in range(n)]
+    rows = [(i, a, b, c, "H" if a + 0.2 * b > 0.7 else "A" if c > 2 else x) for i, a, b, c, x in rows]
+    return spark.createDataFrame(rows, "match_id bigint, a double, b double, c double, label string").coalesce(2)
+
+
+def test_boosting_equals_mllib(spark, monkeypatch):
+    df, names, params = boosted_rows(spark, 700), ["a", "b", "c"], {"maxIter": 8, "maxDepth": 4}
+    folded = df.withColumn("fold", F.col("match_id") % 2)
+    asked = [("boosted_a", df, names, params), ("boosted_b", folded.where("fold = 1"), names, {**params, "maxIter": 5})]
+    new = models.fit_all(asked)
+    monkeypatch.setattr(models, "GROWN", set())
+    for (kind, rows, _, more), mine in zip(asked, new, strict=True):
+        old = models.fit(kind, rows, names, more)
+        one, two = (m.transform(df).orderBy("match_id").select("p_H", "p_D", "p_A").toArrow().to_pandas().to_numpy() for m in (old, mine))
+        seen = np.array([r[0] for r in rows.orderBy("match_id").select("match_id").collect()])
+        assert np.allclose(one[seen], two[seen], atol=1e-9)
+        for c in models.CLASSES:
+            a, b = old.parts[c], mine.parts[c]
+            assert a.treeWeights == b.treeWeights and a.getNumTrees == b.getNumTrees
+            assert a.trees[0].toDebugString.split("\n")[1:] == b.trees[0].toDebugString.split("\n")[1:]
+
+
+def test_boosting_takes_one_job_per_level(spark):
+    """Whatever the number of classes and models, and few beside them."""
+    df = boosted_rows(spark, 300)
+    asked = [("boosted_a", df.where(f"match_id % 3 <> {i}"), ["a", "b"], {"maxIter": 6, "maxDepth": 3}) for i in range(3)]
+    spark.sparkContext.setJobGroup("boosting", "fit")
+    try:
+        models.boosting.grow(spark, [(models.boosting.rows_of(models.assemble(rows, x).select("_x", models.label_index().alias("_label"))), 2,
+                                      {**models.DEFAULTS["boosted_a"], **p}) for _, rows, x, p in asked], 3)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) <= 6 * 3 + 3 * 4 + 4
+
+
+def test_sums_of_a_level(spark):
+    """Counted by pairs of features or one by one, the sums are those of a plain loop."""
+    from touchline.operators import boosting
+    rng = np.random.default_rng(3)
+    bins, classes, scores = rng.integers(0, 32, (3, 500)).astype(np.uint8), rng.integers(0, 2, 500).astype(np.uint8), rng.normal(size=(1, 500))
+    tree = boosting.root()
+    for level in range(5):
+        begin = len(tree["child"]) - (1 if level == 0 else opened)
+        rest = boosting.residuals(np.where(classes == 0, 1.0, -1.0), scores[0])
+        node = boosting.positions(tree, bins.reshape(-1), 500, level, np.arange(500)) - begin
+        nodes = len(tree["child"]) - begin
+        want = np.zeros((2, 3, nodes, 32))
+        for i in np.flatnonzero(node >= 0):
+            for f in range(3):
+                want[:, f, node[i], bins[f, i]] += 1, rest[i]
+        for small in (set(), {0}):
+            found, = boosting.level_sums([(0, bins, classes, scores)], {(0, 0): (tree, begin)}, level, {(0, 0): 9}, False, small)
+            assert np.allclose(found[0, 0][0], want[0]) and np.allclose(found[0, 0][1], want[1])
+        tree, made = boosting.split(tree, begin, 1, found[0, 0], True)
+        opened = len(tree["child"]) - made
+
+
+def test_boosting_nothing_or_one_class(spark):
+    df = boosted_rows(spark, 40)
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit("boosted_a", df.where("false"), ["a"], {"maxIter": 2})
+    only = models.fit("boosted_a", df.withColumn("label", F.lit("D")), ["a"], {"maxIter": 3}).transform(df)
+    assert {r.predicted for r in only.select("predicted").distinct().collect()} == {"D"}
+
+
+def test_thresholds_of_many_rows_come_from_all_of_them(spark, monkeypatch):
+    from touchline.operators import boosting
+    df = spark.range(64_000).select(F.array(F.col("id") % 5 * 1.0, F.col("id") * 1.0).alias("x"))
+    few, many = boosting.all_thresholds(df, 2, 64_000)
+    assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and len(many) == 31
+    assert np.allclose(many, np.arange(1, 32) * 2000, atol=20)
