@@ -174,3 +174,24 @@ def test_page_layouts(spark):
     found = {(r.page_id, r.period, r.stat): (r.home, r.away) for r in pages.stat_rows(df).collect()}
     assert found == {(1, "1st Half", "fouls"): (7.5, 8.0), (1, "1st Half", "offsides"): (1.0, 3.0), (1, "1st Half", "red_cards"): (4.0, 5.0)}
     assert pages.archive_rows(df).count() == 0 and pages.odds_rows(df).count() == 0
+
+
+def test_stored_files_hold_a_bounded_number_of_rows(spark):
+    from touchline.session import stored
+    even = stored(spark.range(1000).repartition(1), "even", 100)
+    sizes = even.groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) == 10 and {r["count"] for r in sizes} == {100}
+    assert stored(spark.range(1000).repartition(1), "whole").select(F.input_file_name()).distinct().count() == 1
+
+
+def test_training_rows_are_stored_in_small_files(spark, monkeypatch):
+    """A table that one task wrote is fitted on by many."""
+    from touchline.plans import model_queries
+    limits = []
+    monkeypatch.setattr(model_queries, "stored", lambda df, name, rows=0: limits.append((name, rows)) or df)
+    monkeypatch.setattr(model_queries, "_TABLES", {})
+    monkeypatch.setattr(model_queries.snapshot, "match_features", lambda m, *a: m.withColumns({c: F.lit(0.0) for c in model_queries.MODEL_FEATURES}))
+    monkeypatch.setattr(model_queries, "matches", lambda *a: spark.createDataFrame(
+        [(1, "2020-01-01", "A", "B", 1, 0)], "match_id bigint, date string, home_team string, away_team string, home_score int, away_score int"))
+    model_queries.feature_rows(spark, "")
+    assert limits == [("features", models.FIT_PARTITION)]
