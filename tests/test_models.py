@@ -338,3 +338,44 @@ def test_thresholds_of_many_rows_come_from_all_of_them(spark, monkeypatch):
     few, many = boosting.all_thresholds(df, 2, 64_000)
     assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and len(many) == 31
     assert np.allclose(many, np.arange(1, 32) * 2000, atol=20)
+
+
+def shuffles(df):
+    """Exchanges of the plan, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_export_shuffles_quotes_once(spark):
+    quotes_ = many_quotes(spark, 3000).unionByName(many_quotes(spark, 5).withColumn("match_id", F.lit("m2")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quotes.exported(quotes_, most=1000)
+        assert shuffles(out) <= 2                       # ids of the first parts, the lists
+        rows = out.select("match_id", "part", F.size("odds.match_winner").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.n for r in rows if r.match_id == "m1") == 3000 and [(r.part, r.n) for r in rows if r.match_id == "m2"] == [(0, 5)]
+    assert len(rows) == len({(r.match_id, r.part) for r in rows}) and {r.part for r in rows if r.match_id == "m1"} == {0, 1, 2}
+
+
+def test_every_match_has_a_first_part(spark):
+    """Even if all of its quotes are dealt to others."""
+    one = many_quotes(spark, 1)
+    rows = next(r for r in ([(x.part, x.n) for x in quotes.exported(one.withColumn("ts", F.timestamp_seconds(F.lit(i))).unionByName(
+        one.withColumn("ts", F.timestamp_seconds(F.lit(i)))), most=1).select("part", F.size("odds.match_winner").alias("n")).collect()]
+        for i in range(20)) if any(p and n for p, n in r))
+    assert sorted(p for p, _ in rows) == [0, 1]
+
+
+def test_line_items_are_joined_before_they_become_records(spark, tmp_path):
+    from touchline.sources.match_documents import market_quotes
+    spark.sql("select 1L as o_orderkey, 5L as o_custkey, 'F' as o_orderstatus, 10.0D as o_totalprice, timestamp'2000-02-03' as o_orderdate,"
+              " 'x' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("select id as l_orderkey, 1L as l_partkey, 3L as l_suppkey, cast(id as int) as l_linenumber, 2.0D as l_quantity, 3.0D as l_extendedprice,"
+              " 0.1D as l_discount, 0.2D as l_tax, timestamp'2000-02-04' as l_shipdate from range(1, 3)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = market_quotes(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")     # the records are made above the join
+    rows = {r.market: r for r in out.collect()}
+    assert set(rows) == {"match_winner", "over_under", "double_chance"} and {r.season for r in rows.values()} == {"1999"}
+    assert rows["double_chance"].home_or_draw == pytest.approx(1.9) and rows["match_winner"].bookmaker == "BOOK_3"
