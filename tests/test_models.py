@@ -371,11 +371,13 @@ def test_line_items_are_joined_before_they_become_records(spark, tmp_path):
     from touchline.sources.match_documents import market_quotes
     spark.sql("select 1L as o_orderkey, 5L as o_custkey, 'F' as o_orderstatus, 10.0D as o_totalprice, timestamp'2000-02-03' as o_orderdate,"
               " 'x' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
-    spark.sql("select id as l_orderkey, 1L as l_partkey, 3L as l_suppkey, cast(id as int) as l_linenumber, 2.0D as l_quantity, 3.0D as l_extendedprice,"
-              " 0.1D as l_discount, 0.2D as l_tax, timestamp'2000-02-04' as l_shipdate from range(1, 3)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("select l_orderkey, 1L as l_partkey, 3L as l_suppkey, cast(nullif(id, 3) - 1 as int) + 1 as l_linenumber, 2.0D as l_quantity, 3.0D as l_extendedprice,"
+              " 0.1D as l_discount, 0.2D as l_tax, timestamp'2000-02-04' as l_shipdate from (select 1L as l_orderkey, id from range(1, 4) union all select 2, 1)").write.parquet(str(tmp_path / "lineitem.parquet"))
     out = market_quotes(spark, str(tmp_path))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")     # the records are made above the join
-    rows = {r.market: r for r in out.collect()}
-    assert set(rows) == {"match_winner", "over_under", "double_chance"} and {r.season for r in rows.values()} == {"1999"}
+    found = out.collect()
+    rows = {r.market: r for r in found}
+    assert len(found) == 9 and {r.match_id for r in found} == {"1"} and {r.season for r in found} == {"1999"}
+    assert set(rows) == {"match_winner", "over_under", "double_chance", "draw_no_bet", "odd_even"}    # a line without a number: the last
     assert rows["double_chance"].home_or_draw == pytest.approx(1.9) and rows["match_winner"].bookmaker == "BOOK_3"
